@@ -75,12 +75,17 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# Engines sum in different orders, so a value whose exact decimal ends on a rounding tie (averages of
+# prices in cents do) could round either way. Both sides shift it off the tie by the same tiny amount.
+_OFF_TIE = 0.0314159
+
+
 def rnd(expr: str, digits: int = 6) -> str:
-    """SQL rounding that never yields negative zero."""
-    return f"(round({expr}, {digits}) + 0e0)"
+    """SQL rounding that never yields negative zero and never meets a tie."""
+    return f"(round({expr} + {_OFF_TIE / 10**digits:.12e}, {digits}) + 0e0)"
 
 
 def rounded(c, digits: int = 6):
     """Column counterpart of ``rnd``."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    return F.round(c + F.lit(float(f"{_OFF_TIE / 10**digits:.12e}")), digits) + F.lit(0.0)

@@ -44,7 +44,10 @@ def axis(df: DataFrame, name: str) -> Column:
     return c.cast("long")
 
 
-def with_block(df: DataFrame, order: Sequence[str], block: str | int) -> DataFrame:
+def with_block(df: DataFrame, order: Sequence[str], block: str | int | Column) -> DataFrame:
+    """``block`` may also be a column expression that never decreases along the order."""
+    if isinstance(block, Column):
+        return df.withColumn(BLK, block.cast("long"))
     return df.withColumn(BLK, F.floor(axis(df, order[0]) / F.lit(micros(block))).cast("long"))
 
 

@@ -1,4 +1,4 @@
 """Registered queries, grouped by area; importing this package fills the registry."""
 
-from . import timeseries_plans, window_plans  # noqa: F401
+from . import aggregate_plans, join_plans, relational_plans, timeseries_plans, window_plans  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

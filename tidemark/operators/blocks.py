@@ -11,6 +11,9 @@ row per block across block borders:
 Keys must be non-null. ``block`` is an interval such as ``"1 day"`` for a timestamp order column, or a
 number of units for a numeric one. Choose it so that a block is comfortably one task's work and a key
 has at most about a million blocks: the summary table holds one row per (key, block).
+
+Each such operator reads its input twice (rows and summary), so operators that chain several of them
+cut the lineage with a checkpoint in between instead of recomputing 2^k times.
 """
 
 from __future__ import annotations

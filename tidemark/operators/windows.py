@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..session import checkpointed
 from .blocks import running, settle, spread, with_seq
 from .grouped import Sweep, sequential
 from .scan import affine_scan
@@ -103,8 +104,7 @@ def volume_ratio(w: WindowSpec, volume: str, n: int, key_rows: Column) -> Column
 def cumulative_return(df, keys, order, ret: str, block, name: str = "cum") -> DataFrame:
     """Product of (1 + r); also ``{name}_norm`` divided by the first value (kept when that is 0)."""
     r = 1 + F.col(ret)
-    out = affine_scan(df, keys, order, block, {name: (r, F.lit(0.0), r)})
-    out = running(out, keys, order, block, {"_first": ("first", F.col(name))})
+    out = affine_scan(df, keys, order, block, {name: (r, F.lit(0.0), r), "_first": (F.lit(1.0), F.lit(0.0), r)})
     return out.withColumn(f"{name}_norm", F.when(F.col("_first") == 0, F.col(name)).otherwise(F.col(name) / F.nullif("_first", F.lit(0.0)))).drop("_first")
 
 
@@ -243,8 +243,9 @@ def trend_counter(df, keys, order, block, high="high", low="low", length: int =
     run = F.col("seq") - F.coalesce(F.col("_fail"), F.lit(length - 1))
     raw = F.least(run, F.lit(length), F.lit(400)).cast("double")
     a = 2.0 / (smooth + 1)
-    sm = affine_scan(runs.withColumn("raw", raw), keys, order, block, {"_ema": (F.lit(1 - a), F.lit(a) * F.col("raw"), F.col("raw"))})
-    warm = sm.where(F.col("seq") >= length + smooth - 1).withColumn("value", F.rint("_ema")).drop("_up", "_fail", "_ema")
+    runs = checkpointed(runs.withColumn("raw", raw).drop("_up", "_fail"))
+    sm = affine_scan(runs, keys, order, block, {"_ema": (F.lit(1 - a), F.lit(a) * F.col("raw"), F.col("raw"))})
+    warm = sm.where(F.col("seq") >= length + smooth - 1).withColumn("value", F.rint("_ema")).drop("_ema")
     out = rolling(warm, keys, order, block, 49, lambda d, w: d.withColumn("avg50", F.avg("value").over(w.rowsBetween(-49, 0))), rows=rows)
     v, m = F.col("value"), F.col("avg50")
     trend = (

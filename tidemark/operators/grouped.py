@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+Columns = dict[str, Sequence]
+
+
 class Sweep:
-    """One key's state. ``push`` gets consecutive rows of the key, ``finish`` ends the key."""
+    """One key's state. ``push`` gets consecutive rows of the key as arrays, ``finish`` ends the key;
+    both return output columns (equal lengths) or None."""
 
-    def push(self, rows: pd.DataFrame) -> pd.DataFrame | None:
+    def push(self, rows: dict[str, np.ndarray]) -> Columns | None:
         raise NotImplementedError
 
-    def finish(self) -> pd.DataFrame | None:
+    def finish(self) -> Columns | None:
         return None
 
 
@@ -30,35 +34,42 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: C
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, sweep = None, None
-
-        def label(out, key):
-            if out is None or len(out) == 0:
-                return None
-            for name, value in zip(keys, key):
-                out[name] = value
-            return out
-
         for pdf in batches:
-            if len(pdf) == 0:
+            n = len(pdf)
+            if n == 0:
                 continue
-            codes = np.zeros(len(pdf), dtype=bool)
-            codes[0] = True
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            begins = np.zeros(n, dtype=bool)
+            begins[0] = True
             for k in keys:
-                col = pdf[k].to_numpy()
-                codes[1:] |= col[1:] != col[:-1]
-            starts = np.flatnonzero(codes)
-            for i, s in enumerate(starts):
-                e = starts[i + 1] if i + 1 < len(starts) else len(pdf)
-                part = pdf.iloc[s:e]
-                key = tuple(part[k].iloc[0] for k in keys)
+                begins[1:] |= cols[k][1:] != cols[k][:-1]
+            starts = [*np.flatnonzero(begins), n]
+            out: dict[str, list] = {}
+
+            def emit(got: Columns | None, key: tuple) -> None:
+                if not got:
+                    return
+                size = len(next(iter(got.values())))
+                for c, v in got.items():
+                    out.setdefault(c, []).extend(v)
+                for c, v in zip(keys, key):
+                    out.setdefault(c, []).extend([v] * size)
+
+            for s, e in zip(starts, starts[1:]):
+                key = tuple(cols[k][s] for k in keys)
                 if key != current:
-                    if sweep is not None and (out := label(sweep.finish(), current)) is not None:
-                        yield out
+                    if sweep is not None:
+                        emit(sweep.finish(), current)
                     current, sweep = key, make()
-                if (out := label(sweep.push(part), key)) is not None:
-                    yield out
-        if sweep is not None and (out := label(sweep.finish(), current)) is not None:
-            yield out
+                emit(sweep.push({c: v[s:e] for c, v in cols.items()}), key)
+            if out:
+                yield pd.DataFrame(out)
+        if sweep is not None:
+            out = {}
+            last = sweep.finish()
+            if last:
+                size = len(next(iter(last.values())))
+                yield pd.DataFrame({**last, **{k: [v] * size for k, v in zip(keys, current)}})
 
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return ordered.mapInPandas(run, schema)

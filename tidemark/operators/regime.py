@@ -58,11 +58,9 @@ class _ChangeSweep(Sweep):
     def __init__(self, keep: Sequence[str], col: str, params: dict):
         self.keep, self.col, self.state = list(keep), col, RunLength(**params)
 
-    def push(self, rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[self.keep].copy()
-        got = [self.state.update(float(x)) for x in rows[self.col]]
-        out["cp_prob"], out["run_length"], out["changepoint"] = zip(*got)
-        return out
+    def push(self, rows):
+        got = zip(*[self.state.update(float(x)) for x in rows[self.col]])
+        return {**{c: rows[c] for c in self.keep}, **dict(zip(("cp_prob", "run_length", "changepoint"), got))}
 
 
 def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -201,14 +200,14 @@ class ZoneSweep(Sweep):
                 keep.append(zone)
         self.zones, self.mids = keep, self.mids[~mask]
 
-    def push(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def push(self, rows):
         out: list = []
-        for seq, h, lo_, ph, pl, inten, pad in zip(*(rows[c].to_numpy() for c in ("seq", "_h", "_l", "_hi", "_lo", "_int", "_pad"))):
+        for seq, h, lo_, ph, pl, inten, pad in zip(*(rows[c] for c in ("seq", "_h", "_l", "_hi", "_lo", "_int", "_pad"))):
             if not np.isnan(ph):
-                self.zones.append((seq - self.k, "above", ph + pad, ph, inten))
+                self.zones.append((int(seq) - self.k, "above", ph + pad, ph, inten))
                 self.mids = np.append(self.mids, (ph + pad + ph) / 2)
             if not np.isnan(pl):
-                self.zones.append((seq - self.k, "below", pl, pl - pad, inten))
+                self.zones.append((int(seq) - self.k, "below", pl, pl - pad, inten))
                 self.mids = np.append(self.mids, (pl + pl - pad) / 2)
             through = (self.mids < h) & (self.mids > lo_)
             if through.any():
@@ -216,14 +215,13 @@ class ZoneSweep(Sweep):
             surplus = len(self.zones) - self.max_zones
             if surplus > 0:
                 self._close(np.arange(len(self.zones)) < surplus, int(seq), "dropped", out)
-        return self._frame(out)
+        return self._columns(out)
 
-    def finish(self) -> pd.DataFrame:
-        return self._frame([(*z, None, "open") for z in self.zones])
+    def finish(self):
+        return self._columns([(*z, None, "open") for z in self.zones])
 
-    def _frame(self, out: list) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=[*self.FIELDS, "end_seq", "status"])
-        return pdf.astype({"end_seq": "Int64"})
+    def _columns(self, out: list):
+        return dict(zip([*self.FIELDS, "end_seq", "status"], zip(*out))) if out else None
 
 
 def trend_counter(df, keys, order, block, high="high", low="low", length: int = 20, smooth: int = 5, rows: int = ROWS) -> DataFrame:

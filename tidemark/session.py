@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,27 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the session names.
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the checkpoint folder already set.
 
-    Only a session without ``spark.checkpoint.dir`` (unit tests) gets a local folder.
+    Only a local session (unit tests) falls back to a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path under the shared folder for an intermediate table."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

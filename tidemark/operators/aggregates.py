@@ -41,10 +41,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str
     freq = df.where(v.isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_c"))
     cum = running(freq, keys, [col], F.floor(v / F.lit(width)), {"_cum": ("sum", F.col("_c"))})
     if keys:
-        n = freq.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+        n = df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
         cum = cum.join(n, list(keys))
     else:
-        cum = cum.withColumn("_n", freq.agg(F.sum("_c").alias("n")).select("n").scalar())
+        cum = cum.withColumn("_n", df.agg(F.count(col).alias("n")).select("n").scalar())
 
     def stat(rank: Column) -> Column:
         return F.max(F.when((F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum")), v))
@@ -122,7 +122,8 @@ def quantile_buckets(df: DataFrame, by: str, value: str, width: float, n: int =
     """Mean, sample std and count of ``value`` per quantile bucket of ``by`` (right-closed bounds)."""
     qs = {f"q{i}": i / n for i in range(1, n)}
     cuts = exact_percentiles(df, [], by, qs, width)
-    bounds = [cuts.select(k).scalar() for k in qs]
+    cut = cuts.select(F.struct(*qs).alias("q")).select("q").scalar()
+    bounds = [cut[k] for k in qs]
     bucket = F.lit(1)
     for b in bounds:
         bucket = bucket + F.when(F.col(by) > b, 1).otherwise(0)

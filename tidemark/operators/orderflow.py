@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .blocks import running, settle, spread
 from .relational import band
 from .scan import affine_scan
@@ -19,7 +20,7 @@ BUY, SELL, UNKNOWN = "BUY", "SELL", "UNKNOWN"
 def tick_rule(df, keys, order, price: str, block, name: str = "side") -> DataFrame:
     """Up tick BUY, down tick SELL, equal price the previous side, UNKNOWN before the first move."""
     p = F.col(price)
-    moved = running(df, keys, order, block, {"_p": ("lag", p)})
+    moved = checkpointed(running(df, keys, order, block, {"_p": ("lag", p)}))
     side = F.when(p > F.col("_p"), BUY).when(p < F.col("_p"), SELL)
     out = running(moved.withColumn("_s", side), keys, order, block, {name: ("last", F.col("_s"))})
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(UNKNOWN))).drop("_p", "_s")
@@ -45,7 +46,8 @@ def volume_buckets(df, keys, order, volume: str, side: str, block, bucket_size:
     aggregate. Returns (keys, bucket, buy, sell, complete, end_ts).
     """
     size = F.lit(float(bucket_size))
-    known = df.where((F.col(side) != UNKNOWN) & (F.col(volume) > 0))
+    # the sides usually come from another blocked operator
+    known = checkpointed(df).where((F.col(side) != UNKNOWN) & (F.col(volume) > 0))
     cum = running(known, keys, order, block, {"_cum": ("sum", F.col(volume))})
     start = F.col("_cum") - F.col(volume)
     span = F.sequence(F.floor(start / size).cast("long"), (F.ceil(F.col("_cum") / size) - 1).cast("long"))
@@ -104,7 +106,7 @@ def direction_windows(df, keys, order, side: str, price: str, block, every: str
     """
     v = lambda s: F.sum(F.when(F.col(side) == s, 1.0).otherwise(0.0))
     win = sample_by(
-        df,
+        checkpointed(df),
         order[0],
         every,
         [((v(BUY) - v(SELL)) / (v(BUY) + v(SELL) + 1e-10)).alias("ofi"), F.max_by(price, F.struct(*order)).alias("close")],

@@ -157,6 +157,7 @@ def permutation_overfit_probability(results: DataFrame, keys: Sequence[str], win
 
 def gate(results: DataFrame, keys: Sequence[str], min_windows: int = 4, min_profitable: float = 0.75, min_sharpe: float = 0.5, max_dd: float = 0.30, min_robustness: float = 60.0) -> DataFrame:
     """All walk-forward acceptance criteria per strategy."""
+    results = checkpointed(results)
     rob = robustness(results, keys).select(*keys, "robustness", "profitable_pct", "n_windows")
     g = results.groupBy(*keys).agg(F.max("max_drawdown").alias("worst_drawdown"), F.count_if(F.col("test_sharpe") >= min_sharpe).alias("_ok"))
     ok = (
@@ -352,7 +353,7 @@ def score_hypotheses(returns: DataFrame, strategy: str, ret: str, hypotheses: di
     names = sorted({s for h in hypotheses.values() for s in h})
     entry = lambda h, s: F.struct(F.lit(h).alias("hypothesis"), F.lit(s).alias("strategy"), F.lit(float(hypotheses[h].get(s, 0.0))).alias("w"))
     grid = returns.sparkSession.range(1).select(F.explode(F.array(*[entry(h, s) for h in hypotheses for s in names])).alias("_g")).select("_g.*")
-    total = returns.groupBy(F.col(strategy).alias("strategy")).agg(F.sum(ret).alias("_t"))
+    total = checkpointed(returns.groupBy(F.col(strategy).alias("strategy")).agg(F.sum(ret).alias("_t")))
     fit = grid.join(total, "strategy", "left").groupBy("hypothesis").agg(F.sum(F.col("w") * F.coalesce("_t", F.lit(0.0))).alias("fitness"))
     peak = fit.agg(F.max("fitness").alias("m")).select("m").scalar()
     raw = fit.withColumn("_e", F.exp(F.col("fitness") - peak))
@@ -416,7 +417,8 @@ def calmar(cagr_: Column, max_dd: Column) -> Column:
 
 def fitness(df, keys, date: str, ret: str, block) -> DataFrame:
     """Per strategy: total return, drawdown, CAGR, Calmar, Sharpe, PSR, win rate, trades."""
-    cum = cumulative_return(df.select(*keys, date, ret), keys, [date], ret, block, "_c")
+    df = checkpointed(df.select(*keys, date, ret))
+    cum = checkpointed(cumulative_return(df, keys, [date], ret, block, "_c"))
     dd = drawdown(cum, keys, [date], "_c", block, "_dd")
     g = dd.groupBy(*keys).agg(
         (F.max_by("_c", date) - 1).alias("total_return"),

@@ -62,7 +62,7 @@ def atr(df, keys, order, block, high="high", low="low", close="close", period: i
         d = d.withColumn("_tr", F.when(pc.isNotNull(), tr))
         return d.withColumn("_seed", F.avg("_tr").over(w.rowsBetween(-(period - 1), 0)))
 
-    src = rolling(df, keys, order, block, period + 1, build, rows=rows, keep_seq=True)
+    src = checkpointed(rolling(df, keys, order, block, period + 1, build, rows=rows, keep_seq=True))
     a = 1.0 / period
     s = F.col("seq")
     rec = (
@@ -152,7 +152,7 @@ def tape_speed(df, keys, order, time: Column, block, count: Column | None = None
 def adaptive_k(df, keys, order, ret: str, block, k0: float = 1.0, alpha: float = 0.1, lookback: int = 20, name: str = "k", rows: int = ROWS) -> DataFrame:
     """k0 / (1 + EMA|r| / median|r|), clamped to 0.1..5; the median needs 10 values, else the EMA."""
     a = F.abs(F.col(ret))
-    src = affine_scan(df.withColumn("_a", a), keys, order, block, {"_ema": _ema(F.col("_a"), alpha)})
+    src = checkpointed(affine_scan(df.withColumn("_a", a), keys, order, block, {"_ema": _ema(F.col("_a"), alpha)}))
     frame = -(lookback - 1)
 
     def build(d, w):
@@ -177,6 +177,7 @@ def hawkes(df, keys, order, side: str, us: str, block, beta: float = 1.0, mu: fl
     )
     block_us = block
     st = running(ticks, keys, [us], block_us, {"_pu": ("lag", F.col(us)), "_pb": ("lag", F.col("_nb")), "_ps": ("lag", F.col("_ns")), "_ticks": ("sum", F.col("_n"))})
+    st = checkpointed(st)
     decay = F.exp(-F.lit(beta) * (F.col(us) - F.coalesce("_pu", F.col(us))) / 1e6)
     st = st.withColumn("_d", decay)
     rec = {s: (F.col("_d"), F.coalesce(F.col("_d") * alpha * F.col(p), F.lit(0.0)), F.lit(0.0)) for s, p in (("_buy", "_pb"), ("_sell", "_ps"))}

@@ -236,14 +236,14 @@ def trend_counter(df, keys, order, block, high="high", low="low", length: int =
         mid = (F.max(high).over(f) + F.min(low).over(f)) / 2
         return d.withColumn("_up", (F.col(high) + F.col(low)) / 2 > mid)
 
-    ready = rolling(df, keys, order, block, length - 1, channel, rows=rows, keep_seq=True).where(F.col("seq") >= length)
+    ready = checkpointed(rolling(df, keys, order, block, length - 1, channel, rows=rows, keep_seq=True).where(F.col("seq") >= length))
     runs = running(ready, keys, order, block, {"_fail": ("last", F.when(~F.col("_up"), F.col("seq")))})
     run = F.col("seq") - F.coalesce(F.col("_fail"), F.lit(length - 1))
     raw = F.least(run, F.lit(length), F.lit(400)).cast("double")
     a = 2.0 / (smooth + 1)
     runs = checkpointed(runs.withColumn("raw", raw).drop("_up", "_fail"))
     sm = affine_scan(runs, keys, order, block, {"_ema": (F.lit(1 - a), F.lit(a) * F.col("raw"), F.col("raw"))})
-    warm = sm.where(F.col("seq") >= length + smooth - 1).withColumn("value", F.rint("_ema")).drop("_ema")
+    warm = checkpointed(sm.where(F.col("seq") >= length + smooth - 1).withColumn("value", F.rint("_ema")).drop("_ema"))
     out = rolling(warm, keys, order, block, 49, lambda d, w: d.withColumn("avg50", F.avg("value").over(w.rowsBetween(-49, 0))), rows=rows)
     v, m = F.col("value"), F.col("avg50")
     trend = (
@@ -298,7 +298,7 @@ def wave_features(df, keys, order, price: str, block, window: int = 50, alpha: f
             }
         )
 
-    out = rolling(eq, keys, order, block, window, build, rows=rows)
+    out = rolling(checkpointed(eq), keys, order, block, window, build, rows=rows)
     gap = F.transform("_recent", lambda x: x - F.col("equilibrium"))
     pairs = F.zip_with(F.slice(gap, 1, window - 1), F.slice(gap, 2, window - 1), lambda x, y: F.when(x * y < 0, 1).otherwise(0))
     crossings = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)

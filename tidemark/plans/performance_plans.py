@@ -8,6 +8,7 @@ from ..functions.stats_expr import norm_cdf_sql, z_value
 from ..operators import labels as ml
 from ..operators import performance as perf
 from ..operators import timeseries as ts
+from ..session import checkpointed
 from .flow_plans import STRATEGIES, _buckets, _VB, _VP
 from .label_plans import DR, SPAN, returns, span, windows_sql
 from .registry import TICKS, query, rnd, rounded
@@ -120,7 +121,7 @@ def _(t):
  SELECT strategy, window_id, CASE WHEN seq < 5 THEN 'insufficient_data' WHEN rc < ea * 0.9 THEN 'improving' WHEN rc > ea * 1.1 THEN 'deteriorating' ELSE 'stable' END AS trend FROM a""",
 )
 def _(t):
-    return perf.overfit_trend(walk_forward_results(t), ["strategy"], ["window_id"], "train_sharpe", "test_sharpe", 1000).select("strategy", "window_id", "trend")
+    return perf.overfit_trend(checkpointed(walk_forward_results(t)), ["strategy"], ["window_id"], "train_sharpe", "test_sharpe", 1000).select("strategy", "window_id", "trend")
 
 
 ROB = """g AS (SELECT strategy, count(*) AS n, avg(abs(test_return)) AS ma, stddev_samp(test_return) AS sd, avg(CASE WHEN test_return > 0 THEN 1e0 ELSE 0 END) AS pp,
@@ -195,8 +196,6 @@ def _(t):
  {rnd('least(1, greatest(0, least(x.window_count / 20, 1) * 0.4 + greatest(0, 1 - p * 2) * 0.4 + greatest(0, 1 - abs(x.std_sharpe / x.avg_sharpe)) * 0.2))')} AS confidence FROM pp JOIN cm x ON pp.a = x.contender JOIN cm y ON pp.b = y.contender""",
 )
 def _(t):
-    from ..session import checkpointed
-
     c = checkpointed(_contenders(t))
     m = perf.contender_metrics(c)
     p = perf.compare_contenders(c, STRATEGIES).select("a", "b", "p_value")
@@ -222,8 +221,6 @@ _VV = f"""WITH {TICKS}, {_VB}, {_VP}, c AS (SELECT symbol, bucket, end_us, vpin,
 def _aligned(t):
     """Hourly volatility with the newest VPIN known at the end of the hour."""
     from ..operators.orderflow import vpin
-    from ..session import checkpointed
-
     v = vpin(_buckets(t), ["symbol"]).select("symbol", F.unix_micros("end_ts").alias("close_us"), "vpin", "bucket")
     v = checkpointed(v).groupBy("symbol", "close_us").agg(F.round(F.max_by("vpin", "bucket"), 9).alias("vpin"))
     h = t.ticks.groupBy("symbol", ((F.floor(F.col("us") / 3600000000) + 1) * 3600000000).alias("close_us")).agg(F.round(F.stddev_samp("price"), 9).alias("vol"))
@@ -257,8 +254,8 @@ _CORR = f"""{DR}, {R}, s AS (SELECT strategy, ret, row_number() OVER (PARTITION
 def _corr(t):
     from ..operators.blocks import with_seq
 
-    s = with_seq(daily_returns(t), ["strategy"], ["day"], "52 weeks")
-    return perf.correlation_matrix(s, "strategy", "seq", "ret", STRATEGIES)
+    s = with_seq(checkpointed(daily_returns(t)), ["strategy"], ["day"], "52 weeks")
+    return checkpointed(perf.correlation_matrix(s, "strategy", "seq", "ret", STRATEGIES))
 
 
 @query("stat_11_correlation_matrix", f"WITH {_CORR} SELECT a, b, {rnd('corr')} AS corr FROM cr")

@@ -87,7 +87,7 @@ def _(t):
  SELECT symbol, blk, max(n) AS n, {rnd('CASE WHEN max(n) < 20 THEN 0 ELSE greatest(0, sum(c / n * log2(c * n / (cx * cy)))) END')} AS mi FROM h GROUP BY 1, 2""",
 )
 def _(t):
-    s = with_seq(t.ticks, ["symbol"], ORD, DAY).withColumn("blk", F.floor((F.col("seq") - 1) / 100).cast("long"))
+    s = checkpointed(with_seq(t.ticks, ["symbol"], ORD, DAY).select("symbol", "price", "volume", F.floor((F.col("seq") - 1) / 100).cast("long").alias("blk")))
     return reg.mutual_information(s, ["symbol", "blk"], "price", "volume").withColumn("mi", rounded("mi"))
 
 

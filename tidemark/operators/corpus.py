@@ -152,6 +152,14 @@ def class_pattern(name: str) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in FORMULA_CLASSES[name])
 
 
+def class_index(text: Column) -> Column:
+    """Position of the first class matching the text, or null."""
+    out = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(FORMULA_CLASSES))):
+        out = F.when(text.rlike(class_pattern(name)), i).otherwise(out)
+    return out
+
+
 def extract_formulas(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Display ($$..$$) and inline ($..$) formulas of every line with class and domain.
 
@@ -166,17 +174,16 @@ def extract_formulas(docs: DataFrame, key: str, text: str) -> DataFrame:
     begin = F.greatest(F.col("_i") - 1, F.lit(0))
     context = F.array_join(F.slice("_l", begin + 1, F.col("_i") + 3 - begin), " ")
     d = d.select(key, (F.col("_i") + 1).alias("line_number"), line.alias("_line"), context.alias("_ctx"))
+    # a line's context is searched once, however many formulas the line holds
+    d = d.withColumn("_in_ctx", class_index(F.col("_ctx")))
 
     def found(pattern: str, display: bool) -> Column:
         return F.transform(F.regexp_extract_all("_line", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.regexp_replace(x, r"^\s+|\s+$", "").alias("latex"), F.lit(display).alias("display_mode")))
 
     both = F.concat(found(r"\$\$(.+?)\$\$", True), found(r"(?<!\$)\$([^$]+?)\$(?!\$)", False))
-    f = d.select(key, "line_number", "_ctx", F.explode(F.filter(both, lambda x: F.length(x["latex"]) > 3)).alias("_f")).select(key, "line_number", "_ctx", "_f.*")
-    kind = F.lit(None).cast("string")
-    for name in reversed(FORMULA_CLASSES):
-        p = class_pattern(name)
-        kind = F.when(F.col("latex").rlike(p) | F.col("_ctx").rlike(p), name).otherwise(kind)
-    f = f.withColumn("known_type", kind)
+    f = d.select(key, "line_number", "_ctx", "_in_ctx", F.explode(F.filter(both, lambda x: F.length(x["latex"]) > 3)).alias("_f"))
+    f = f.select(key, "line_number", "_ctx", "_in_ctx", "_f.*").withColumn("_k", F.least(F.col("_in_ctx"), class_index(F.col("latex"))))
+    f = f.withColumn("known_type", F.get(F.array(*[F.lit(n) for n in FORMULA_CLASSES]), F.col("_k")))
     domain = F.lit("general")
     for dom, types in FORMULA_DOMAINS.items():
         domain = F.when(F.col("known_type").isin(*types), dom).otherwise(domain)

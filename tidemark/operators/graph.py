@@ -11,11 +11,11 @@ from ..session import checkpointed
 def reach(edges: DataFrame, start, depth: int = 3, src: str = "src", dst: str = "dst") -> DataFrame:
     """Nodes reached from ``start`` over undirected edges with their least distance (1..depth).
 
-    Depths outside 1..10 fall back to 3. Each level joins only the frontier and drops nodes already
-    met, so work is the edges touched once, not all paths.
+    Depths outside 1..10 fall back to 3. Each level joins the frontier to the edges, keeps
+    distinct new nodes and drops those already met: one pass over the edges per level, never all paths.
     """
     depth = depth if isinstance(depth, int) and 1 <= depth <= 10 else 3
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst), F.col(src))).distinct()
+    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst), F.col(src)))
     seen = both.sparkSession.range(1).select(F.lit(start).cast(edges.schema[src].dataType).alias("node"), F.lit(0).alias("distance"))
     frontier = seen
     for d in range(1, depth + 1):

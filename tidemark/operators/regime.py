@@ -26,30 +26,32 @@ class RunLength:
     def __init__(self, hazard=0.004, mu0=0.0, kappa0=1.0, alpha0=1.0, beta0=1.0, max_run=500):
         self.prior = (mu0, kappa0, alpha0, beta0)
         self.hazard, self.max_run = hazard, max_run
-        self.mu, self.kappa, self.beta = (np.array([v]) for v in (mu0, kappa0, beta0))
-        self.p = np.array([1.0])
-        a = alpha0 + 0.5 * np.arange(max_run + 1)
-        self.alpha = a
-        self.shape = np.array([math.lgamma(v + 0.5) - math.lgamma(v) for v in a]) - 0.5 * np.log(2 * a * np.pi)
+        self.mu, self.beta, self.p = np.array([mu0]), np.array([beta0]), np.array([1.0])
+        # alpha and kappa of a run length are known in advance, so everything built on them is a table
+        run = np.arange(max_run + 1)
+        self.alpha, self.kappa = alpha0 + 0.5 * run, kappa0 + run
+        self.ratio = (self.kappa + 1) / (self.alpha * self.kappa)
+        self.gain = 0.5 * self.kappa / (self.kappa + 1)
+        self.shape = np.array([math.lgamma(v + 0.5) - math.lgamma(v) for v in self.alpha]) - 0.5 * np.log(2 * self.alpha * np.pi)
 
     def update(self, x: float) -> tuple[float, int, bool]:
         """(P(run length 0), most likely run length, change point?)."""
         n = len(self.p)
         before = int(self.p.argmax())
         a = self.alpha[:n]
-        scale = np.maximum(np.sqrt(np.maximum(self.beta, 1e-10) * (self.kappa + 1) / (a * self.kappa)), 1e-10)
-        z = (x - self.mu) / scale
-        logp = self.shape[:n] - np.log(scale) - (a + 0.5) * np.log1p(z * z / (2 * a))
+        delta = x - self.mu
+        square = delta * delta
+        scale2 = np.maximum(self.beta * self.ratio[:n], 1e-20)
+        logp = self.shape[:n] - 0.5 * np.log(scale2) - (a + 0.5) * np.log1p(square / scale2 / (2 * a))
         joint = self.p * np.exp(np.clip(logp, -700, 0))
         grown = np.concatenate([[joint.sum() * self.hazard], joint * (1 - self.hazard)])[: self.max_run + 1]
         total = grown.sum()
         self.p = grown / total if total > 1e-300 else np.full(len(grown), 1 / len(grown))
-        kappa = self.kappa + 1
-        beta = np.maximum(self.beta + 0.5 * self.kappa * (x - self.mu) ** 2 / kappa, 1e-10)
-        mu = (self.kappa * self.mu + x) / kappa
-        m0, k0, _, b0 = self.prior
+        m0, _, _, b0 = self.prior
         cut = self.max_run + 1
-        self.mu, self.kappa, self.beta = (np.concatenate([[v0], v])[:cut] for v0, v in ((m0, mu), (k0, kappa), (b0, beta)))
+        beta = np.maximum(self.beta + self.gain[:n] * square, 1e-10)
+        mu = self.mu + delta / (self.kappa[:n] + 1)
+        self.mu, self.beta = np.concatenate([[m0], mu])[:cut], np.concatenate([[b0], beta])[:cut]
         now = int(self.p.argmax())
         return float(self.p[0]), now, before - now > max(5, before * 0.5)
 

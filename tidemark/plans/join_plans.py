@@ -169,3 +169,36 @@ def _(t):
     )
     err = F.when(F.col("n_backtests").isNull(), "no analytics").when(F.col("label").isNull(), "no embedding")
     return j.select(F.col("s_suppkey").alias("strategy_id"), F.col("s_name").alias("name"), F.col("n_name").alias("origin"), "n_backtests", "avg_return", "label", err.alias("error"))
+
+
+@query(
+    "join_06_paper_formula_counts",
+    "SELECT o_orderkey AS paper_id, count(l_partkey) AS formula_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority LIKE '%URGENT%' GROUP BY 1",
+)
+def _(t):
+    p = t.orders.where(F.col("o_orderpriority").contains("URGENT")).select(F.col("o_orderkey").alias("paper_id"))
+    j = p.join(t.lineitem.select("l_orderkey", "l_partkey"), F.col("paper_id") == F.col("l_orderkey"), "left")
+    return j.groupBy("paper_id").agg(F.count("l_partkey").alias("formula_count"))
+
+
+@query(
+    "set_01_union_by_name",
+    "SELECT doc_id AS id, lang, CAST(NULL AS VARCHAR) AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages",
+)
+def _(t):
+    """Files with different optional columns read as one table."""
+    a, b = t.documents.select(F.col("doc_id").alias("id"), "lang"), t.pages.select(F.col("page_id").alias("id"), "url")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("set_02_only_in_cache", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def _(t):
+    """Keys of the cached side that the exchange side lacks."""
+    side = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return side("F").join(side("O"), "k", "left_anti").distinct()
+
+
+@query("set_02_in_both", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def _(t):
+    side = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return side("F").join(side("O"), "k", "left_semi").distinct()

@@ -399,3 +399,18 @@ def _(t):
     return out.withColumns({c: rounded(c) for c in ("robustness", "profitable_pct", "worst_drawdown")})
 
 
+
+
+@query(
+    "fn_normal_and_t_tails",
+    f"""WITH x AS (SELECT event_id, value / 60 - 2 AS z, 1 + user_id % 40 AS df, (event_id % 997 + 1) / 999e0 AS p FROM events), q AS (SELECT *, least(p, 1 - p) AS m, abs(z) / CASE WHEN df >= 30 THEN 1 ELSE 1 + 3 / df END AS tz FROM x), s AS (SELECT *, sqrt(-2 * ln(m)) AS t FROM q),
+ n AS (SELECT *, t - ((0.010328 * t + 0.802853) * t + 2.515517) / (((0.001308 * t + 0.189269) * t + 1.432788) * t + 1) AS w FROM s)
+ SELECT event_id, {rnd(norm_cdf_sql('z'), 9)} AS cdf, {rnd('CASE WHEN abs(p - 0.5) < 1e-10 THEN 0 WHEN p > 0.5 THEN w ELSE -w END', 9)} AS ppf, {rnd(f"greatest(0, least(1, 2 * (1 - {norm_cdf_sql('tz')})))", 9)} AS p_two_sided FROM n""",
+)
+def _(t):
+    from ..functions.stats_expr import norm_cdf, norm_ppf, t_two_sided
+
+    x = t.events.select("event_id", (F.col("value") / 60 - 2).alias("z"), (1 + F.col("user_id") % 40).alias("df"), ((F.col("event_id") % 997 + 1) / 999.0).alias("p"))
+    return x.select(
+        "event_id", rounded(norm_cdf(F.col("z")), 9).alias("cdf"), rounded(norm_ppf(F.col("p")), 9).alias("ppf"), rounded(t_two_sided(F.col("z"), F.col("df")), 9).alias("p_two_sided")
+    )

@@ -35,14 +35,15 @@ class Tables:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        """events as trades: symbol = event_type, trader = user_id, price = value, volume = props.k."""
+        """events as trades: symbol = event_type, trader = user_id, price = value (at least one cent, as
+        prices must be positive), volume = props.k."""
         return self.read("events").select(
             "event_id",
             "ts",
             F.unix_micros("ts").alias("us"),
             F.col("user_id").alias("trader"),
             F.col("event_type").alias("symbol"),
-            F.col("value").alias("price"),
+            F.greatest("value", F.lit(0.01)).alias("price"),
             F.get_json_object("props", "$.k").cast("double").alias("volume"),
         )
 
@@ -55,7 +56,7 @@ class Tables:
 
 
 # The same views for the SQL side.
-TICKS = """ticks AS (SELECT event_id, ts, epoch_us(ts) AS us, user_id AS trader, event_type AS symbol, value AS price,
+TICKS = """ticks AS (SELECT event_id, ts, epoch_us(ts) AS us, user_id AS trader, event_type AS symbol, greatest(value, 0.01e0) AS price,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume FROM events)"""
 DAILY = """daily AS (SELECT o_orderpriority AS strategy, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS equity,
   count(*) AS n_orders FROM orders GROUP BY 1, 2)"""

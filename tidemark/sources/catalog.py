@@ -18,12 +18,11 @@ PARTITIONS = ("venue", "symbol", "dt")
 def write_catalog(df: DataFrame, path: str, ts: str = "timestamp", mode: str = "append", max_rows_per_file: int = 5_000_000) -> None:
     """Append to ``venue=/symbol=/dt=`` folders.
 
-    Rows are spread by partition and time of day, so a hot symbol-day is written by several tasks
-    and files stay bounded.
+    The rebalance hint lets adaptive execution size the write tasks: a hot symbol-day is split over
+    several, small ones share one, and files stay bounded.
     """
-    day = df.withColumn("dt", F.to_date(ts))
-    slot = F.floor(F.unix_seconds(ts) % 86400 / 3600)
-    day.repartition(*PARTITIONS, slot).write.mode(mode).option("maxRecordsPerFile", max_rows_per_file).partitionBy(*PARTITIONS).parquet(path)
+    day = df.withColumn("dt", F.to_date(ts)).hint("rebalance", *[F.col(c) for c in PARTITIONS])
+    day.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file).partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_catalog(spark: SparkSession, path: str, symbol: str | None = None, venue: str | None = None, start: str | None = None, end: str | None = None, ts: str = "timestamp") -> DataFrame:
@@ -91,7 +90,7 @@ def event_day(ts_ns: Column) -> Column:
 def compact_jsonl(spark: SparkSession, source: str, target: str, schema: str | T.StructType) -> None:
     """JSON lines to day-partitioned Parquet."""
     df = read_jsonl(spark, source, schema)
-    df.repartition("dt", F.floor(F.col("ts_event") / 3_600_000_000_000)).write.mode("append").partitionBy("dt").parquet(target)
+    df.hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(target)
 
 
 def live_partitions(df: DataFrame, as_of: str, days: int = 90, dt: str = "dt") -> DataFrame:

@@ -13,52 +13,58 @@ FUNDING = "calc_time funding_interval_hours last_funding_rate".split()
 MAX_FUNDING_MS = 16725225600000  # year 2500
 
 
-def _raw(spark: SparkSession, path, columns: list[str]) -> DataFrame:
-    """All columns as text; a header row (first cell equal to its column name) is dropped from any file."""
-    schema = ", ".join(f"{c} string" for c in columns)
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
-    return rows.where(F.col(columns[0]).isNull() | (F.col(columns[0]) != columns[0]))
-
+def _raw(spark: SparkSession, path, columns: list[str], typed: dict[str, str]) -> DataFrame:
+    """Typed rows; fields that do not parse become null in the CSV parser itself.
 
-def _num(c: str) -> Column:
-    return F.trim(c).try_cast("double")
+    The first column stays text: a header row (first cell equal to its column name) is dropped from
+    any file, since files with and without one are mixed.
+    """
+    schema = ", ".join(f"{c} {typed.get(c, 'string')}" for c in columns)
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
+    rows = reader.csv(path)
+    return rows.where(F.col(columns[0]).isNull() | (F.col(columns[0]) != columns[0]))
 
 
-def _ms(c: str) -> Column:
-    return F.timestamp_millis(F.trim(c).try_cast("long"))
+def _doubles(*names: str) -> dict[str, str]:
+    return dict.fromkeys(names, "double")
 
 
 def read_klines_csv(spark: SparkSession, path) -> DataFrame:
     """Bars: timestamp, open, high, low, close, volume (unparsable numbers become null)."""
-    return _raw(spark, path, KLINES).select(_ms("open_time").alias("timestamp"), *[_num(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
-
-
-def _flag(c: str) -> Column:
-    return F.coalesce(F.lower(F.trim(c)) == "true", F.lit(False))
+    bars = ("open", "high", "low", "close", "volume")
+    rows = _raw(spark, path, KLINES, _doubles(*bars))
+    return rows.select(F.timestamp_millis(F.col("open_time").try_cast("long")).alias("timestamp"), *bars)
+
+
+def _trades(rows: DataFrame, ms: str, quantity: str, trade_id: str) -> DataFrame:
+    return rows.select(
+        F.timestamp_millis(ms).alias("timestamp"),
+        "price",
+        F.col(quantity).alias("quantity"),
+        F.coalesce(F.col("is_buyer_maker"), F.lit(False)).alias("buyer_maker"),
+        F.col(trade_id).alias("trade_id"),
+    )
 
 
 def read_aggtrades_csv(spark: SparkSession, path, drop_incomplete: bool = True) -> DataFrame:
     """Aggregated trades; rows without price, quantity or time are dropped unless asked otherwise."""
-    out = _raw(spark, path, AGG_TRADES).select(
-        _ms("transact_time").alias("timestamp"), _num("price").alias("price"), _num("quantity").alias("quantity"), _flag("is_buyer_maker").alias("buyer_maker"), F.col("agg_trade_id").alias("trade_id")
-    )
+    rows = _raw(spark, path, AGG_TRADES, {**_doubles("price", "quantity"), "transact_time": "long", "is_buyer_maker": "boolean"})
+    out = _trades(rows, "transact_time", "quantity", "agg_trade_id")
     return out.na.drop(subset=["price", "quantity", "timestamp"]) if drop_incomplete else out
 
 
 def read_trades_csv(spark: SparkSession, path) -> DataFrame:
-    return _raw(spark, path, TRADES).select(
-        _ms("time").alias("timestamp"), _num("price").alias("price"), _num("qty").alias("quantity"), _flag("is_buyer_maker").alias("buyer_maker"), F.col("id").alias("trade_id")
-    )
+    rows = _raw(spark, path, TRADES, {**_doubles("price", "qty"), "time": "long", "is_buyer_maker": "boolean"})
+    return _trades(rows, "time", "qty", "id")
 
 
 def read_funding_csv(spark: SparkSession, path) -> DataFrame:
     """Funding updates with nanosecond times; times past the year 2500 are dropped."""
-    raw = _raw(spark, path, FUNDING).select(
-        F.trim("calc_time").try_cast("long").alias("_ms"), F.trim("funding_interval_hours").try_cast("long").alias("funding_interval_hours"), _num("last_funding_rate").alias("funding_rate")
-    )
+    raw = _raw(spark, path, FUNDING, {"funding_interval_hours": "long", "last_funding_rate": "double"})
+    ms = F.col("calc_time").try_cast("long")
     ts = F.col("_ms") * 1_000_000
-    return raw.where(F.col("_ms") <= MAX_FUNDING_MS).select(
-        ts.alias("ts_event"), "funding_interval_hours", "funding_rate", (ts + F.col("funding_interval_hours") * 3_600_000_000_000).alias("next_funding_ns")
+    return raw.withColumn("_ms", ms).where(F.col("_ms") <= MAX_FUNDING_MS).select(
+        ts.alias("ts_event"), "funding_interval_hours", F.col("last_funding_rate").alias("funding_rate"), (ts + F.col("funding_interval_hours") * 3_600_000_000_000).alias("next_funding_ns")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,17 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster session once (local sessions import it directly)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_tidemark_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark", "zip", root, "tidemark")
+    sc.addPyFile(archive)
+    sc._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, else the checkpoint folder already set.
 

@@ -24,8 +24,15 @@ def normalize_liquidations(df: DataFrame, raw: str = "raw", symbols: list[str] |
     only these base assets on the order layout, whose stream carries every symbol.
     """
     text = F.col(raw)
-    t, c = F.from_json(text, TOPIC_LAYOUT), F.from_json(text, TRADE_LAYOUT)
-    d = df.withColumns({"_o": F.try_parse_json(text), "_t": t, "_c": c})
+    # a message is parsed only for the layout whose marker it holds
+    marked = lambda marker, parsed: F.when(F.contains(text, F.lit(marker)), parsed)
+    d = df.withColumns(
+        {
+            "_o": marked('"forceOrder"', F.try_parse_json(text)),
+            "_t": marked('"liquidation.', F.from_json(text, TOPIC_LAYOUT)),
+            "_c": marked('"trades"', F.from_json(text, TRADE_LAYOUT)),
+        }
+    )
     num = lambda x: x.try_cast("double")
     o = lambda path, kind="string": F.try_variant_get(F.col("_o"), path, kind)
     order_ok = o("$.e") == "forceOrder"
@@ -44,5 +51,5 @@ def normalize_liquidations(df: DataFrame, raw: str = "raw", symbols: list[str] |
     trade = _row(first["time"], F.concat(first["coin"], F.lit("USDT-PERP")), "HYPERLIQUID", F.when(first["side"] == "A", "LONG").otherwise("SHORT"), num(first["px"]), num(first["sz"]))
     row = F.when(order_ok, order).when(topic_ok, topic).when(F.col("_c.channel") == "trades", trade)
     keep = [x for x in df.columns if x != raw]
-    out = d.withColumn("_row", row).select(*keep, "_row.*")
-    return out.where((F.col("price") > 0) & (F.col("quantity") > 0))
+    valid = F.filter(F.array(row), lambda r: (r["price"] > 0) & (r["quantity"] > 0))
+    return d.select(*keep, F.explode(valid).alias("_row")).select(*keep, "_row.*")

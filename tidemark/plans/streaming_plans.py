@@ -40,12 +40,23 @@ def drain(t, stream: DataFrame, mode: str = "append") -> DataFrame:
     Append streams land in Parquet. Complete streams replace their (aggregated) result per batch.
     """
     out, ck = scratch_path(t.spark, "sink"), scratch_path(t.spark, "sink-ck")
+    sc, width = t.spark.sparkContext, t.spark.conf.get("spark.sql.shuffle.partitions")
+    if sc.master.startswith("local"):
+        # every shuffle partition keeps a state store per batch: no more of them than local cores
+        t.spark.conf.set("spark.sql.shuffle.partitions", str(min(int(width), sc.defaultParallelism)))
+    try:
+        _run_to_end(stream, mode, out, ck)
+    finally:
+        t.spark.conf.set("spark.sql.shuffle.partitions", width)
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+def _run_to_end(stream: DataFrame, mode: str, out: str, ck: str) -> None:
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
     else:
         q = stream.writeStream.foreachBatch(lambda b, _id: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(out)
 
 
 @query("str_01_liquidation_stream", f"WITH {TICKS}, {LIQ} SELECT symbol, venue, side, CAST(make_timestamp(ms * 1000) :: DATE AS VARCHAR) AS dt, count(*) AS n, {rnd('sum(value)', 3)} AS total FROM lq GROUP BY 1, 2, 3, 4")

@@ -32,9 +32,9 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster session once (local sessions import it directly)."""
+    """Send this package to the Python workers of a session once, wherever they run and whatever their working directory."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_tidemark_shipped", False):
+    if getattr(sc, "_tidemark_shipped", False):
         return
     root = pathlib.Path(__file__).resolve().parent.parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark", "zip", root, "tidemark")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .components import connected_components, spanning_links
+from .exact_dedup import row_key
 
 #: Bits of each segment (low bits first) and the budget of a chain of 1..5 segments for a distance of 4.
 WIDTHS = (13, 13, 13, 13, 12)
@@ -51,14 +52,15 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed long."""
+    """(doc_id, text_hash, fp long): the fingerprint's 64 bits as a signed long; the hash tells rows of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint_of(t) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -103,8 +105,19 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.bit_count(x) <= BUDGET[-1]) & (first == start)).select("u", "v")
 
 
+def components_of(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint: the smallest doc_id reachable; null only if no id is there."""
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = spanning_links(near_pairs(classes.select("fp")))
+    joined = connected_components(links).select(F.col("id").alias("fp"), F.col("component"))
+    # components are named by a fingerprint so far; the smallest document of all their classes names them now
+    named = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return checkpointed(named.select("fp", "component").join(names, "component").select("fp", "component", "component_id"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every document.
+    """(doc_id, fingerprint, component_id) for every row.
 
     Null and word-less texts have fingerprint zero and link like any other. ``component_id`` is the smallest id
     reachable over links of at most four differing bits, itself included. A null id keeps its row; it links
@@ -112,18 +125,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives an empty result; other columns are not read.
     """
     prints = checkpointed(with_fingerprints(docs, id_col, text_col))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = spanning_links(near_pairs(classes.select("fp")))
-    joined = connected_components(links).select(F.col("id").alias("fp"), F.col("component"))
-    # components are named by a fingerprint so far; the smallest document of all their classes names them now
-    named = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    lookup = checkpointed(named.select("fp", "component").join(names, "component").select("fp", "component_id"))
-    return prints.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(components_of(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each near-duplicate component: the smallest id."""
-    groups = simhash_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id"))
-    kept = docs.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of ``docs``, all columns, with one row of each near-duplicate component: the smallest id (null ids
+    last, then the text's hash). A row repeated whole stays once."""
+    prints = checkpointed(with_fingerprints(docs, id_col, text_col))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = prints.join(components_of(prints), "fp").groupBy("component").agg(F.min(rank).alias("w"))
+    kept = first.select(row_key(F.col("w.doc_id"), F.col("w.text_hash")).alias("_key"))
+    rows = docs.withColumn("_key", row_key(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

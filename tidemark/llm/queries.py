@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, nbest, simhash, token_counts
+from . import exact_dedup, license_join, mixing, nbest, projection_neighbours, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_license_scan", license_join.sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.license_scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_exact_dedup", exact_dedup.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))

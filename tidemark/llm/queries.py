@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_join, mixing, nbest, projection_neighbours, simhash, token_counts
+from . import byte_cnn, exact_dedup, license_join, mixing, nbest, projection_neighbours, simhash, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_source_mixing", mixing.sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +56,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("budget", F.round("budget", 3))
 
 
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_sentencepiece_n_best")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(table(spark, sf_dir, "documents"))

@@ -34,12 +34,11 @@ def token_counts(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id
                 part = pdf.iloc[at : at + ROWS]
                 split = [model.pre_tokens(t) for t in part["text"]]
                 sets = [set(words) for words in split]
-                trie.add(set().union(*sets) - trie.counts.keys())
+                everything = set().union(*sets)
+                trie.add([w for w in everything if w not in trie.counts])
+                # adding may have forgotten what was known before
+                trie.add([w for w in everything if w not in trie.counts])
                 look = trie.counts.__getitem__
-                # a batch may have met forgotten words again: add() forgets before it counts, so look them up now
-                missing = {w for s in sets for w in s if w not in trie.counts}
-                if missing:
-                    trie.add(missing)
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64"),

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PieceModel, Segmenter
-from .token_counts import MODEL
+from .pieces import SPACE_MARK, PieceModel, Segmenter, SuffixTable, Trie, code_points
+from .token_counts import MODEL, ROWS, Splits
 
-ROWS = 512
 N_BEST = 4
 ENCODED = "doc_id long, ids array<int>, n_pieces long, score double, n_best_scores array<double>, n_best_sizes array<int>, round_trip boolean"
 
@@ -24,6 +22,49 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+class Words:
+    """Best segmentation of distinct pre-tokens: ids, score and distance to the second best."""
+
+    def __init__(self, model: PieceModel, table: SuffixTable, words: list[str], short: np.ndarray, seg: Segmenter):
+        self.score, self.gap = np.zeros(len(words)), np.full(len(words), np.inf)
+        self.ids: list = [()] * len(words)
+        shallow = np.flatnonzero(short)
+        trie = Trie(model, [words[i] for i in shallow], table)
+        flat, offsets = trie.ids()
+        self.score[shallow], self.gap[shallow] = trie.best[trie.ends], trie.best[trie.ends] - trie.second[trie.ends]
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        size[shallow], start[shallow] = np.diff(offsets), offsets[:-1]
+        # long pre-tokens and those with unknown characters go one by one
+        odd = ~short
+        odd[shallow] |= trie.odd[trie.ends]
+        more, end = [], int(offsets[-1])
+        for i in np.flatnonzero(odd):
+            ids, self.score[i], self.gap[i] = seg.viterbi(words[i])
+            more.append(np.array(ids, np.int32))
+            size[i], start[i], end = len(ids), end, end + len(ids)
+        self.flat, self.size, self.start = np.concatenate([flat, *more]), size, start
+        self.same = self._decoded(model, words, odd)
+
+    def _decoded(self, model: PieceModel, words: list[str], odd: np.ndarray) -> np.ndarray:
+        """Whether the ids of each pre-token decode to it."""
+        plain, same = np.flatnonzero(~odd), np.zeros(len(words), bool)
+        wanted = code_points("".join([words[i] for i in plain]))
+        ids = self.ids_of(plain)
+        got, per_word = model.points_of(ids), np.array([len(words[i]) for i in plain], np.int64)
+        decoded = np.add.reduceat(model.piece_size[ids], np.cumsum(self.size[plain]) - self.size[plain]) if len(plain) else per_word
+        if np.array_equal(decoded, per_word):
+            wrong = np.add.reduceat((got != wanted).astype(np.int64), np.cumsum(per_word) - per_word) if len(plain) else per_word
+            same[plain] = wrong == 0
+        for i in np.flatnonzero(odd).tolist():
+            same[i] = model.decode_raw(self.flat[self.start[i] : self.start[i] + self.size[i]].tolist()) == words[i].replace(SPACE_MARK, " ")
+        return same
+
+    def ids_of(self, row: np.ndarray) -> np.ndarray:
+        size = self.size[row]
+        before = np.cumsum(size) - size
+        return self.flat[np.repeat(self.start[row] - before, size) + np.arange(int(size.sum()))]
+
+
 def encode(docs: DataFrame, model_file: str = MODEL, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: piece ids of the best segmentation of the whole text, its size and score, scores and
     sizes of the n best in order (fewer when there are fewer), and whether decoding the ids gives the text back.
@@ -36,22 +77,23 @@ def encode(docs: DataFrame, model_file: str = MODEL, n: int = N_BEST, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        seg = Segmenter(model, n)
+        seg, table = Segmenter(model, n), SuffixTable(model.pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
+                texts = part.column(1).to_pylist()
+                split = Splits(model, texts)
+                words = Words(model, table, split.words, split.short(), seg)
                 ids, totals, scores, sizes, same = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    words = model.pre_tokens(text)
-                    best = [seg.viterbi(w) for w in words]
-                    own = np.fromiter(chain.from_iterable(v[0] for v in best), np.int32)
-                    total = sum(v[1] for v in best)
-                    ways = seg.text_n_best(words)
+                for text, row in zip(texts, split.rows()):
+                    own, total = words.ids_of(row), float(words.score[row].sum())
+                    ways = seg.text_n_best(split.words, row, words.gap[row])
                     ids.append(own)
-                    totals.append(float(total))
+                    totals.append(total)
                     scores.append(np.array([total - d for d, _ in ways]))
-                    sizes.append(np.array([len(own) + sum(len(x) - len(best[i][0]) for i, x in c.items()) for _, c in ways], np.int32))
-                    same.append(model.decode(own.tolist()) == (text or ""))
+                    sizes.append(np.array([len(own) + sum(len(x) - int(words.size[row[i]]) for i, x in c.items()) for _, c in ways], np.int32))
+                    # decoding joins what the pre-tokens decode to and takes the dummy prefix off
+                    same.append(bool(words.same[row].all()) and SPACE_MARK not in (text or ""))
                 counts = pa.array([len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _lists(ids, pa.int32()), counts, pa.array(totals, pa.float64()), _lists(scores, pa.float64()), _lists(sizes, pa.int32()), pa.array(same)],

@@ -3,16 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PieceModel, TrieCounts
+from .pieces import PieceModel, Segmenter, SuffixTable, Trie
 
 #: Vocabulary file of a public tokenizer; any SentencePiece file with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ROWS = 1024
+ROWS = 2048
+#: Pre-tokens longer than this are counted one by one: a trie of very deep paths would hold little but them.
+DEEP = 64
+
+
+class Splits:
+    """Texts as rows of numbers of distinct pre-tokens, sorted."""
+
+    def __init__(self, model: PieceModel, texts: list[str | None]):
+        split = [model.pre_tokens(t) for t in texts]
+        self.words = sorted(set(chain.from_iterable(split)))
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        number = dict(zip(self.words, range(len(self.words))))
+        self.flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(self.sizes.sum()))
+        self.ends = np.cumsum(self.sizes)
+
+    def rows(self) -> Iterator[np.ndarray]:
+        for size, end in zip(self.sizes.tolist(), self.ends.tolist()):
+            yield self.flat[end - size : end]
+
+    def short(self) -> np.ndarray:
+        return np.fromiter((len(w) <= DEEP for w in self.words), bool, len(self.words))
+
+
+def counts_of(model: PieceModel, table: SuffixTable, words: list[str], short: np.ndarray) -> np.ndarray:
+    """Tokens of each distinct pre-token of a sorted list."""
+    counts = np.zeros(len(words), np.int64)
+    shallow = np.flatnonzero(short)
+    counts[shallow] = Trie(model, [words[i] for i in shallow], table).counts()
+    one = Segmenter(model, 1)
+    for i in np.flatnonzero(~short):
+        counts[i] = len(one.viterbi(words[i])[0])
+    return counts
 
 
 def token_counts(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,31 +54,25 @@ def token_counts(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id
 
     ``n_tokens`` is the length of the best-scored segmentation, byte pieces counted one by one. Null and empty
     texts have zeros. Rows that repeat an id have one row each; other columns are not read; an empty table gives
-    an empty result. Nothing is shuffled. A task keeps the counts of the pre-tokens it has met, a bounded number;
-    beyond that it forgets them and counts anew, which changes no result.
+    an empty result. Nothing is shuffled; memory follows the pre-tokens of ``ROWS`` texts.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(PieceModel.from_file(model_file))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        trie = TrieCounts(model)
+        table = SuffixTable(model.pieces)
         for pdf in batches:
             for at in range(0, len(pdf), ROWS):
                 part = pdf.iloc[at : at + ROWS]
-                split = [model.pre_tokens(t) for t in part["text"]]
-                sets = [set(words) for words in split]
-                everything = set().union(*sets)
-                trie.add([w for w in everything if w not in trie.counts])
-                # adding may have forgotten what was known before
-                trie.add([w for w in everything if w not in trie.counts])
-                look = trie.counts.__getitem__
+                texts = Splits(model, part["text"].tolist())
+                counts = counts_of(model, table, texts.words, texts.short())
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64"),
-                        "n_pre_tokens": [len(w) for w in split],
-                        "n_distinct_pre_tokens": [len(s) for s in sets],
-                        "n_tokens": [sum(map(look, w)) for w in split],
+                        "n_pre_tokens": texts.sizes,
+                        "n_distinct_pre_tokens": [len(np.unique(r)) for r in texts.rows()],
+                        "n_tokens": [int(counts[r].sum()) for r in texts.rows()],
                     }
                 )
 

@@ -164,6 +164,14 @@ def merge(a: list, b: list) -> list:
     return [a[0], a[1] | b[1], a[2] | b[2], inner]
 
 
+def _alike(a: list, b: list) -> bool:
+    """Whether two neighbours of one label repeat each other: most kinds of children in common."""
+    if a[0] != b[0] or a[0] == "#":
+        return a[0] == b[0]
+    x, y = {n[0] for n in a[3]}, {n[0] for n in b[3]}
+    return 2 * len(x & y) >= len(x | y)
+
+
 def fold(nodes: list) -> list:
     """Neighbouring repetitions as repeated nodes (runs of one) and repeated groups (runs of up to GROUP)."""
     if len(nodes) < 2:
@@ -172,7 +180,7 @@ def fold(nodes: list) -> list:
         out: list = []
         for node in nodes:
             out.append(node)
-            while len(out) >= 2 * width and [n[0] for n in out[-width:]] == [n[0] for n in out[-2 * width : -width]]:
+            while len(out) >= 2 * width and all(map(_alike, out[-width:], out[-2 * width : -width])):
                 if width == 1 and out[-1][0] == "#":
                     break  # neighbouring texts are one block already
                 first, second = out[-2 * width : -width], out[-width:]
@@ -185,7 +193,7 @@ def fold(nodes: list) -> list:
             if width > 1 and len(out) > width and out[-1][0] != "()":
                 # a group that is already repeated takes in one more run
                 head = out[-width - 1]
-                if head[0] == "()" and [n[0] for n in head[3]] == [n[0] for n in out[-width:]]:
+                if head[0] == "()" and len(head[3]) == width and all(map(_alike, head[3], out[-width:])):
                     out[-width - 1 :] = [["()", head[1], 1, [merge(x, y) for x, y in zip(head[3], out[-width:])]]]
         nodes = out
     return nodes
@@ -219,8 +227,10 @@ def align(a: list, b: list) -> list:
 
 
 def _merge_wrappers(a: tuple[int, list], b: tuple[int, list]) -> tuple[int, list]:
-    """(distinct pages, nodes) of two wrappers; equal streams count once."""
-    return (max(a[0], b[0]), a[1]) if a[1] == b[1] else (a[0] + b[0], align(a[1], b[1]))
+    """(distinct pages, nodes) of two wrappers; a page equal to another counts once."""
+    if a[0] == b[0] == 1 and a[1] == b[1]:
+        return a
+    return a[0] + b[0], align(a[1], b[1])
 
 
 def _infer(batches: Iterator[pd.DataFrame], most: int = 20_000) -> Iterator[pd.DataFrame]:

@@ -176,10 +176,10 @@ class Trie:
         n = len(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
         deep = int(sizes.max(initial=0))
-        chars = np.array(words, dtype=f"<U{max(1, deep)}").view(np.uint32).reshape(n, -1).astype(np.uint64)
+        chars = np.array(words, dtype=f"<U{max(1, deep)}").view(np.uint32).reshape(n, max(1, deep)).astype(np.uint64)
         differs = chars[1:] != chars[:-1]
         shared = np.where(differs.any(axis=1), differs.argmax(axis=1), deep)
-        shared = np.concatenate(([0], np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))))
+        shared = np.concatenate(([0], np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))))[:n]
         at = np.zeros((n, deep + 1), np.int32)  # node of every row and depth; 0 is the root
         total = 1 + int((sizes - shared).sum())
         self.best, self.second = np.full(total, -np.inf), np.full(total, -np.inf)

@@ -42,7 +42,7 @@ MARKS = frozenset(" .-_*~,'’/\\")
 SWAP_COST, WILD_COST, DROP_COST, REPEAT_COST = 1.0, 2.5, 0.3, 0.3
 #: Letters of the model: 0 is a word's edge, 1..26 are a..z, 27 any other letter.
 LETTERS = 28
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Least support and the normal quantile of the lower bound on a feature's toxic share.
 SUPPORT, Z2 = 4, 3.0
 

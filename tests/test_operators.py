@@ -152,7 +152,7 @@ def test_ensemble_against_greedy_loop(spark):
     for n in sorted(names, key=sharpe.get, reverse=True):
         if len(picked) < 3 and all(abs(rho[tuple(sorted((n, p)))]) <= 0.3 for p in picked):
             picked.append(n)
-    got = perf.select_ensemble(spark.createDataFrame(sharpe.items(), "strategy string, sharpe double"), corr, names, n_select=3)
+    got = perf.select_ensemble(spark.createDataFrame(sharpe.items(), "strategy string, sharpe double"), corr, n_select=3)
     assert [r["strategy"] for r in got.orderBy("rank").collect()] == picked
 
 

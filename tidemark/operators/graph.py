@@ -48,14 +48,22 @@ def lineage_roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "paren
     raise ValueError("lineage deeper than max_depth or cyclic")
 
 
-def lineage_of(nodes: DataFrame, start, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 64) -> DataFrame:
-    """Chain from one node up to its root: (id, depth)."""
+def lineage_of(nodes: DataFrame, start, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """Chain from one node up to its root, however long: (id, depth).
+
+    The known part of the chain doubles with every join: round k adds the ancestors 2^k steps above it. A parent
+    that is not a node ends the chain. Raises on a cycle, where an ancestor comes back at a second depth.
+    """
     tab = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("p"))
-    cur = tab.where(F.col("id") == start).withColumn("depth", F.lit(0))
-    out = cur
-    for d in range(1, max_depth + 1):
-        cur = checkpointed(tab.join(cur.select(F.col("p").alias("id")), "id", "left_semi").withColumn("depth", F.lit(d)))
-        if cur.isEmpty():
-            break
-        out = out.union(cur)
-    return out.select("id", "depth")
+    ids = tab.select(F.col("id").alias("p"))
+    up = checkpointed(tab.join(ids, "p", "left_semi").select("id", F.col("p").alias("up")))
+    out, jump = checkpointed(tab.where(F.col("id") == start).select("id", F.lit(0).cast("long").alias("depth"))), 1
+    while True:
+        above = checkpointed(out.join(up, "id").select(F.col("up").alias("id"), (F.col("depth") + jump).alias("depth")))
+        if above.isEmpty():
+            return out.select("id", F.col("depth").cast("int").alias("depth"))
+        out = checkpointed(out.union(above))
+        if out.groupBy("id").count().where("count > 1").limit(1).count():
+            raise ValueError("the lineage is cyclic")
+        nxt = up.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        up, jump = checkpointed(up.join(nxt, "up").select("id", F.col("up2").alias("up"))), jump * 2

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import ROWS, full, log_return, mean_expanding, rolling, rolling_return, std_population, volume_ratio, with_key_rows
 
@@ -198,17 +202,54 @@ def with_confidence(model, df: DataFrame, name: str = "confidence") -> DataFrame
     return out.withColumn(name, vector_to_array("probability")[1]).drop("_vec", "rawPrediction", "probability")
 
 
-def score_splits(roles: DataFrame, features: Sequence[str], label: str, splits: Sequence[int], **params) -> DataFrame:
-    """Accuracy of the secondary classifier per split. Loops over the few splits asked for; the rows
-    of each fit and evaluation stay distributed."""
-    parts = []
-    for k in splits:
-        one = roles.where(F.col("split") == k)
-        model = secondary_classifier(one.where("role = 'train'"), features, label, **params)
-        scored = model.transform(one.where("role = 'test'"))
-        hit = (F.col("prediction") == F.col(label)).cast("double")
-        parts.append(scored.agg(F.lit(k).alias("split"), F.count("*").alias("n"), F.avg(hit).alias("accuracy")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def score_splits(roles: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: str, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
+    """(keys, split, n, accuracy): every split of every key is fitted and scored, each in a group of its own.
+
+    A split holds at most its training and test rows, a few hundred whatever the table's size, so the groups are
+    bounded and their number grows with the rows. A split whose training rows have one class predicts that class.
+    """
+    keys, features = list(keys), list(features)
+    src = roles.select(*keys, "split", "role", order, label, *features).na.drop(subset=[label, *features])
+    schema = T.StructType([*[roles.schema[k] for k in keys], roles.schema["split"], T.StructField("n", T.LongType()), T.StructField("accuracy", T.DoubleType())])
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order], kind="stable")
+        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
+        hit = None
+        if len(train) and len(test):
+            p = forest_votes(train[features].to_numpy(float), train[label].to_numpy(int), test[features].to_numpy(float), trees, depth, seed)
+            hit = float(((p >= 0.5).astype(int) == test[label].to_numpy(int)).mean())
+        return pd.DataFrame([(*key, len(test), hit)], columns=schema.names)
+
+    return src.groupBy(*keys, "split").applyInPandas(fit, schema)
+
+
+def forest_votes(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
+    """Mean class-1 share over bootstrapped Gini trees, the square root of the features tried at each node."""
+    rng = np.random.default_rng(seed)
+    some = max(1, int(math.sqrt(x.shape[1])))
+    total = np.zeros(len(at))
+    for _ in range(trees):
+        rows = rng.integers(0, len(x), len(x))
+        stack = [(rows, np.arange(len(at)), depth)]
+        while stack:
+            here, there, left = stack.pop()
+            if not len(there):
+                continue
+            ones, best = y[here].sum(), None
+            if left and 0 < ones < len(here):
+                for f in rng.permutation(x.shape[1])[:some]:
+                    order = np.argsort(x[here, f], kind="stable")
+                    v, c = x[here, f][order], np.cumsum(y[here][order])[:-1]
+                    n = np.arange(1, len(v))
+                    impurity = np.where(v[1:] > v[:-1], c * (n - c) / n + (ones - c) * (len(v) - n - ones + c) / (len(v) - n), np.inf)
+                    k = int(impurity.argmin()) if len(n) else 0
+                    if len(n) and impurity[k] < np.inf and (best is None or impurity[k] < best[0]):
+                        best = (impurity[k], f, (v[k] + v[k + 1]) / 2)
+            if best is None:
+                total[there] += ones / len(here)
+                continue
+            _, f, cut = best
+            stack.append((here[x[here, f] <= cut], there[at[there, f] <= cut], left - 1))
+            stack.append((here[x[here, f] > cut], there[at[there, f] > cut], left - 1))
+    return total / trees

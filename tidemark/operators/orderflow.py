@@ -15,6 +15,8 @@ from .timeseries import sample_by
 from .windows import ROWS, rolling
 
 BUY, SELL, UNKNOWN = "BUY", "SELL", "UNKNOWN"
+#: Cumulative volumes: 24 digits before the point, 12 after.
+EXACT = "decimal(36,12)"
 
 
 def tick_rule(df, keys, order, price: str, block, name: str = "side") -> DataFrame:
@@ -43,22 +45,27 @@ def volume_buckets(df, keys, order, volume: str, side: str, block, bucket_size:
     """Equal-volume buckets: a trade fills the current bucket and spills over into the next ones.
 
     Cumulative volume says which buckets a trade covers, so the split is one explode and one partial
-    aggregate. Returns (keys, bucket, buy, sell, complete, end_ts).
+    aggregate. Volumes are summed as decimals (``EXACT``), so a bucket's border is the same however much came
+    before it, and a bucket is complete once the cumulative volume has reached its end: all but the last one of a
+    key. Returns (keys, bucket, buy, sell, complete, end_ts).
     """
-    size = F.lit(float(bucket_size))
+    size = F.lit(bucket_size).cast(EXACT)
     # the sides usually come from another blocked operator
-    known = checkpointed(df).where((F.col(side) != UNKNOWN) & (F.col(volume) > 0))
-    cum = running(known, keys, order, block, {"_cum": ("sum", F.col(volume))})
-    start = F.col("_cum") - F.col(volume)
-    span = F.sequence(F.floor(start / size).cast("long"), (F.ceil(F.col("_cum") / size) - 1).cast("long"))
-    parts = cum.select(*keys, F.col(order[0]).alias("_ts"), F.col(side).alias("_side"), "_cum", start.alias("_start"), F.explode(span).alias("bucket"))
-    share = F.least(F.col("_cum"), (F.col("bucket") + 1) * size) - F.greatest(F.col("_start"), F.col("bucket") * size)
-    out = parts.withColumn("_v", share).groupBy(*keys, "bucket").agg(
+    known = checkpointed(df).where((F.col(side) != UNKNOWN) & (F.col(volume) > 0)).withColumn("_vol", F.col(volume).cast(EXACT))
+    cum = running(known, keys, order, block, {"_cum": ("sum", F.col("_vol"))}).withColumn("_cum", F.col("_cum").cast(EXACT))
+    cum = cum.withColumns({"_start": (F.col("_cum") - F.col("_vol")).cast(EXACT), "_size": size})
+    # whole-number division: a rounded quotient could point to the next bucket
+    first, last = F.expr("_start div _size"), F.expr("_cum div _size - if(_cum % _size = 0, 1, 0)")
+    parts = cum.select(*keys, F.col(order[0]).alias("_ts"), F.col(side).alias("_side"), "_cum", "_start", F.explode(F.sequence(first, last)).alias("bucket"))
+    low, high = (F.col("bucket").cast("decimal(20,0)") * size).cast(EXACT), ((F.col("bucket") + 1).cast("decimal(20,0)") * size).cast(EXACT)
+    share = (F.least(F.col("_cum"), high) - F.greatest(F.col("_start"), low)).cast("double")
+    out = parts.withColumns({"_v": share, "_full": F.col("_cum") >= high}).groupBy(*keys, "bucket").agg(
         F.sum(F.when(F.col("_side") == BUY, F.col("_v")).otherwise(0.0)).alias("buy"),
         F.sum(F.when(F.col("_side") == SELL, F.col("_v")).otherwise(0.0)).alias("sell"),
         F.max("_ts").alias("end_ts"),
+        F.bool_or("_full").alias("complete"),
     )
-    return out.withColumn("complete", F.col("buy") + F.col("sell") >= size * (1 - 1e-12))
+    return out.select(*keys, "bucket", "buy", "sell", "end_ts", "complete")
 
 
 def vpin(buckets: DataFrame, keys: Sequence[str], n_buckets: int = 50, rows: int = ROWS) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -188,39 +187,26 @@ def contender_metrics(results: DataFrame, name: str = "contender") -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("avg_sharpe"), F.asc(name))).cast("long"))
 
 
-def compare_contenders(results: DataFrame, contenders: Sequence[str], name: str = "contender", window: str = "window_id", significance: float = 0.05, edge: float = 0.2) -> DataFrame:
-    """Every unordered pair of the listed contenders over the windows both have.
+def compare_contenders(results: DataFrame, name: str = "contender", window: str = "window_id", significance: float = 0.05, edge: float = 0.2) -> DataFrame:
+    """Every unordered pair of contenders found in the results, over the windows both have.
 
-    Contenders become columns of one row per window and each pair is a handful of sums, so no pair
-    rows are ever produced below the final result. Sums of differences are centred by construction
-    (returns are small), and the variance is clipped at 0.
+    An equi join on the window pairs the contenders of each window (pairs are this report's rows) and is
+    aggregated per pair, so the number of contenders is the data's. Equal windows of one contender count once.
     """
-    names = list(contenders)
-    pick = lambda c, s: F.max(F.when(F.col(name) == s, F.col(c)))
-    wide = results.where(F.col(name).isin(names)).groupBy(window).agg(
-        *[pick(c, s).alias(f"{c}{i}") for i, s in enumerate(names) for c in ("sharpe", "ret", "drawdown")]
+    one = results.groupBy(window, name).agg(*[F.max(c).alias(c) for c in ("sharpe", "ret", "drawdown")]).where(F.col("ret").isNotNull())
+    left, right = (one.select(F.col(window).alias("_w"), F.col(name).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("sharpe", "ret", "drawdown")]) for x in "ab")
+    d = F.col("ret_a") - F.col("ret_b")
+    p = left.join(right, "_w").where("a < b").groupBy("a", "b").agg(
+        F.count(d).alias("n"),
+        F.avg(d).alias("mean"),
+        F.stddev_samp(d).alias("sd"),
+        F.count_if(d > 0).alias("wins"),
+        F.count_if(d < 0).alias("losses"),
+        F.avg("sharpe_a").alias("sa"),
+        F.avg("sharpe_b").alias("sb"),
+        F.avg("drawdown_a").alias("da"),
+        F.avg("drawdown_b").alias("db"),
     )
-    pairs = list(itertools.combinations(range(len(names)), 2))
-    aggs = []
-    for i, j in pairs:
-        both = F.col(f"ret{i}").isNotNull() & F.col(f"ret{j}").isNotNull()
-        d = F.when(both, F.col(f"ret{i}") - F.col(f"ret{j}"))
-        aggs.append(
-            F.struct(
-                F.lit(names[i]).alias("a"),
-                F.lit(names[j]).alias("b"),
-                F.count(d).alias("n"),
-                F.avg(d).alias("mean"),
-                F.stddev_samp(d).alias("sd"),
-                F.count_if(d > 0).alias("wins"),
-                F.count_if(d < 0).alias("losses"),
-                F.avg(F.when(both, F.col(f"sharpe{i}"))).alias("sa"),
-                F.avg(F.when(both, F.col(f"sharpe{j}"))).alias("sb"),
-                F.avg(F.when(both, F.col(f"drawdown{i}"))).alias("da"),
-                F.avg(F.when(both, F.col(f"drawdown{j}"))).alias("db"),
-            ).alias(f"p{i}_{j}")
-        )
-    p = wide.agg(*aggs).select(F.explode(F.array(*[F.col(f"p{i}_{j}") for i, j in pairs])).alias("_p")).select("_p.*").where("n > 0")
     p = p.withColumn("_se", F.col("sd") / F.sqrt("n")).withColumn("_t", F.col("mean") / F.when(F.col("_se") >= 1e-10, F.col("_se")))
     p = p.withColumn("_p", t_two_sided(F.col("_t"), F.col("n") - 1))
     degenerate = F.col("_se") < 1e-10
@@ -228,7 +214,9 @@ def compare_contenders(results: DataFrame, contenders: Sequence[str], name: str
     pv = F.when((F.col("n") < 2) | (degenerate & (F.abs("mean") < 1e-10)), 1.0).when(degenerate, 0.0).otherwise(F.col("_p"))
     win_loss = F.when(F.col("losses") == 0, F.when(F.col("wins") > 0, INF).otherwise(1.0)).otherwise(F.col("wins") / F.nullif("losses", F.lit(0)))
     rel_dd = F.when(F.col("db") > 1e-10, F.col("da") / F.when(F.col("db") > 1e-10, F.col("db"))).when(F.col("da") < 1e-10, 1.0).otherwise(INF)
-    out = p.select("a", "b", "n", (F.col("sa") - F.col("sb")).alias("sharpe_difference"), win_loss.alias("win_loss_ratio"), rel_dd.alias("relative_drawdown"), t.alias("t_statistic"), pv.alias("p_value"))
+    level = F.abs("sb")
+    percent = F.when(level > 1e-10, (F.col("sa") - F.col("sb")) / F.when(level > 1e-10, level) * 100).otherwise(0.0)
+    out = p.select("a", "b", "n", (F.col("sa") - F.col("sb")).alias("sharpe_difference"), percent.alias("sharpe_difference_pct"), win_loss.alias("win_loss_ratio"), rel_dd.alias("relative_drawdown"), t.alias("t_statistic"), pv.alias("p_value"))
     sig = F.col("p_value") < significance
     return out.withColumns({"significant": sig, "a_beats_b": sig & (F.col("sharpe_difference") > edge) & (F.col("t_statistic") > 0)})
 
@@ -272,32 +260,28 @@ def lead_correlations(df, keys, order, x: str, y: str, block, lags: Sequence[int
     return out.agg(*[F.corr(x, f"_y{k}").alias(f"lag_{k}") for k in lags])
 
 
-def correlation_matrix(df: DataFrame, strategy: str, seq: str, ret: str, strategies: Sequence[str]) -> DataFrame:
+def correlation_matrix(df: DataFrame, strategy: str, seq: str, ret: str) -> DataFrame:
     """Pairwise correlations over the rows every strategy reaches: (a, b, corr), NaN as 0.
 
-    ``seq`` numbers each strategy's returns from 1; rows past the shortest strategy drop out because
-    they lack a value. Strategies become columns, so a pair costs one aggregate, not one row per step.
+    ``seq`` numbers each strategy's returns from 1; rows past the shortest strategy drop out. Strategies meet by an
+    equi join on ``seq``, one partial aggregate per pair, however many strategies the data has.
     """
-    names = list(strategies)
-    wide = df.where(F.col(strategy).isin(names)).groupBy(seq).agg(*[F.max(F.when(F.col(strategy) == s, F.col(ret))).alias(f"x{i}") for i, s in enumerate(names)])
-    whole = wide.na.drop()
-    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
-    one = whole.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    val = lambda i, j: F.coalesce(F.when(F.isnan(f"c{i}_{j}"), 0.0).otherwise(F.col(f"c{i}_{j}")), F.lit(0.0))
-    rows = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), val(i, j).alias("corr")) for i, j in pairs])
-    return one.select(F.explode(rows).alias("_r")).select("_r.*")
+    sizes = df.groupBy(strategy).agg(F.max(seq).alias("n"))
+    short = sizes.agg(F.min("n").alias("n")).select("n").scalar()
+    whole = df.where(F.col(seq) <= short)
+    left, right = (whole.select(F.col(seq).alias("_s"), F.col(strategy).alias(x), F.col(ret).cast("double").alias(f"r{x}")) for x in "ab")
+    c = F.corr("ra", "rb")
+    return left.join(right, "_s").where("a <= b").groupBy("a", "b").agg(c.alias("corr")).withColumn("corr", F.coalesce(F.when(F.isnan("corr"), 0.0).otherwise(F.col("corr")), F.lit(0.0)))
 
 
-def select_ensemble(sharpes: DataFrame, corr: DataFrame, strategies: Sequence[str], strategy: str = "strategy", n_select: int = 5, max_corr: float = 0.3, min_sharpe: float = 0.0) -> DataFrame:
+def select_ensemble(sharpes: DataFrame, corr: DataFrame, strategy: str = "strategy", n_select: int = 5, max_corr: float = 0.3, min_sharpe: float = 0.0) -> DataFrame:
     """Greedy pick by Sharpe, skipping strategies too correlated with one already picked.
 
-    Works on one row per strategy and pair of the short list ``strategies`` (bounded input): the
-    heavy part, the correlations, is aggregated before.
+    Works on one row per strategy and pair; the heavy part, the correlations, is aggregated before.
     """
-    names = list(strategies)
     c = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "a", "b"), F.abs("corr"))))
     cand = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("sharpe").alias("s"), F.col(strategy).alias("name")))))
-    base = sharpes.where(F.col(strategy).isin(names) & (F.col("sharpe") >= min_sharpe)).agg(cand.alias("_c")).withColumn("_m", corr.agg(c.alias("m")).select("m").scalar())
+    base = sharpes.where(F.col("sharpe") >= min_sharpe).agg(cand.alias("_c")).withColumn("_m", corr.agg(c.alias("m")).select("m").scalar())
 
     def rho(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_element_at("_m", F.concat_ws("|", a, b)), F.try_element_at("_m", F.concat_ws("|", b, a)), F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,21 +36,24 @@ def high_pass(df, keys, order, col: str, block, period: int, name: str = "hp") -
     return affine_scan(prev, keys, order, block, {name: (F.lit(a), step, F.lit(0.0))}).drop("_x")
 
 
+def _innovation(x: Column, mean: Column, alpha: float) -> Column:
+    """a (1-a) (x - previous mean)^2 from the new mean, whose distance to x is (1-a) times the old one's.
+
+    No large numbers are subtracted but x and a mean near it, so small variances survive large levels.
+    """
+    d = x - mean
+    return F.lit(alpha / (1 - alpha)) * d * d
+
+
 def ew_moments(df, keys, order, col: str, block, alphas: dict[str, float]) -> DataFrame:
-    """Exponentially weighted mean and variance per ``{name: alpha}`` in one pass.
+    """Exponentially weighted mean and variance per ``{name: alpha}``: two chained scans.
 
-    The recursive variance (1-a)(v + a d^2), d from the old mean, equals the weighted second moment
-    minus the squared mean, and both moments are plain affine recurrences.
+    First the means, then v = (1-a) (v + a d^2) with d from the old mean.
     """
     x = F.col(col)
-    rec = {}
-    for n, a in alphas.items():
-        rec[f"{n}_mean"] = _ema(x, a)
-        rec[f"_{n}_m2"] = _ema(x * x, a)
-    out = affine_scan(df, keys, order, block, rec)
-    for n in alphas:
-        out = out.withColumn(f"{n}_var", F.greatest(F.lit(0.0), F.col(f"_{n}_m2") - F.col(f"{n}_mean") ** 2)).drop(f"_{n}_m2")
-    return out
+    means = affine_scan(df, keys, order, block, {f"{n}_mean": _ema(x, a) for n, a in alphas.items()})
+    spread = {f"{n}_var": (F.lit(1 - a), _innovation(x, F.col(f"{n}_mean"), a), F.lit(0.0)) for n, a in alphas.items()}
+    return affine_scan(means, keys, order, block, spread)
 
 
 def atr(df, keys, order, block, high="high", low="low", close="close", period: int = 14, name: str = "atr", rows: int = ROWS) -> DataFrame:
@@ -75,38 +79,42 @@ def atr(df, keys, order, block, high="high", low="low", close="close", period: i
 
 
 def variance_regime(df, keys, order, ret: str, block, fast: int = 10, slow: int = 50, momentum: int = 20, trend: float = 1.5, revert: float = 0.7) -> DataFrame:
-    """Regime from fast / slow variance, with filtered momentum and volatility, in one pass."""
+    """Regime from fast / slow variance, with filtered momentum and volatility, in two chained scans."""
     x = F.col(ret)
     fa, sa = ema_alpha(fast), ema_alpha(slow)
-    rec = {f"_{m}{k}": _ema(v, a) for k, a in (("f", fa), ("s", sa)) for m, v in (("m", x), ("q", x * x))}
-    rec["momentum"] = _ema(x, ema_alpha(momentum))
-    out = affine_scan(df, keys, order, block, rec)
-    fv, sv = (F.greatest(F.lit(0.0), F.col(f"_q{k}") - F.col(f"_m{k}") ** 2) for k in "fs")
+    means = {"_mf": _ema(x, fa), "_ms": _ema(x, sa), "momentum": _ema(x, ema_alpha(momentum))}
+    out = affine_scan(df, keys, order, block, means)
+    spread = {f"_q{k}": (F.lit(1 - a), _innovation(x, F.col(f"_m{k}"), a), F.lit(0.0)) for k, a in (("f", fa), ("s", sa))}
+    out = affine_scan(out, keys, order, block, spread)
+    fv, sv = F.col("_qf"), F.col("_qs")
     quiet = sv < 1e-10
     ratio = F.when(quiet, 1.0).otherwise(fv / F.when(~quiet, sv))
     regime = F.when(quiet, "unknown").when(ratio > trend, "trending").when(ratio < revert, "mean_reverting").otherwise("normal")
     return out.withColumns({"variance_ratio": ratio, "regime": regime, "volatility": F.sqrt(sv)}).drop("_mf", "_ms", "_qf", "_qs")
 
 
-def kalman_gains(q: float, r: float) -> list[float]:
-    """Gain of each step until it stops changing; it depends on the noise parameters only."""
-    gains, p = [], 1.0
-    while len(gains) < 5000:
-        pp = p + q
-        k = pp / (pp + r)
-        gains.append(k)
-        p = (1 - k) * pp
-        if len(gains) > 1 and abs(gains[-1] - gains[-2]) < 1e-15:
-            break
-    return gains
+def kalman_gain(n: Column, q: float, r: float) -> Column:
+    """Gain of step ``n`` (from 1, prior variance 1), for any n.
+
+    The posterior variance follows p -> r (p + q) / (p + q + r). Around its fixed points p1 > p2 the ratio
+    (p - p1) / (p - p2) shrinks by a constant factor, which gives the variance before step n in closed form; it
+    tends to the steady state p1. Without process noise the fixed points meet and 1 / p grows by 1 / r.
+    """
+    steps = n - 1
+    if q == 0:
+        p = F.lit(1.0) / (1 + steps / F.lit(float(r)))
+    else:
+        root = math.sqrt(q * q + 4 * q * r)
+        p1, p2 = (root - q) / 2, (-root - q) / 2
+        left = F.lit((1 - p1) / (1 - p2)) * F.pow(F.lit((r / (p1 + q + r)) ** 2), steps)
+        p = (F.lit(p1) - F.lit(p2) * left) / (1 - left)
+    return (p + q) / (p + q + r)
 
 
 def kalman(df, keys, order, col: str, block, process_noise: float = 0.01, measurement_noise: float = 0.1, name: str = "kalman") -> DataFrame:
     """Random-walk Kalman filter: data-independent gains make it an affine recurrence."""
-    gains = kalman_gains(process_noise, measurement_noise)
     src = running(df, keys, order, block, {"_n": ("count", F.lit(1))})
-    k = F.element_at(F.array(*[F.lit(g) for g in gains]), F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.lit(len(gains)))).cast("int"))
-    src = src.withColumn("_k", k)
+    src = src.withColumn("_k", kalman_gain(F.greatest(F.col("_n") - 1, F.lit(1)), process_noise, measurement_noise))
     return affine_scan(src, keys, order, block, {name: (1 - F.col("_k"), F.col("_k") * F.col(col), F.col(col))}).drop("_n", "_k")
 
 

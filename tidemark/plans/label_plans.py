@@ -170,7 +170,7 @@ def _(t):
     from ..session import checkpointed
 
     rows = checkpointed(_meta_rows(t).select("event_id", "meta", *FEATURES))
-    model = ml.secondary_classifier(rows, FEATURES, "meta", trees=20)
+    model = ml.secondary_classifier(rows, FEATURES, "meta")
     return ml.with_confidence(model, rows).select("event_id", "meta", rounded("confidence").alias("confidence"))
 
 
@@ -178,7 +178,7 @@ def _(t):
 def _(t):
     from ..session import checkpointed
 
-    rows = with_seq(_meta_rows(t), ["symbol"], ORD, DAY).withColumn("pos", F.col("seq") - 1)
+    rows = checkpointed(with_seq(_meta_rows(t), ["symbol"], ORD, DAY).withColumn("pos", F.col("seq") - 1))
     rows = rows.join(rows.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
-    roles = checkpointed(ml.split_roles(rows.select("pos", "n", "meta", *FEATURES), "pos", "n", step=252, purge=10))
-    return ml.score_splits(roles, FEATURES, "meta", [0, 1], trees=10).withColumn("accuracy", rounded("accuracy"))
+    roles = ml.split_roles(rows.select("symbol", "pos", "n", "meta", *FEATURES), "pos", "n", purge=10)
+    return ml.score_splits(roles, ["symbol"], FEATURES, "meta", "pos").withColumn("accuracy", rounded("accuracy"))

@@ -176,17 +176,18 @@ def _(t):
 
 _PV = f"CASE WHEN se < 1e-10 THEN CASE WHEN abs(md) < 1e-10 THEN 1 ELSE 0 END ELSE greatest(0, least(1, 2 * (1 - {norm_cdf_sql('z')}))) END"
 PAIR = f"""pr AS (SELECT a.contender AS a, b.contender AS b, count(*) AS n, avg(a.ret - b.ret) AS md, stddev_samp(a.ret - b.ret) / sqrt(count(*)) AS se, count(*) FILTER (a.ret > b.ret) AS wins, count(*) FILTER (a.ret < b.ret) AS losses,
-  avg(a.sharpe) - avg(b.sharpe) AS sd, avg(a.drawdown) AS da, avg(b.drawdown) AS db FROM ct a JOIN ct b ON a.window_id = b.window_id AND a.contender < b.contender GROUP BY 1, 2),
+  avg(a.sharpe) - avg(b.sharpe) AS sd, avg(b.sharpe) AS sb, avg(a.drawdown) AS da, avg(b.drawdown) AS db FROM ct a JOIN ct b ON a.window_id = b.window_id AND a.contender < b.contender GROUP BY 1, 2),
  pz AS (SELECT *, md / se AS t, abs(md / se) / CASE WHEN n - 1 >= 30 THEN 1 ELSE 1 + 3 / (n - 1) END AS z FROM pr), pp AS (SELECT *, {_PV} AS p FROM pz)"""
 
 
 @query(
     "stat_09_pairwise_comparison",
-    f"""WITH {CT}, {PAIR} SELECT a, b, n, {rnd('sd')} AS sharpe_difference, {rnd('wins / losses')} AS win_loss_ratio, {rnd('CASE WHEN db > 1e-10 THEN da / db ELSE 1 END')} AS relative_drawdown,
+    f"""WITH {CT}, {PAIR} SELECT a, b, n, {rnd('sd')} AS sharpe_difference, {rnd('CASE WHEN abs(sb) > 1e-10 THEN sd / abs(sb) * 100 ELSE 0 END', 4)} AS sharpe_difference_pct, {rnd('wins / losses')} AS win_loss_ratio, {rnd('CASE WHEN db > 1e-10 THEN da / db ELSE 1 END')} AS relative_drawdown,
  {rnd('t')} AS t_statistic, {rnd('p')} AS p_value, p < 0.05 AS significant, p < 0.05 AND sd > 0.2 AND t > 0 AS a_beats_b FROM pp""",
 )
 def _(t):
-    out = perf.compare_contenders(_contenders(t), STRATEGIES)
+    out = perf.compare_contenders(_contenders(t))
+    out = out.withColumn("sharpe_difference_pct", rounded("sharpe_difference_pct", 4))
     return out.withColumns({c: rounded(c) for c in ("sharpe_difference", "win_loss_ratio", "relative_drawdown", "t_statistic", "p_value")})
 
 
@@ -198,7 +199,7 @@ def _(t):
 def _(t):
     c = checkpointed(_contenders(t))
     m = perf.contender_metrics(c)
-    p = perf.compare_contenders(c, STRATEGIES).select("a", "b", "p_value")
+    p = perf.compare_contenders(c).select("a", "b", "p_value")
     j = p.join(m.select(F.col("contender").alias("a"), F.col("avg_sharpe").alias("sa"), F.col("std_sharpe").alias("ss"), F.col("max_drawdown").alias("da"), "window_count"), "a")
     j = j.join(m.select(F.col("contender").alias("b"), F.col("avg_sharpe").alias("sb"), F.col("max_drawdown").alias("db")), "b")
     v = perf.verdict(F.col("sa"), F.col("sb"), F.col("da"), F.col("db"))
@@ -210,7 +211,7 @@ def _(t):
     f"WITH {CT} SELECT a.contender AS a, b.contender AS b, count(*) AS n FROM ct a JOIN ct b ON a.window_id = b.window_id AND a.contender < b.contender GROUP BY 1, 2",
 )
 def _(t):
-    return perf.compare_contenders(_contenders(t), STRATEGIES).select("a", "b", "n")
+    return perf.compare_contenders(_contenders(t)).select("a", "b", "n")
 
 
 _VV = f"""WITH {TICKS}, {_VB}, {_VP}, c AS (SELECT symbol, bucket, end_us, vpin, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS seq FROM vp),
@@ -255,7 +256,7 @@ def _corr(t):
     from ..operators.blocks import with_seq
 
     s = with_seq(checkpointed(daily_returns(t)), ["strategy"], ["day"], "52 weeks")
-    return checkpointed(perf.correlation_matrix(s, "strategy", "seq", "ret", STRATEGIES))
+    return checkpointed(perf.correlation_matrix(s, "strategy", "seq", "ret"))
 
 
 @query("stat_11_correlation_matrix", f"WITH {_CORR} SELECT a, b, {rnd('corr')} AS corr FROM cr")
@@ -267,7 +268,7 @@ def _(t):
 def _(t):
     """Greedy choice: no SQL form; tests compare it with brute force."""
     sh = daily_returns(t).groupBy("strategy").agg(perf.sharpe_agg("ret").alias("sharpe"))
-    out = perf.select_ensemble(sh, _corr(t), STRATEGIES, n_select=3, max_corr=0.02)
+    out = perf.select_ensemble(sh, _corr(t), n_select=3, max_corr=0.02)
     return out.withColumns({"sharpe": rounded("sharpe"), "max_corr": rounded("max_corr"), "weight": rounded("weight")})
 
 

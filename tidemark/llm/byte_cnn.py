@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,9 +204,10 @@ def quality_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     net = fit(*labelled_sample(docs, labels, "quality", sample, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast((net.tables(), net.dense))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(*shared.value, texts.tolist()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [score_texts(*shared.value, texts.slice(at, 64).to_pylist()) for at in range(0, len(texts), 64)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     def of(text: Column) -> Column:
         return score(text)

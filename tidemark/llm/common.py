@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,4 +45,11 @@ def smallest(df: DataFrame, n: int, order: Column) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-__all__ = ["SPACE", "checkpointed", "held_out", "lower_ascii", "seeded_order", "smallest", "table", "whole"]
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that only few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+__all__ = ["SPACE", "checkpointed", "held_out", "lower_ascii", "seeded_order", "slices", "smallest", "table", "whole"]

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, whole
+from .common import SPACE, slices, whole
 
 SALTS = 64
 #: Texts that a task remembers in step 1, in bytes; when full it starts anew, which only merges less there.
-REMEMBER = 64 << 20
+REMEMBER = 24 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -51,7 +51,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, digest, content) in; leader is the id of the text's first row in this task, a copy's content is null."""
     met: dict[str, list[tuple[str, int | None]]] = {}
     held = 0
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc_id, digest, content in zip(*[c.to_pylist() for c in batch.columns]):
             texts = met.setdefault(digest, [])
@@ -76,7 +76,7 @@ def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def winners() -> list[tuple]:
         return [(None, *now, k, content, least, n) for k, (content, least, n) in enumerate(texts)]
 
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc_id, digest, salt, content, lead, local in zip(*[c.to_pylist() for c in batch.columns]):
             if (digest, salt) != now:
@@ -108,7 +108,7 @@ def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((now, salt, variant, least, n, k))
         return found
 
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for digest, salt, variant, content, least, n in zip(*[c.to_pylist() for c in batch.columns]):
             if digest != now:

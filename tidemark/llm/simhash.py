@@ -13,12 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .common import slices
 from .components import connected_components, spanning_links
 from .exact_dedup import row_key
 
@@ -54,13 +55,13 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp long): the fingerprint's 64 bits as a signed long; the hash tells rows of one id apart."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint_of(t) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "fp": fps.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            fps = np.array([fingerprint_of(t) for t in part.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

@@ -6,15 +6,16 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .pieces import PieceModel, Segmenter, SuffixTable, Trie
 
 #: Vocabulary file of a public tokenizer; any SentencePiece file with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ROWS = 2048
+ROWS = 1024
 #: Pre-tokens longer than this are counted one by one: a trie of very deep paths would hold little but them.
 DEEP = 64
 
@@ -59,22 +60,15 @@ def token_counts(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(PieceModel.from_file(model_file))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table = SuffixTable(model.pieces)
-        for pdf in batches:
-            for at in range(0, len(pdf), ROWS):
-                part = pdf.iloc[at : at + ROWS]
-                texts = Splits(model, part["text"].tolist())
-                counts = counts_of(model, table, texts.words, texts.short())
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].astype("Int64"),
-                        "n_pre_tokens": texts.sizes,
-                        "n_distinct_pre_tokens": [len(np.unique(r)) for r in texts.rows()],
-                        "n_tokens": [int(counts[r].sum()) for r in texts.rows()],
-                    }
-                )
+        for part in slices(batches, ROWS):
+            texts = Splits(model, part.column("text").to_pylist())
+            counts = counts_of(model, table, texts.words, texts.short())
+            rows = [(len(r), len(np.unique(r)), int(counts[r].sum())) for r in texts.rows()]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_pre_tokens", "n_distinct_pre_tokens", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_pre_tokens long, n_distinct_pre_tokens long, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, n_pre_tokens long, n_distinct_pre_tokens long, n_tokens long")

@@ -18,20 +18,19 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_cnn import labelled_sample
-from .common import held_out, whole
+from .common import held_out, slices, whole
 
-SAMPLE = 6000
+SAMPLE = 4000
 CUT = 0.5
 #: What a look-alike may stand for.
 LOOKS = {
@@ -70,7 +69,7 @@ def _fold_table() -> np.ndarray:
 def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Letter trigrams of a task's whole texts, edges included; one row per trigram that occurs."""
     table, counts = _fold_table(), np.zeros(LETTERS**3, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             points = np.frombuffer(f"  {text or ''}  ".encode("utf-32-le", "surrogatepass"), np.uint32)
             s = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 27)
@@ -130,7 +129,7 @@ class Channel:
                         after[b, n, x] = (now, word + x)
             states, before = after, c
         best = min(((total + float(table[a, b, 0]), word) for (a, b, _), (total, word) in states.items()), default=(0.0, ""), key=lambda x: x[0])
-        if len(self.known) > 100_000:
+        if len(self.known) > 50_000:
             self.known.clear()
         self.known[span] = best[1]
         return best[1]
@@ -191,7 +190,7 @@ class Lexicon:
                 seen[t] = self.hit(t, channel)
             if got := seen[t]:
                 hits[got[0]] = got[1]
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
         for word in spelt_words(low, channel):
             if weight := self.of(word):
@@ -214,11 +213,14 @@ def learn(texts: Sequence[str], labels: Sequence[int], channel: Channel) -> Lexi
             if token not in known:
                 known[token] = readings(token, channel)
         read.append([w for token in tokens for w in known[token]] + spelt_words(low, channel))
+    toxic = [words for words, y in zip(read, labels) if y]
+    often = Counter(f for words in toxic for f in {f for w in set(words) for f in features(w)})
+    often = {f for f, n in often.items() if n >= SUPPORT - 1}
     support: dict[str, set[str]] = defaultdict(set)
-    for words, y in zip(read, labels):
-        if y:
-            for left, w in zip(["", *words], words):
-                for f in features(w):
+    for words in toxic:
+        for left, w in zip(["", *words], words):
+            for f in features(w):
+                if f in often:
                     support[f].add(left)
     support = {f: s for f, s in support.items() if len(s) >= SUPPORT}
     against: dict[str, int] = defaultdict(int)
@@ -260,12 +262,13 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
     lexicon = learn(*labelled_sample(docs, labels, "toxic", sample, id_col, text_col), channel)
     shared = docs.sparkSession.sparkContext.broadcast((cost, lexicon.weight, lexicon.coef))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cost, weight, coef = shared.value
         channel, lexicon = Channel(cost), Lexicon(weight, coef)
         for texts in batches:
-            yield pd.Series([lexicon.score(t, channel) for t in texts], dtype="float64")
+            parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
+            yield pa.array([lexicon.score(t, channel) for part in parts for t in part], pa.float64())
 
     def of(text: Column) -> Column:
         return score(text)

@@ -195,8 +195,9 @@ def test_welch_and_cycles(spark):
     f, psd = reg.welch(x[None, :], 64)
     assert f[psd[0].argmax()] == pytest.approx(1 / 16)
     df = frame(spark, x, "x")
-    s = reg.spectral_regime(df, ["k"], ["t"], "x", 50, n=256, hop=256, rows=60).collect()
-    assert len(s) == 1 and s[0]["dominant_period"] == pytest.approx(16)
+    s = reg.spectral_regime(df, ["k"], ["t"], "x", 50, n=256, min_rows=200, hop=256, rows=60).orderBy("t").collect()
+    assert len(s) == df.count() and s[0]["regime"] == "unknown" and s[-1]["dominant_period"] == pytest.approx(16)
+    assert sum(r["alpha"] is not None for r in s) == len(s) - 255
     c = reg.dominant_cycles(df, ["k"], ["t"], "x", 50, n=64, hop=64, rows=60).orderBy("t").collect()
     assert c[-1]["modes"][0]["period"] == pytest.approx(16)
 

@@ -215,7 +215,7 @@ def compare_contenders(results: DataFrame, name: str = "contender", window: str
     win_loss = F.when(F.col("losses") == 0, F.when(F.col("wins") > 0, INF).otherwise(1.0)).otherwise(F.col("wins") / F.nullif("losses", F.lit(0)))
     rel_dd = F.when(F.col("db") > 1e-10, F.col("da") / F.when(F.col("db") > 1e-10, F.col("db"))).when(F.col("da") < 1e-10, 1.0).otherwise(INF)
     level = F.abs("sb")
-    percent = F.when(level > 1e-10, (F.col("sa") - F.col("sb")) / F.when(level > 1e-10, level) * 100).otherwise(0.0)
+    percent = F.when(level > 1e-10, (F.col("sa") - F.col("sb")) / F.when(level > 1e-10, level) * 100).when(F.col("sa") != 0, F.signum("sa") * INF).otherwise(0.0)
     out = p.select("a", "b", "n", (F.col("sa") - F.col("sb")).alias("sharpe_difference"), percent.alias("sharpe_difference_pct"), win_loss.alias("win_loss_ratio"), rel_dd.alias("relative_drawdown"), t.alias("t_statistic"), pv.alias("p_value"))
     sig = F.col("p_value") < significance
     return out.withColumns({"significant": sig, "a_beats_b": sig & (F.col("sharpe_difference") > edge) & (F.col("t_statistic") > 0)})

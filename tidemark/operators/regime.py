@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import with_seq
+from .blocks import running, with_seq
 from .grouped import Sweep, sequential
 from .windows import ROWS, rolling
 
@@ -186,22 +186,27 @@ def volatility_clusters(df: DataFrame, vol: str, k: int = 3, seed: int = 42) ->
 
 
 def frames(df, keys, order, col: str, block, n: int, hop: int = 1, min_rows: int | None = None, rows: int = ROWS, name: str = "frame") -> DataFrame:
-    """The last ``n`` values as an array on every ``hop``-th row that has at least ``min_rows`` of them."""
+    """The last ``n`` values as an array, on every row; null before ``min_rows`` values have been seen and between
+    the rows of a ``hop``, where it is not built at all."""
     need = n if min_rows is None else min_rows
 
     def build(d, w):
-        f = w.rowsBetween(-(n - 1), 0)
-        return d.withColumn(name, F.collect_list(col).over(f))
+        due = (F.col("seq") >= need) & (F.col("seq") % hop == 0)
+        return d.withColumn(name, F.when(due, F.collect_list(col).over(w.rowsBetween(-(n - 1), 0))))
 
-    out = rolling(df, keys, order, block, n - 1, build, rows=rows, keep_seq=True)
-    return out.where((F.col("seq") % hop == 0) & (F.size(name) >= need))
+    return rolling(df, keys, order, block, n - 1, build, rows=rows, keep_seq=True)
+
+
+def held(df, keys, order, block, cols: Sequence[str], hop: int) -> DataFrame:
+    """Values computed on every ``hop``-th row, held until the next one."""
+    return df if hop == 1 else running(df, keys, order, block, {c: ("last", F.col(c)) for c in cols})
 
 
 def _by_length(series: pd.Series):
     """(positions, matrix) per array length, so numpy works on whole batches."""
-    arrs = [np.asarray(a, dtype=float) for a in series]
-    sizes = np.array([len(a) for a in arrs])
-    for n in np.unique(sizes):
+    arrs = [() if a is None else np.asarray(a, dtype=float) for a in series]
+    sizes = np.array([len(a) for a in arrs], dtype=int)
+    for n in np.unique(sizes[sizes > 0]):
         pos = np.flatnonzero(sizes == n)
         yield pos, np.stack([arrs[i] for i in pos])
 
@@ -218,7 +223,10 @@ def welch(x: np.ndarray, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spectral_regime(df, keys, order, col: str, block, n: int = 256, min_rows: int = 64, hop: int = 1, rows: int = ROWS) -> DataFrame:
-    """PSD slope of the last ``n`` values: alpha, R squared, dominant period and regime."""
+    """PSD slope of the last ``n`` values on every row: alpha, R squared, dominant period and regime.
+
+    Analysed anew every ``hop`` rows and held in between; unknown (and null) before ``min_rows`` values.
+    """
 
     @F.pandas_udf("alpha double, confidence double, dominant_period double")
     def slope(frame: pd.Series) -> pd.DataFrame:
@@ -237,15 +245,20 @@ def spectral_regime(df, keys, order, col: str, block, n: int = 256, min_rows: in
 
     f = frames(df, keys, order, col, block, n, hop, min_rows, rows)
     out = f.withColumn("_s", slope("frame")).drop("frame").select("*", "_s.*").drop("_s")
-    return out.withColumn("regime", F.when(F.col("alpha") < 0.5, "mean_reverting").when(F.col("alpha") < 1.5, "normal").otherwise("trending"))
+    cols = ("alpha", "confidence", "dominant_period")
+    out = held(out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in cols}), keys, order, block, cols, hop)
+    unknown = F.col("alpha").isNull()
+    return out.withColumn("regime", F.when(unknown, "unknown").when(F.col("alpha") < 0.5, "mean_reverting").when(F.col("alpha") < 1.5, "normal").otherwise("trending"))
 
 
 def dominant_cycles(df, keys, order, col: str, block, n: int = 256, min_period: float = 4.0, max_period: float = 128.0, top: int = 3, hop: int = 1, rows: int = ROWS) -> DataFrame:
-    """Strongest cycles of the last ``n`` values (array of period, amplitude, phase) and their coherence."""
+    """Strongest cycles of the last ``n`` values (array of period, amplitude, phase) and their coherence,
+    on every row; analysed anew every ``hop`` rows and held in between, null before ``n`` values."""
 
     @F.pandas_udf("modes array<struct<period:double,amplitude:double,phase:double>>, coherence double")
     def cycles(frame: pd.Series) -> pd.DataFrame:
-        modes, coh = [None] * len(frame), np.zeros(len(frame))
+        modes, coh = [None] * len(frame), np.full(len(frame), np.nan)
+        coh[[a is not None for a in frame]] = 0.0
         for pos, x in _by_length(frame):
             m = x.shape[1]
             trend = x[:, :1] + (x[:, -1:] - x[:, :1]) * np.linspace(0, 1, m)
@@ -262,6 +275,7 @@ def dominant_cycles(df, keys, order, col: str, block, n: int = 256, min_period:
 
     f = frames(df, keys, order, col, block, n, hop, n, rows)
     out = f.withColumn("_s", cycles("frame")).drop("frame").select("*", "_s.*").drop("_s")
+    out = held(out.withColumn("coherence", F.nanvl("coherence", F.lit(None).cast("double"))), keys, order, block, ("modes", "coherence"), hop)
     return out.withColumn("resonance", F.col("coherence") > 0.7)
 
 

@@ -22,11 +22,12 @@ def history(
     min_value: float | None = None,
     limit: int | None = None,
     partition: str | None = None,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of one symbol from ``start`` up to and including midnight after ``end``, oldest first.
 
     ``partition`` names a day partition column: the same bounds are put on it so that whole folders
-    are skipped.
+    are skipped. ``tie`` columns order equal times, which makes a ``limit`` repeatable.
     """
     lo = F.lit(start).cast("timestamp")
     hi = F.lit(end).cast("timestamp") + F.expr("interval 1 day")
@@ -39,7 +40,7 @@ def history(
         out = out.where(F.col("side") == side)
     if min_value is not None:
         out = out.where(F.col("value") >= min_value)
-    out = out.withColumn("epoch_ms", F.unix_millis(ts)).orderBy(ts)
+    out = out.withColumn("epoch_ms", F.unix_millis(ts)).orderBy(ts, *tie)
     return out.limit(limit) if limit else out
 
 
@@ -59,14 +60,14 @@ def like(df: DataFrame, **patterns: str) -> DataFrame:
     return df
 
 
-def time_range(df: DataFrame, ts: str, start, end, event_type: str | None = None, source: str | None = None, limit: int = 10_000) -> DataFrame:
-    """Audit log slice, both ends inclusive, oldest first."""
+def time_range(df: DataFrame, ts: str, start, end, event_type: str | None = None, source: str | None = None, limit: int = 10_000, tie: Sequence[str] = ()) -> DataFrame:
+    """Audit log slice, both ends inclusive, oldest first; ``tie`` columns order equal times."""
     out = df.where(F.col(ts).between(start, end))
     if event_type is not None:
         out = out.where(F.col("event_type") == event_type)
     if source is not None:
         out = out.where(F.col("source") == source)
-    return out.orderBy(ts).limit(limit)
+    return out.orderBy(ts, *tie).limit(limit)
 
 
 def parameter_history(df: DataFrame, ts: str, param: str | None = None) -> DataFrame:
@@ -123,9 +124,9 @@ def elite_cut(df: DataFrame, metric: str, tie: str, width: float, share: float =
 
 
 def hash_uniform(*cols: Column) -> Column:
-    """Repeatable uniform number in (0, 1) from column values (first 8 hex digits of an MD5)."""
+    """Repeatable uniform number in (0, 1) from column values (first 13 hex digits, 52 bits, of an MD5)."""
     digest = F.md5(F.concat_ws(":", *cols))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(4503599627370496.0)
 
 
 def prune_population(df: DataFrame, metric: str, tie: str, population: int, protect: int, seed: int = 0) -> DataFrame:

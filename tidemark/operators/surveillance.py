@@ -27,6 +27,7 @@ class _RecentOrders(Sweep):
     def __init__(self, keep: Sequence[str], window: int, burst: int, band: float):
         self.keep, self.window, self.burst, self.band = list(keep), window, burst, band
         self.orders: deque = deque()
+        self.close: deque = deque()
         self.sides: dict[str, list[float]] = {"buy": [], "sell": []}
         self.levels: dict[str, Counter] = {"buy": Counter(), "sell": Counter()}
         self.matches = 0
@@ -76,12 +77,10 @@ class _RecentOrders(Sweep):
                 bisect.insort(self.sides[side], price)
                 self.levels[side][price] += 1
             self.orders.append((us, side, price))
-            burst = 0
-            for o in reversed(self.orders):
-                if o[0] <= us - self.burst:
-                    break
-                burst += 1
-            got.append((len(self.orders), self.matches, burst, len(self.levels["buy"]), len(self.levels["sell"])))
+            self.close.append(us)
+            while self.close[0] <= us - self.burst:
+                self.close.popleft()
+            got.append((len(self.orders), self.matches, len(self.close), len(self.levels["buy"]), len(self.levels["sell"])))
         return {**{c: rows[c] for c in self.keep}, **dict(zip(("recent", "matches", "burst", "buy_levels", "sell_levels"), zip(*got)))}
 
 

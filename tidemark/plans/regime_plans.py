@@ -53,13 +53,13 @@ def _(t):
 
 @query("reg_04_spectral_regime")
 def _(t):
-    out = reg.spectral_regime(_ret(t), ["symbol"], ORD, "ret", DAY, n=128, hop=5, rows=ROWS)
+    out = reg.spectral_regime(_ret(t), ["symbol"], ORD, "ret", DAY, n=128, rows=ROWS)
     return out.select("event_id", "symbol", *[rounded(c, 4).alias(c) for c in ("alpha", "confidence", "dominant_period")], "regime")
 
 
 @query("reg_05_dominant_cycles")
 def _(t):
-    out = reg.dominant_cycles(t.ticks, ["symbol"], ORD, "price", DAY, n=64, max_period=32.0, hop=5, rows=ROWS)
+    out = reg.dominant_cycles(t.ticks, ["symbol"], ORD, "price", DAY, n=64, max_period=32.0, rows=ROWS)
     m = F.transform("modes", lambda x: F.struct(F.round(x["period"], 4).alias("period"), F.round(x["amplitude"], 4).alias("amplitude")))
     return out.select("event_id", F.to_json(m).alias("modes"), rounded("coherence", 4).alias("coherence"), "resonance")
 

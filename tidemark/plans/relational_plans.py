@@ -20,10 +20,10 @@ def market(t):
 
 @query(
     "rel_01_history_open_interest",
-    f"WITH {TICKS} SELECT event_id, us // 1000 AS epoch_ms, price AS value FROM ticks WHERE symbol = 'purchase' AND ts >= '2024-01-05' AND ts <= '2024-01-13' ORDER BY ts LIMIT 1000",
+    f"WITH {TICKS} SELECT event_id, us // 1000 AS epoch_ms, price AS value FROM ticks WHERE symbol = 'purchase' AND ts >= '2024-01-05' AND ts <= '2024-01-13' ORDER BY ts, event_id LIMIT 1000",
 )
 def _(t):
-    return rel.history(market(t), "purchase", "2024-01-05", "2024-01-12", limit=1000).select("event_id", "epoch_ms", "value")
+    return rel.history(market(t), "purchase", "2024-01-05", "2024-01-12", limit=1000, tie=["event_id"]).select("event_id", "epoch_ms", "value")
 
 
 @query(
@@ -54,10 +54,10 @@ def _(t):
 
 @query(
     "rel_04_audit_time_range",
-    "SELECT event_id, user_id FROM events WHERE ts BETWEEN '2024-01-03 06:00:00' AND '2024-01-19 18:00:00' AND event_type = 'click' ORDER BY ts LIMIT 10000",
+    "SELECT event_id, user_id FROM events WHERE ts BETWEEN '2024-01-03 06:00:00' AND '2024-01-19 18:00:00' AND event_type = 'click' ORDER BY ts, event_id LIMIT 10000",
 )
 def _(t):
-    out = rel.time_range(t.events, "ts", F.lit("2024-01-03 06:00:00").cast("timestamp"), F.lit("2024-01-19 18:00:00").cast("timestamp"), event_type="click")
+    out = rel.time_range(t.events, "ts", F.lit("2024-01-03 06:00:00").cast("timestamp"), F.lit("2024-01-19 18:00:00").cast("timestamp"), event_type="click", tie=["event_id"])
     return out.select("event_id", "user_id")
 
 
@@ -111,7 +111,7 @@ def _(t):
     return rel.elite_cut(programs(t), "calmar", "id", 20.0, keys=["experiment"]).select("id", "experiment", "rank")
 
 
-_U = "((CAST('0x' || substr(md5('{seed}:' || id), 1, 8) AS UBIGINT) + 0.5e0) / 4294967296.0e0)"
+_U = "((CAST('0x' || substr(md5('{seed}:' || id), 1, 13) AS UBIGINT) + 0.5e0) / 4503599627370496.0e0)"
 
 
 @query(

@@ -12,20 +12,20 @@ from .registry import TICKS, query, rnd, rounded
 ORD = ["ts", "event_id"]
 DAY, WEEK = "1 day", "1 week"
 # A user has few events a day here, so windows are widened to days; the logic is that of seconds.
-O = """o AS (SELECT event_id, us, trader AS user_id, CASE WHEN trader % 2 = 0 THEN 'A' ELSE 'B' END AS symbol, CASE WHEN volume % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, round(price / 5) AS price,
- CASE symbol WHEN 'purchase' THEN 'filled' WHEN 'error' THEN 'cancelled' WHEN 'view' THEN 'cancelled' ELSE 'submitted' END AS status FROM ticks WHERE price >= 5)"""
+O = """o AS (SELECT event_id, us, trader AS user_id, CASE WHEN trader % 2 = 0 THEN 'A' ELSE 'B' END AS symbol, CASE WHEN volume % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, round(greatest(price, 5) / 5) AS price,
+ CASE symbol WHEN 'purchase' THEN 'filled' WHEN 'error' THEN 'cancelled' WHEN 'view' THEN 'cancelled' ELSE 'submitted' END AS status FROM ticks)"""
 W3, D1 = 3 * 86400000000, 86400000000
 
 
 def orders(t):
     s = F.col("symbol")
-    return t.ticks.where("price >= 5").select(
+    return t.ticks.select(
         "event_id",
         "us",
         F.col("trader").alias("user_id"),
         F.when(F.col("trader") % 2 == 0, "A").otherwise("B").alias("symbol"),
         F.when(F.col("volume") % 2 == 0, "buy").otherwise("sell").alias("side"),
-        F.round(F.col("price") / 5).alias("price"),
+        F.round(F.greatest("price", F.lit(5.0)) / 5).alias("price"),
         F.when(s == "purchase", "filled").when(s.isin("error", "view"), "cancelled").otherwise("submitted").alias("status"),
     )
 
@@ -85,7 +85,7 @@ def _(t):
 
 @query(
     "sec_05_session_alerts",
-    f"""WITH {TICKS}, {O.replace("WHERE price >= 5)", "WHERE price >= 5 AND trader = 41 AND us > (SELECT max(us) FROM ticks WHERE price >= 5) - 240 * 3600000000)")}, {ST}, {_CUM}, {_AL} SELECT event_id, alert, {rnd('evidence')} AS evidence FROM alerts""",
+    f"""WITH {TICKS}, {O.replace("FROM ticks)", "FROM ticks WHERE trader = 41 AND us > (SELECT max(us) FROM ticks) - 240 * 3600000000)")}, {ST}, {_CUM}, {_AL} SELECT event_id, alert, {rnd('evidence')} AS evidence FROM alerts""",
 )
 def _(t):
     out = sv.session_alerts(orders(t), "user_id", 41, "symbol", "us", "event_id", WEEK, hours=240, **PARAMS)

@@ -25,12 +25,14 @@ def write_catalog(df: DataFrame, path: str, ts: str = "timestamp", mode: str = "
     day.write.mode(mode).option("maxRecordsPerFile", max_rows_per_file).partitionBy(*PARTITIONS).parquet(path)
 
 
-def read_catalog(spark: SparkSession, path: str, symbol: str | None = None, venue: str | None = None, start: str | None = None, end: str | None = None, ts: str = "timestamp") -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, symbol: str | None = None, venue: str | None = None, start: str | None = None, end: str | None = None, ts: str = "timestamp", schema: str | T.StructType | None = None) -> DataFrame:
     """Rows of one symbol (exact name), venue and time range, both ends inclusive.
 
-    Bounds go on the day folders too, so other days are never listed or read.
+    Bounds go on the day folders too, so files of other days are never opened. ``schema`` (one of the fixed ones
+    above, with the partition columns) saves reading a footer; columns that older files lack are null. Without it
+    the schema is that of one file.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     if symbol is not None:
         df = df.where(F.col("symbol") == symbol)
     if venue is not None:
@@ -44,9 +46,9 @@ def read_catalog(spark: SparkSession, path: str, symbol: str | None = None, venu
     return df
 
 
-def recent_funding(df: DataFrame, limit: int = 20, ts: str = "timestamp") -> DataFrame:
-    """Newest rows with the 8-hour rate annualised in percent."""
-    return df.orderBy(F.desc(ts)).limit(limit).withColumn("annualized", F.col("funding_rate") * 3 * 365 * 100)
+def recent_funding(df: DataFrame, limit: int = 20, ts: str = "timestamp", tie: Sequence[str] = ()) -> DataFrame:
+    """Newest rows (``tie`` columns descending among equal times) with the 8-hour rate annualised in percent."""
+    return df.orderBy(F.desc(ts), *[F.desc(c) for c in tie]).limit(limit).withColumn("annualized", F.col("funding_rate") * 3 * 365 * 100)
 
 
 def last_timestamps(df: DataFrame, ts: str = "timestamp") -> DataFrame:

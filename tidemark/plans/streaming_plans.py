@@ -15,55 +15,49 @@ from .ingest_plans import AUDIT, LIQ, raw_messages
 from .registry import TICKS, query, rnd, rounded
 from .risk_plans import BRK, EQ, equity_curve
 
-FAR = "60 days"  # replayed history has no late rows beyond this
+FAR = "60 days"  # duplicates farther apart than this are not looked for
+LATE = "1 hour"  # slices arrive in event order, so nothing is later than this
 
 
-def replay(t, df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """Stream of a table written as one file set per time slice, oldest first."""
-    path = scratch_path(t.spark, "replay")
-    span = df.agg(F.min(order).cast("timestamp").alias("a"), F.max(order).cast("timestamp").alias("b")).first()
-    step = (span["b"] - span["a"]) / parts
-    cuts = [span["a"] + step * i for i in range(1, parts)]
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order) > F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col(order) <= F.lit(hi))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def drain(t, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything there is and return its rows as a table.
-
-    Append streams land in Parquet. Complete streams replace their (aggregated) result per batch.
+def replay(t, df: DataFrame, order: str, parts: int = 3, flush: str | None = None) -> DataFrame:
+    """Stream of a table that ``drain`` feeds in time slices, oldest first; each slice is a micro-batch of its own.
+
+    Slice borders are scalar subqueries and slices are written by all tasks. ``flush`` adds a last row that much
+    after the newest one: it moves the watermark past every open window and stays in an open one itself.
     """
+    path = scratch_path(t.spark, "replay")
+    edge = lambda f: df.agg(F.unix_micros(f(order).cast("timestamp")).alias("e")).select("e").scalar()
+    lo, hi = edge(F.min), edge(F.max)
+    slot = F.least(F.lit(parts - 1), F.floor((F.unix_micros(F.col(order).cast("timestamp")) - lo) * parts / F.greatest(hi - lo, F.lit(1))))
+    slices = [df.where(slot == i) for i in range(parts)]
+    if flush:
+        newest = df.orderBy(F.desc(order)).limit(1)
+        slices.append(newest.withColumn(order, F.col(order) + F.expr(f"interval {flush}")))
+    df.limit(0).write.parquet(path)  # a stream wants its folder to be there
+    t.slices, t.slice_path = slices, path
+    return t.spark.readStream.schema(df.schema).parquet(path)
+
+
+def feed(t, run) -> None:
+    """Write the slices one by one and run the stream over each; its checkpoint makes it go on where it was."""
+    for part in t.slices:
+        part.write.mode("append").parquet(t.slice_path)
+        run().awaitTermination()
+
+
+def drain(t, stream: DataFrame) -> DataFrame:
+    """Run an append stream over all slices and return its rows as a table."""
     out, ck = scratch_path(t.spark, "sink"), scratch_path(t.spark, "sink-ck")
-    sc, width = t.spark.sparkContext, t.spark.conf.get("spark.sql.shuffle.partitions")
-    if sc.master.startswith("local"):
-        # every shuffle partition keeps a state store per batch: no more of them than local cores
-        t.spark.conf.set("spark.sql.shuffle.partitions", str(min(int(width), sc.defaultParallelism)))
-    try:
-        _run_to_end(stream, mode, out, ck)
-    finally:
-        t.spark.conf.set("spark.sql.shuffle.partitions", width)
+    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True)
+    feed(t, sink.start)
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
-def _run_to_end(stream: DataFrame, mode: str, out: str, ck: str) -> None:
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.foreachBatch(lambda b, _id: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
 @query("str_01_liquidation_stream", f"WITH {TICKS}, {LIQ} SELECT symbol, venue, side, CAST(make_timestamp(ms * 1000) :: DATE AS VARCHAR) AS dt, count(*) AS n, {rnd('sum(value)', 3)} AS total FROM lq GROUP BY 1, 2, 3, 4")
 def _(t):
     src = replay(t, raw_messages(t).select("event_id", "ts", "raw"), "ts")
     out, ck = scratch_path(t.spark, "liq"), scratch_path(t.spark, "liq-ck")
-    jobs.to_parquet(jobs.liquidation_rows(src.drop("ts"), symbols=["BTC"]), out, ck).awaitTermination()
+    feed(t, lambda: jobs.to_parquet(jobs.liquidation_rows(src.drop("ts"), symbols=["BTC"]), out, ck))
     back = t.spark.read.parquet(out)
     return back.groupBy("symbol", "venue", "side", F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("n"), rounded(F.sum("value"), 3).alias("total"))
 
@@ -73,9 +67,9 @@ def _(t):
     f"WITH {TICKS} SELECT symbol, us // 3600000000 * 3600000000 AS start_us, count(*) AS n, {rnd('sum(price)', 4)} AS total, max(price) AS hi FROM ticks GROUP BY 1, 2",
 )
 def _(t):
-    src = replay(t, t.ticks.select("symbol", "ts", "price"), "ts")
-    w = jobs.windowed(src, "ts", FAR, "1 hour", [F.count("*").alias("n"), F.sum("price").alias("total"), F.max("price").alias("hi")], ["symbol"])
-    return drain(t, w, "complete").select("symbol", F.unix_micros("start").alias("start_us"), "n", rounded("total", 4).alias("total"), "hi")
+    src = replay(t, t.ticks.select("symbol", "ts", "price"), "ts", flush="2 days")
+    w = jobs.windowed(src, "ts", LATE, "1 hour", [F.count("*").alias("n"), F.sum("price").alias("total"), F.max("price").alias("hi")], ["symbol"])
+    return drain(t, w).select("symbol", F.unix_micros("start").alias("start_us"), "n", rounded("total", 4).alias("total"), "hi")
 
 
 @query(
@@ -83,8 +77,8 @@ def _(t):
     f"WITH {TICKS}, w AS (SELECT symbol, unnest([us // 3600000000, us // 3600000000 - 1]) * 3600000000 AS start_us FROM ticks) SELECT symbol, start_us, count(*) AS orders FROM w GROUP BY 1, 2 HAVING count(*) > 8",
 )
 def _(t):
-    src = replay(t, t.ticks.select("symbol", "ts"), "ts")
-    out = drain(t, jobs.order_rate(src, "ts", FAR, ["symbol"], "2 hours", "1 hour", 8), "complete")
+    src = replay(t, t.ticks.select("symbol", "ts"), "ts", flush="2 days")
+    out = drain(t, jobs.order_rate(src, "ts", LATE, ["symbol"], "2 hours", "1 hour", 8))
     return out.select("symbol", F.unix_micros("start").alias("start_us"), "orders")
 
 
@@ -94,8 +88,8 @@ def _(t):
  SELECT trader, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY trader, sid""",
 )
 def _(t):
-    src = replay(t, t.ticks.select("trader", "ts"), "ts")
-    out = drain(t, jobs.activity_sessions(src, "ts", FAR, ["trader"], "6 hours"), "complete")
+    src = replay(t, t.ticks.select("trader", "ts"), "ts", flush="2 days")
+    out = drain(t, jobs.activity_sessions(src, "ts", LATE, ["trader"], "6 hours"))
     return out.select("trader", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 

@@ -15,7 +15,7 @@ from .pieces import PieceModel, Segmenter, SuffixTable, Trie
 
 #: Vocabulary file of a public tokenizer; any SentencePiece file with byte pieces will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ROWS = 1024
+ROWS = 512
 #: Pre-tokens longer than this are counted one by one: a trie of very deep paths would hold little but them.
 DEEP = 64
 

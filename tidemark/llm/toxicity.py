@@ -129,7 +129,7 @@ class Channel:
                         after[b, n, x] = (now, word + x)
             states, before = after, c
         best = min(((total + float(table[a, b, 0]), word) for (a, b, _), (total, word) in states.items()), default=(0.0, ""), key=lambda x: x[0])
-        if len(self.known) > 50_000:
+        if len(self.known) > 20_000:
             self.known.clear()
         self.known[span] = best[1]
         return best[1]
@@ -190,7 +190,7 @@ class Lexicon:
                 seen[t] = self.hit(t, channel)
             if got := seen[t]:
                 hits[got[0]] = got[1]
-        if len(seen) > 150_000:
+        if len(seen) > 100_000:
             seen.clear()
         for word in spelt_words(low, channel):
             if weight := self.of(word):
@@ -203,17 +203,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def words_of(text: str | None, channel: Channel) -> list[str]:
+    """All words of a text as they stand and as they are restored."""
+    low = (text or "").lower()
+    return [w for token in low.split() for w in readings(token, channel)] + spelt_words(low, channel)
+
+
 def learn(texts: Sequence[str], labels: Sequence[int], channel: Channel) -> Lexicon:
-    """Lexicon and regression from labelled texts (driver side, bounded by the caller's sample)."""
-    read, known = [], {}
-    for t in texts:
-        low = (t or "").lower()
-        tokens = low.split()
-        for token in tokens:
-            if token not in known:
-                known[token] = readings(token, channel)
-        read.append([w for token in tokens for w in known[token]] + spelt_words(low, channel))
-    toxic = [words for words, y in zip(read, labels) if y]
+    """Lexicon and regression from labelled texts (driver side, bounded by the caller's sample).
+
+    Only what toxic texts hold is kept in memory; the others pass by one at a time.
+    """
+    toxic = [words_of(t, channel) for t, y in zip(texts, labels) if y]
     often = Counter(f for words in toxic for f in {f for w in set(words) for f in features(w)})
     often = {f for f, n in often.items() if n >= SUPPORT - 1}
     support: dict[str, set[str]] = defaultdict(set)
@@ -223,10 +224,11 @@ def learn(texts: Sequence[str], labels: Sequence[int], channel: Channel) -> Lexi
                 if f in often:
                     support[f].add(left)
     support = {f: s for f, s in support.items() if len(s) >= SUPPORT}
+    del toxic, often
     against: dict[str, int] = defaultdict(int)
-    for words, y in zip(read, labels):
+    for t, y in zip(texts, labels):
         if not y:
-            for f in {f for w in set(words) for f in features(w) if f in support}:
+            for f in {f for w in set(words_of(t, channel)) for f in features(w) if f in support}:
                 against[f] += 1
     weight = {}
     for f, s in support.items():
@@ -236,8 +238,7 @@ def learn(texts: Sequence[str], labels: Sequence[int], channel: Channel) -> Lexi
     lexicon = Lexicon(weight, np.zeros(3))
     x = np.array([(*lexicon.inputs(t, channel), 1.0) for t in texts]).reshape(-1, 3)
     y = np.asarray(labels, np.float64)
-    lexicon.coef = _logistic(x, y)
-    return lexicon
+    return Lexicon(weight, _logistic(x, y))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:

@@ -40,7 +40,7 @@ def test_no_cross_joins_and_no_whole_key_windows(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # a window either is cut by a block column or runs over block summaries, which it orders by block
     for parts, order in re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan):
-        assert "_blk" in parts or "_rb" in parts or order.startswith("_blk")
+        assert "_blk" in parts or "_rb" in parts or order.startswith(("_blk", "_cell"))
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):

@@ -8,9 +8,10 @@ row per block across block borders:
 * ``spread`` / ``settle``  bounded row or range frames: rows near a border are copied to the
   neighbouring block (a halo), evaluated there, and dropped again.
 
-Keys must be non-null. ``block`` is an interval such as ``"1 day"`` for a timestamp order column, or a
-number of units for a numeric one. Choose it so that a block is comfortably one task's work and a key
-has at most about a million blocks: the summary table holds one row per (key, block).
+Keys must be non-null. ``block`` is best a ``RowBlocks``, which cuts keys after so many rows however they are
+spread over time. It may also be an interval such as ``"1 day"`` for a timestamp order column, or a number of
+units for a numeric one; a block should be comfortably one task's work and a key should have at most about a
+million blocks: the summary table holds one row per (key, block).
 
 Each such operator reads its input twice (rows and summary), so operators that chain several of them
 cut the lineage with a checkpoint in between instead of recomputing 2^k times.
@@ -19,6 +20,7 @@ cut the lineage with a checkpoint in between instead of recomputing 2^k times.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +49,34 @@ def axis(df: DataFrame, name: str) -> Column:
     return c.cast("long")
 
 
-def with_block(df: DataFrame, order: Sequence[str], block: str | int | Column) -> DataFrame:
-    """``block`` may also be a column expression that never decreases along the order."""
+@dataclass(frozen=True)
+class RowBlocks:
+    """Blocks of about ``rows`` rows of a key, from the row counts of cells along the order.
+
+    A cell is ``grain`` wide on the order axis and never split, so a block has at most ``rows`` rows plus one cell.
+    Choose the grain so that the rows of one key in a cell stay well below ``rows``. ``along`` replaces the first
+    order column as the axis (a number that never decreases along the order).
+    """
+
+    rows: int = 500_000
+    grain: str | float = "1 minute"
+    along: Column | None = None
+
+
+def with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str | int | Column | RowBlocks) -> DataFrame:
+    """``block`` may also be a column expression that never decreases along the order.
+
+    ``RowBlocks`` take one counting pass; the cells (not the rows) of a key are numbered in one task, and Spark
+    broadcasts them to the rows when they are few.
+    """
+    if isinstance(block, RowBlocks):
+        place = axis(df, order[0]) if block.along is None else block.along
+        width = micros(block.grain) if isinstance(block.grain, str) and block.along is None else block.grain
+        src = df.withColumn("_cell", F.floor(place / F.lit(width)).cast("long"))
+        before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = src.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+        cells = cells.select(*keys, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block.rows).cast("long").alias(BLK))
+        return src.join(cells, [*keys, "_cell"]).select(*df.columns, BLK)
     if isinstance(block, Column):
         return df.withColumn(BLK, block.cast("long"))
     return df.withColumn(BLK, F.floor(axis(df, order[0]) / F.lit(micros(block))).cast("long"))
@@ -58,7 +86,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: str | int,
+    block: str | int | Column | RowBlocks,
     aggs: dict[str, tuple[str, Column | str]],
 ) -> DataFrame:
     """Add running columns ``{name: (kind, column)}``.
@@ -70,7 +98,7 @@ def running(
     back reuses the rows' own partitioning.
     """
     keys, order = list(keys), list(order)
-    src = with_block(df, order, block)
+    src = with_block(df, keys, order, block)
     names = list(aggs)
     for n in names:
         kind, c = aggs[n]

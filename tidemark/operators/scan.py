@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .blocks import BLK, with_block
+from .blocks import BLK, RowBlocks, with_block
 
 _WIDE = 1e300  # stands for "no bound": finite, so that 0 * bound stays 0
 
@@ -154,7 +154,7 @@ def affine_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: str | int | Column,
+    block: str | int | Column | RowBlocks,
     recurrences: dict[str, tuple],
 ) -> DataFrame:
     """Add ``{name: (a, b, first)}``: ``y = first`` on a key's first row, then ``a*y_prev + b``.
@@ -166,7 +166,7 @@ def affine_scan(
     keys, order = list(keys), list(order)
     names = {n: len(r) == 5 for n, r in recurrences.items()}
     parts: dict[str, list[str]] = {}
-    src = with_block(df, order, block)
+    src = with_block(df, keys, order, block)
     for n, r in recurrences.items():
         cols = {f"_a_{n}": r[0], f"_b_{n}": r[1], f"_f_{n}": r[2]}
         if names[n]:

@@ -8,12 +8,13 @@ from ..operators import orderflow as of
 from ..operators import recurrences as rec
 from ..operators import timeseries as ts
 from ..operators import windows as win
+from ..operators.blocks import RowBlocks
 from .registry import DAILY, TICKS, query, rnd, rounded
 from .window_plans import daily_returns
 
 ORD = ["ts", "event_id"]
-WEEK, DAY = "1 week", "1 day"
-ROWS = 700
+BLOCKS = RowBlocks()
+ROWS = win.ROWS
 
 # trader series: seq, previous price and time, simple return (0 first)
 SER = """s AS (SELECT *, row_number() OVER w AS seq, lag(price) OVER w AS p1, lag(us) OVER w AS u1, coalesce(price / lag(price) OVER w - 1, 0) * 0.01 AS r
@@ -29,7 +30,7 @@ def recur(first: dict[str, str], step: dict[str, str], src: str = "s", key: str
 
 def series(t):
     """Ticks with the scaled simple return per trader."""
-    d = win.counter_delta(t.ticks, ["trader"], ORD, "price", WEEK, "_d")
+    d = win.counter_delta(t.ticks, ["trader"], ORD, "price", BLOCKS, "_d")
     r = F.coalesce(F.col("price") / (F.col("price") - F.col("_d")) - 1, F.lit(0.0)) * 0.01
     return d.withColumn("r", r).drop("_d")
 
@@ -47,7 +48,7 @@ A20 = 2 / 21
  SELECT event_id, {rnd('e5')} AS ema5, {rnd('e20')} AS ema20 FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    out = rec.ema(t.ticks, ["trader"], ORD, "price", WEEK, {"ema5": 5, "ema20": 20})
+    out = rec.ema(t.ticks, ["trader"], ORD, "price", BLOCKS, {"ema5": 5, "ema20": 20})
     return out.select("event_id", rounded("ema5").alias("ema5"), rounded("ema20").alias("ema20"))
 
 
@@ -58,7 +59,7 @@ def _(t):
 )
 def _(t):
     """Same filter on keys that hold a fifth of all rows each; weights older than 120 rows are below 1e-20."""
-    return rec.ema(t.ticks, ["symbol"], ORD, "price", DAY, {"ema": 5}).select("event_id", rounded("ema").alias("ema"))
+    return rec.ema(t.ticks, ["symbol"], ORD, "price", BLOCKS, {"ema": 5}).select("event_id", rounded("ema").alias("ema"))
 
 
 @query(
@@ -66,7 +67,7 @@ def _(t):
     f"""WITH RECURSIVE {TICKS}, {SER}, {recur({'h': '0'}, {'h': f'{A20} * (y.h + s.price - s.p1)'})} SELECT event_id, {rnd('h')} AS hp FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    return rec.high_pass(t.ticks, ["trader"], ORD, "price", WEEK, 20).select("event_id", rounded("hp").alias("hp"))
+    return rec.high_pass(t.ticks, ["trader"], ORD, "price", BLOCKS, 20).select("event_id", rounded("hp").alias("hp"))
 
 
 @query(
@@ -75,7 +76,7 @@ def _(t):
  SELECT event_id, {rnd('m')} AS ew_mean, {rnd('v', 4)} AS ew_var FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    out = rec.ew_moments(t.ticks, ["trader"], ORD, "price", WEEK, {"ew": 0.05})
+    out = rec.ew_moments(t.ticks, ["trader"], ORD, "price", BLOCKS, {"ew": 0.05})
     return out.select("event_id", rounded("ew_mean").alias("ew_mean"), rounded("ew_var", 4).alias("ew_var"))
 
 
@@ -89,8 +90,8 @@ def _(t):
  SELECT s.trader, CAST(s.day AS VARCHAR) AS day, {rnd('a')} AS atr FROM s LEFT JOIN y USING (trader, seq)""",
 )
 def _(t):
-    bars = ts.time_bars(t.ticks, ["trader"], ORD, DAY)
-    out = rec.atr(bars, ["trader"], ["bucket"], WEEK, rows=ROWS)
+    bars = ts.time_bars(t.ticks, ["trader"], ORD, "1 day")
+    out = rec.atr(bars, ["trader"], ["bucket"], BLOCKS, rows=ROWS)
     return out.select("trader", F.to_date("bucket").cast("string").alias("day"), rounded("atr").alias("atr"))
 
 
@@ -111,7 +112,7 @@ _EWS = {
   CASE WHEN vs < 1e-10 THEN 'unknown' WHEN vf / vs > 1.5 THEN 'trending' WHEN vf / vs < 0.7 THEN 'mean_reverting' ELSE 'normal' END AS regime FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    out = rec.variance_regime(series(t), ["trader"], ORD, "r", WEEK)
+    out = rec.variance_regime(series(t), ["trader"], ORD, "r", BLOCKS)
     return out.select("event_id", rounded("momentum", 8).alias("momentum"), rounded("volatility").alias("volatility"), rounded("variance_ratio").alias("variance_ratio"), "regime")
 
 
@@ -124,7 +125,7 @@ _K = "((y.p + 0.01) / (y.p + 0.01 + 0.1))"
  SELECT event_id, {rnd('x')} AS kalman FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    return rec.kalman(t.ticks, ["trader"], ORD, "price", WEEK).select("event_id", rounded("kalman").alias("kalman"))
+    return rec.kalman(t.ticks, ["trader"], ORD, "price", BLOCKS).select("event_id", rounded("kalman").alias("kalman"))
 
 
 @query(
@@ -136,7 +137,7 @@ def _(t):
  SELECT event_id, {rnd('lam')} AS rate, {rnd('least(2e0, lam / base)')} AS speed, CASE WHEN lam / base > 1.5 THEN 'fast' WHEN lam / base < 0.5 THEN 'slow' ELSE 'normal' END AS tape, {rnd('sqrt(least(2e0, lam / base))')} AS tape_weight FROM b""",
 )
 def _(t):
-    out = rec.tape_speed(t.ticks, ["trader"], ORD, F.col("us"), WEEK, rows=ROWS, scale=1e9)
+    out = rec.tape_speed(t.ticks, ["trader"], ORD, F.col("us"), BLOCKS, rows=ROWS, scale=1e9)
     return out.select("event_id", rounded("rate").alias("rate"), rounded("speed").alias("speed"), "tape", rounded("tape_weight").alias("tape_weight"))
 
 
@@ -148,7 +149,7 @@ _AK = f"""{recur({'v': 'abs(r)'}, {'v': '0.1 * abs(s.r) + 0.9 * y.v'})},
 
 @query("aff_08_adaptive_k", f"WITH RECURSIVE {TICKS}, {SER}, {_AK} SELECT event_id, {rnd('k')} AS k FROM ak")
 def _(t):
-    return rec.adaptive_k(series(t), ["trader"], ORD, "r", WEEK, rows=ROWS).select("event_id", rounded("k").alias("k"))
+    return rec.adaptive_k(series(t), ["trader"], ORD, "r", BLOCKS, rows=ROWS).select("event_id", rounded("k").alias("k"))
 
 
 _SIDE = """sd AS (SELECT *, coalesce(last_value(CASE WHEN price > p THEN 'BUY' WHEN price < p THEN 'SELL' END IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY ts, event_id), 'UNKNOWN') AS side
@@ -163,8 +164,8 @@ _SIDE = """sd AS (SELECT *, coalesce(last_value(CASE WHEN price > p THEN 'BUY' W
  SELECT trader, us, {rnd('bi')} AS buy_intensity, {rnd('si')} AS sell_intensity, {rnd('CASE WHEN ticks >= 30 THEN (bi - si) / (bi + si + 1e-10) ELSE 0 END')} AS ofi FROM i""",
 )
 def _(t):
-    sides = of.tick_rule(t.ticks, ["trader"], ORD, "price", WEEK)
-    out = rec.hawkes(sides, ["trader"], ORD, "side", "us", WEEK, beta=0.00001, refit=30)
+    sides = of.tick_rule(t.ticks, ["trader"], ORD, "price", BLOCKS)
+    out = rec.hawkes(sides, ["trader"], ORD, "side", "us", BLOCKS, beta=0.00001, refit=30)
     return out.select("trader", "us", *[rounded(c).alias(c) for c in ("buy_intensity", "sell_intensity", "ofi")])
 
 
@@ -210,12 +211,12 @@ def _(t):
 )
 def _(t):
     src = t.ticks.withColumn("p", F.col("volume") / 100)
-    return rec.blended_weights(src, ["trader"], ORD, "p", WEEK, low=0.15, high=0.4).select("event_id", rounded("weight").alias("weight"))
+    return rec.blended_weights(src, ["trader"], ORD, "p", BLOCKS, low=0.15, high=0.4).select("event_id", rounded("weight").alias("weight"))
 
 
 @query("of_01_tick_rule", f"WITH {TICKS}, {_SIDE.format(k='symbol')} SELECT event_id, side FROM sd")
 def _(t):
-    return of.tick_rule(t.ticks, ["symbol"], ORD, "price", DAY).select("event_id", "side")
+    return of.tick_rule(t.ticks, ["symbol"], ORD, "price", BLOCKS).select("event_id", "side")
 
 
 _HB = """hb AS (SELECT symbol, date_trunc('hour', ts) AS bucket, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low,
@@ -249,7 +250,7 @@ _VB = f"""{_SIDE.format(k='symbol')}, cu AS (SELECT *, sum(volume) OVER (PARTITI
 
 
 def _buckets(t):
-    return of.volume_buckets(of.tick_rule(t.ticks, ["symbol"], ORD, "price", DAY), ["symbol"], ORD, "volume", "side", DAY)
+    return of.volume_buckets(of.tick_rule(t.ticks, ["symbol"], ORD, "price", BLOCKS), ["symbol"], ORD, "volume", "side", BLOCKS)
 
 
 @query("of_04_volume_buckets", f"WITH {TICKS}, {_VB} SELECT symbol, bucket, buy, sell, end_us, buy + sell >= 1000 AS complete FROM vb")
@@ -279,7 +280,7 @@ def _(t):
 )
 def _(t):
     q = t.ticks.withColumns({"bid": F.col("price") * 0.999, "ask": F.col("price") * 1.001, "bid_size": F.col("volume"), "ask_size": 100 - F.col("volume")})
-    out = of.flow_state(q, ["symbol"], ORD, DAY, rows=ROWS)
+    out = of.flow_state(q, ["symbol"], ORD, BLOCKS, rows=ROWS)
     cols = {"pressure": 6, "flow_rate": 6, "turbulence": 5, "reynolds": 6}
     return out.select("event_id", "regime", *[rounded(c, d).alias(c) for c, d in cols.items()])
 
@@ -291,7 +292,7 @@ _DW = f"""{_SIDE.format(k='symbol')}, w AS (SELECT symbol, time_bucket(INTERVAL
 
 
 def _windows(t):
-    return of.direction_windows(of.tick_rule(t.ticks, ["symbol"], ORD, "price", DAY), ["symbol"], ORD, "side", "price", WEEK, "2 hours")
+    return of.direction_windows(of.tick_rule(t.ticks, ["symbol"], ORD, "price", BLOCKS), ["symbol"], ORD, "side", "price", BLOCKS, "2 hours")
 
 
 @query(
@@ -320,7 +321,7 @@ def _(t):
     f"""WITH RECURSIVE {TICKS}, {SER}, {recur({'l': '0.95 * volume / 100'}, {'l': '0.95 * (y.l + s.volume / 100)'})} SELECT event_id, {rnd('l')} AS level, l > 0.1 AS informed FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    out = of.information_decay(t.ticks.withColumn("shock", F.col("volume") / 100), ["trader"], ORD, "shock", WEEK)
+    out = of.information_decay(t.ticks.withColumn("shock", F.col("volume") / 100), ["trader"], ORD, "shock", BLOCKS)
     return out.select("event_id", rounded("level").alias("level"), "informed")
 
 
@@ -329,4 +330,4 @@ def _(t):
     f"WITH RECURSIVE {TICKS}, {SER}, {recur({'w': 'price'}, {'w': '2e0 / 3 * s.price + 1e0 / 3 * y.w'})} SELECT event_id, {rnd('w')} AS shrunk FROM s JOIN y USING (trader, seq)",
 )
 def _(t):
-    return rec.wiener_shrink(t.ticks, ["trader"], ORD, "price", WEEK, 2.0).select("event_id", rounded("shrunk").alias("shrunk"))
+    return rec.wiener_shrink(t.ticks, ["trader"], ORD, "price", BLOCKS, 2.0).select("event_id", rounded("shrunk").alias("shrunk"))

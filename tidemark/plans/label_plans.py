@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import labels as ml
-from ..operators.blocks import with_seq
+from ..operators import windows as win
+from ..operators.blocks import RowBlocks, with_seq
 from .registry import DAILY, TICKS, query, rnd, rounded
 from .window_plans import daily_returns
 
 ORD = ["ts", "event_id"]
-DAY = "1 day"
-ROWS = 700
+BLOCKS = RowBlocks()
+ROWS = win.ROWS
 
 S = """s AS (SELECT *, row_number() OVER w AS seq, count(*) OVER (PARTITION BY symbol) AS n, price * 0.3 + 10 AS atr, CAST(volume AS INT) % 3 - 1 AS signal FROM ticks
  WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id))"""
@@ -27,12 +28,12 @@ def entries(t):
 
 @query("ml_01_triple_barrier", f"WITH {TICKS}, {S}, {B} SELECT event_id, raw AS label FROM l")
 def _(t):
-    return ml.triple_barrier(entries(t), ["symbol"], ORD, DAY, rows=ROWS).select("event_id", "label")
+    return ml.triple_barrier(entries(t), ["symbol"], ORD, BLOCKS, rows=ROWS).select("event_id", "label")
 
 
 @query("ml_01_triple_barrier_signals", f"WITH {TICKS}, {S}, {B} SELECT event_id, CASE WHEN signal = 0 THEN 0 WHEN signal = -1 THEN -raw ELSE raw END AS label FROM l")
 def _(t):
-    return ml.triple_barrier(entries(t), ["symbol"], ORD, DAY, signal="signal", rows=ROWS).select("event_id", "label")
+    return ml.triple_barrier(entries(t), ["symbol"], ORD, BLOCKS, signal="signal", rows=ROWS).select("event_id", "label")
 
 
 @query(
@@ -41,7 +42,7 @@ def _(t):
  {rnd('coalesce(hit.p, e.p, price) / price - 1')} AS exit_return, CASE WHEN e IS NULL THEN 'none' WHEN hit IS NULL THEN 'timeout' WHEN hit.p >= price + 2 * atr THEN 'take_profit' ELSE 'stop_loss' END AS barrier, raw AS label FROM l""",
 )
 def _(t):
-    out = ml.barrier_events(entries(t), ["symbol"], ORD, DAY, rows=ROWS)
+    out = ml.barrier_events(entries(t), ["symbol"], ORD, BLOCKS, rows=ROWS)
     return out.select("event_id", "seq", "timeout_seq", "exit_seq", "exit_price", rounded("exit_return").alias("exit_return"), "barrier", "label")
 
 
@@ -51,7 +52,7 @@ def _(t):
  SELECT event_id, CASE WHEN signal = label AND signal <> 0 THEN 1 ELSE 0 END AS meta, signal <> 0 AS valid FROM y""",
 )
 def _(t):
-    out = ml.triple_barrier(entries(t), ["symbol"], ORD, DAY, signal="signal", rows=ROWS)
+    out = ml.triple_barrier(entries(t), ["symbol"], ORD, BLOCKS, signal="signal", rows=ROWS)
     return out.select("event_id", ml.meta_label(F.col("signal"), F.col("label")).alias("meta"), (F.col("signal") != 0).alias("valid"))
 
 
@@ -69,7 +70,7 @@ def _fr(n, k="symbol"):
 )
 def _(t):
     """Warm-up rows divide by 1e-10, which leaves no stable digits: their mean_reversion is shown as null."""
-    out = ml.meta_features(entries(t), ["symbol"], ORD, DAY, atr="atr", volume="volume", regime="signal", rows=ROWS)
+    out = ml.meta_features(entries(t), ["symbol"], ORD, BLOCKS, atr="atr", volume="volume", regime="signal", rows=ROWS)
     out = out.withColumn("mean_reversion", F.when(F.col("volatility") > 1e-10, F.col("mean_reversion")))
     digits = {"volatility": 6, "normalized_atr": 6, "momentum": 4, "vol_of_vol": 6, "trend_strength": 3, "mean_reversion": 6, "volume_ratio": 6}
     return out.select("event_id", "regime_feature", *[rounded(c, d).alias(c) for c, d in digits.items()])
@@ -85,7 +86,7 @@ def _(t):
 
 
 def _numbered(t):
-    src = with_seq(t.ticks, ["symbol"], ORD, DAY)
+    src = with_seq(t.ticks, ["symbol"], ORD, BLOCKS)
     return src.join(t.ticks.groupBy("symbol").agg(F.count("*").alias("n")), "symbol").withColumn("pos", F.col("seq") - 1)
 
 
@@ -160,8 +161,8 @@ FEATURES = ["volatility", "normalized_atr", "momentum", "vol_of_vol", "trend_str
 
 
 def _meta_rows(t):
-    f = ml.meta_features(entries(t), ["symbol"], ORD, DAY)
-    y = ml.triple_barrier(entries(t), ["symbol"], ORD, DAY, signal="signal").select("event_id", ml.meta_label(F.col("signal"), F.col("label")).alias("meta"))
+    f = ml.meta_features(entries(t), ["symbol"], ORD, BLOCKS)
+    y = ml.triple_barrier(entries(t), ["symbol"], ORD, BLOCKS, signal="signal").select("event_id", ml.meta_label(F.col("signal"), F.col("label")).alias("meta"))
     return f.where("signal != 0").join(y, "event_id")
 
 
@@ -178,7 +179,7 @@ def _(t):
 def _(t):
     from ..session import checkpointed
 
-    rows = checkpointed(with_seq(_meta_rows(t), ["symbol"], ORD, DAY).withColumn("pos", F.col("seq") - 1))
+    rows = checkpointed(with_seq(_meta_rows(t), ["symbol"], ORD, BLOCKS).withColumn("pos", F.col("seq") - 1))
     rows = rows.join(rows.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
     roles = ml.split_roles(rows.select("symbol", "pos", "n", "meta", *FEATURES), "pos", "n", purge=10)
     return ml.score_splits(roles, ["symbol"], FEATURES, "meta", "pos").withColumn("accuracy", rounded("accuracy"))

@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import regime as reg
 from ..operators import windows as win
-from ..operators.blocks import with_seq
+from ..operators.blocks import RowBlocks, with_seq
 from ..session import checkpointed
 from .registry import TICKS, query, rnd, rounded
 
 ORD = ["ts", "event_id"]
-DAY = "1 day"
-ROWS = 700
+BLOCKS = RowBlocks()
+ROWS = win.ROWS
 
 
 def _ret(t):
-    return win.log_return(t.ticks, ["symbol"], ORD, "price", DAY, "ret", first=0.0)
+    return win.log_return(t.ticks, ["symbol"], ORD, "price", BLOCKS, "ret", first=0.0)
 
 
 @query("reg_01_change_points")
@@ -28,8 +28,8 @@ def _(t):
 @query("reg_02_hidden_regimes")
 def _(t):
     r = checkpointed(_ret(t))
-    r = win.rolling(r, ["symbol"], ORD, DAY, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS)
-    out = reg.hidden_regimes(r, ["symbol"], ORD, "ret", "vol", ["event_id"], DAY, inits=2, iters=20, fit_rows=1000)
+    r = win.rolling(r, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS)
+    out = reg.hidden_regimes(r, ["symbol"], ORD, "ret", "vol", ["event_id"], BLOCKS, inits=2, iters=20, fit_rows=1000)
     return out.select("symbol", "event_id", "regime", rounded("confidence", 4).alias("confidence"))
 
 
@@ -53,13 +53,13 @@ def _(t):
 
 @query("reg_04_spectral_regime")
 def _(t):
-    out = reg.spectral_regime(_ret(t), ["symbol"], ORD, "ret", DAY, n=128, rows=ROWS)
+    out = reg.spectral_regime(_ret(t), ["symbol"], ORD, "ret", BLOCKS, n=128, rows=ROWS)
     return out.select("event_id", "symbol", *[rounded(c, 4).alias(c) for c in ("alpha", "confidence", "dominant_period")], "regime")
 
 
 @query("reg_05_dominant_cycles")
 def _(t):
-    out = reg.dominant_cycles(t.ticks, ["symbol"], ORD, "price", DAY, n=64, max_period=32.0, rows=ROWS)
+    out = reg.dominant_cycles(t.ticks, ["symbol"], ORD, "price", BLOCKS, n=64, max_period=32.0, rows=ROWS)
     m = F.transform("modes", lambda x: F.struct(F.round(x["period"], 4).alias("period"), F.round(x["amplitude"], 4).alias("amplitude")))
     return out.select("event_id", F.to_json(m).alias("modes"), rounded("coherence", 4).alias("coherence"), "resonance")
 
@@ -74,7 +74,7 @@ def _(t):
  SELECT event_id, {rnd('e')} AS entropy, {rnd('e / log2(20)')} AS normalized, {rnd('CASE WHEN e / log2(20) > 0.8 THEN greatest(0, 1 - (e / log2(20) - 0.8) / 0.2 * 0.5) ELSE 1 END')} AS risk_multiplier FROM e""",
 )
 def _(t):
-    out = reg.rolling_entropy(t.ticks, ["symbol"], ORD, "price", DAY, rows=ROWS)
+    out = reg.rolling_entropy(t.ticks, ["symbol"], ORD, "price", BLOCKS, rows=ROWS)
     return out.select("event_id", *[rounded(c).alias(c) for c in ("entropy", "normalized", "risk_multiplier")])
 
 
@@ -87,7 +87,7 @@ def _(t):
  SELECT symbol, blk, max(n) AS n, {rnd('CASE WHEN max(n) < 20 THEN 0 ELSE greatest(0, sum(c / n * log2(c * n / (cx * cy)))) END')} AS mi FROM h GROUP BY 1, 2""",
 )
 def _(t):
-    s = checkpointed(with_seq(t.ticks, ["symbol"], ORD, DAY).select("symbol", "price", "volume", F.floor((F.col("seq") - 1) / 100).cast("long").alias("blk")))
+    s = checkpointed(with_seq(t.ticks, ["symbol"], ORD, BLOCKS).select("symbol", "price", "volume", F.floor((F.col("seq") - 1) / 100).cast("long").alias("blk")))
     return reg.mutual_information(s, ["symbol", "blk"], "price", "volume").withColumn("mi", rounded("mi"))
 
 
@@ -136,5 +136,5 @@ def _(t):
 @query("ml_10_volatility_clusters")
 def _(t):
     r = checkpointed(_ret(t))
-    v = win.rolling(r, ["symbol"], ORD, DAY, 19, lambda d, w: d.withColumn("vol", win.std_sample(w, "ret", 20)), rows=ROWS).where("vol is not null")
+    v = win.rolling(r, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("vol", win.std_sample(w, "ret", 20)), rows=ROWS).where("vol is not null")
     return reg.volatility_clusters(checkpointed(v.select("event_id", "symbol", "vol")), "vol").select("event_id", "symbol", rounded("vol").alias("vol"), "cluster")

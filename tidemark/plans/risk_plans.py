@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import recurrences as rec
 from ..operators import risk
-from ..operators.blocks import running
+from ..operators.blocks import RowBlocks, running
 from .flow_plans import _AK, SER, recur, series
 from .registry import DAILY, TICKS, query, rnd, rounded
 
 ORD = ["ts", "event_id"]
-WEEK, DAY = "1 week", "1 day"
+BLOCKS = RowBlocks()
 SIG = "sg AS (SELECT *, (volume - 50) / 10 AS signal, trader % 11 / 10e0 AS regime, event_id % 10 / 10e0 AS tox, CASE WHEN event_id % 3 > 0 THEN volume / 100 END AS conf FROM ticks)"
 
 
@@ -45,7 +45,7 @@ def _(t):
  SELECT event_id, {rnd('greatest(-1, least(1, sign(p) * pow(abs(p), 0.5) * w))')} AS size FROM p""",
 )
 def _(t):
-    k = rec.adaptive_k(series(t), ["trader"], ORD, "r", WEEK)
+    k = rec.adaptive_k(series(t), ["trader"], ORD, "r", BLOCKS)
     return k.select("event_id", rounded(risk.tanh_size((F.col("volume") - 50) / 10, F.col("k"), F.sqrt((F.col("event_id") % 20) / 10.0))).alias("size"))
 
 
@@ -107,7 +107,7 @@ def _(t):
             "open_orders": e % 25,
         }
     )
-    out = risk.pre_trade_audit(src, "acct", "symbol", ORD, DAY, dict(order=30000.0, total_pct=400.0, single_pct=150.0, per_minute=1))
+    out = risk.pre_trade_audit(src, "acct", "symbol", ORD, BLOCKS, dict(order=30000.0, total_pct=400.0, single_pct=150.0, per_minute=1))
     return out.select("event_id", "violation")
 
 
@@ -118,7 +118,7 @@ def _(t):
 )
 def _(t):
     src = t.ticks.withColumns({"d": (F.col("price") - 120) / 10, "w": (F.col("volume") - 60) / 5, "eq": F.lit(100.0)})
-    return risk.loss_halt(src, ["symbol"], ORD, "d", "w", "eq", "us", DAY, daily_pct=11.5, weekly_pct=11.5).select("event_id", "breach", "halted")
+    return risk.loss_halt(src, ["symbol"], ORD, "d", "w", "eq", "us", BLOCKS, daily_pct=11.5, weekly_pct=11.5).select("event_id", "breach", "halted")
 
 
 @query(
@@ -143,7 +143,7 @@ def _(t):
 def _(t):
     src = t.ticks.withColumns({"acct": F.col("trader") % 10, "side": F.when(F.col("event_id") % 3 == 0, "sell").otherwise("buy")}).withColumnRenamed("volume", "quantity")
     limits = t.ticks.select("symbol").distinct().where("symbol <> 'view'").withColumn("max_size", F.length("symbol") * 200)
-    return risk.position_limits(src, "acct", "symbol", ORD, DAY, limits, 500_000.0).select("event_id", "violation")
+    return risk.position_limits(src, "acct", "symbol", ORD, BLOCKS, limits, 500_000.0).select("event_id", "violation")
 
 
 @query("risk_10_linear_multiplier", f"WITH {TICKS} SELECT event_id, {rnd('CASE WHEN price / 1000 <= 0.02 THEN 1 WHEN price / 1000 >= 0.1 THEN 0 ELSE 1 - (price / 1000 - 0.02) / 0.08 END')} AS m FROM ticks")
@@ -160,7 +160,7 @@ _I = "greatest(-0.5, least(0.5, y.i + (s.price / 1000 - 0.02)))"
  SELECT event_id, {rnd('greatest(0, least(1, 1 / (1 + 2 * (price / 1000 - 0.02) + 0.1 * i + 0.5 * coalesce(price / 1000 - p1 / 1000, 0))))')} AS multiplier FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    out = rec.pid_multiplier(t.ticks.withColumn("dd", F.col("price") / 1000), ["trader"], ORD, "dd", WEEK)
+    out = rec.pid_multiplier(t.ticks.withColumn("dd", F.col("price") / 1000), ["trader"], ORD, "dd", BLOCKS)
     return out.select("event_id", rounded("multiplier").alias("multiplier"))
 
 
@@ -207,8 +207,8 @@ def _(t):
   {rnd('CASE WHEN seq = 1 THEN eq / price ELSE 0 END', 4)} AS hold, {rnd('greatest(-1, least(1, sign(p) * pow(abs(p), 0.5))) * eq * 0.1 / price', 4)} AS adaptive FROM p""",
 )
 def _(t):
-    k = rec.adaptive_k(series(t), ["trader"], ORD, "r", WEEK)
-    k = running(k, ["trader"], ORD, WEEK, {"seq": ("count", F.lit(1))})
+    k = rec.adaptive_k(series(t), ["trader"], ORD, "r", BLOCKS)
+    k = running(k, ["trader"], ORD, BLOCKS, {"seq": ("count", F.lit(1))})
     sg, eq, p = (F.col("volume") - 50) / 10, 1000 + F.col("volume") * 10, F.col("price")
     stop = p - p * (F.col("volume") % 2) * 0.05
     return k.select(

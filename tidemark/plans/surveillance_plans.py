@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as al
 from ..operators import surveillance as sv
+from ..operators.blocks import RowBlocks
 from .flow_plans import recur
 from .registry import TICKS, query, rnd, rounded
 
 ORD = ["ts", "event_id"]
-DAY, WEEK = "1 day", "1 week"
+BLOCKS = RowBlocks()
 # A user has few events a day here, so windows are widened to days; the logic is that of seconds.
 O = """o AS (SELECT event_id, us, trader AS user_id, CASE WHEN trader % 2 = 0 THEN 'A' ELSE 'B' END AS symbol, CASE WHEN volume % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, round(greatest(price, 5) / 5) AS price,
  CASE symbol WHEN 'purchase' THEN 'filled' WHEN 'error' THEN 'cancelled' WHEN 'view' THEN 'cancelled' ELSE 'submitted' END AS status FROM ticks)"""
@@ -59,7 +60,7 @@ def _(t):
     from ..operators.blocks import running
 
     is_ = lambda s: F.when(F.col("status") == s, 1).otherwise(0)
-    r = running(orders(t), ["user_id"], ["us", "event_id"], WEEK, {"so": ("sum", is_("submitted")), "sc": ("sum", is_("cancelled")), "sf": ("sum", is_("filled"))})
+    r = running(orders(t), ["user_id"], ["us", "event_id"], BLOCKS, {"so": ("sum", is_("submitted")), "sc": ("sum", is_("cancelled")), "sf": ("sum", is_("filled"))})
     r = r.withColumn("cancel_ratio", F.col("sc") / F.greatest(F.lit(1), F.col("sc") + F.col("sf")))
     return r.where("so >= 5 and cancel_ratio > 0.7").select("event_id", rounded("cancel_ratio").alias("cancel_ratio"))
 
@@ -79,7 +80,7 @@ def _(t):
 
 @query("sec_05_abuse_alerts", f"WITH {TICKS}, {O}, {ST}, {_CUM}, {_AL} SELECT event_id, user_id, symbol, alert, severity, {rnd('confidence')} AS confidence, {rnd('evidence')} AS evidence FROM alerts")
 def _(t):
-    out = sv.abuse_alerts(orders(t), "user_id", "symbol", "us", "event_id", WEEK, **PARAMS)
+    out = sv.abuse_alerts(orders(t), "user_id", "symbol", "us", "event_id", BLOCKS, **PARAMS)
     return out.withColumns({"confidence": rounded("confidence"), "evidence": rounded("evidence")})
 
 
@@ -88,7 +89,7 @@ def _(t):
     f"""WITH {TICKS}, {O.replace("FROM ticks)", "FROM ticks WHERE trader = 41 AND us > (SELECT max(us) FROM ticks) - 240 * 3600000000)")}, {ST}, {_CUM}, {_AL} SELECT event_id, alert, {rnd('evidence')} AS evidence FROM alerts""",
 )
 def _(t):
-    out = sv.session_alerts(orders(t), "user_id", 41, "symbol", "us", "event_id", WEEK, hours=240, **PARAMS)
+    out = sv.session_alerts(orders(t), "user_id", 41, "symbol", "us", "event_id", BLOCKS, hours=240, **PARAMS)
     return out.select("event_id", "alert", rounded("evidence").alias("evidence"))
 
 
@@ -106,7 +107,7 @@ def _(t):
     """A log whose every fifth hash is forged; forged hashes are also the only ones the next row links to."""
     from ..operators.blocks import running
 
-    e = running(t.events, [], ORD, DAY, {"pid": ("lag", F.col("event_id"))})
+    e = running(t.events, [], ORD, BLOCKS, {"pid": ("lag", F.col("event_id"))})
     sha = lambda c: F.sha2(F.concat(F.lit("e"), c.cast("string")), 256)
     e = e.select(
         "ts",
@@ -121,7 +122,7 @@ def _(t):
     )
     n = F.col("event_id").cast("long")
     e = e.withColumn("hash", F.when(n % 5 == 0, sha(n)).otherwise(sv.chain_hash(F.col("previous_hash"))))
-    return sv.verify_chain(e, ORD, DAY).select(F.col("event_id").cast("long").alias("event_id"), "error")
+    return sv.verify_chain(e, ORD, BLOCKS).select(F.col("event_id").cast("long").alias("event_id"), "error")
 
 
 _CK = """substr(sha256('{"ts_event":' || epoch_us(ts) * 1000 || ',"event_type":"' || event_type || '","source":"s' || user_id % 3 || '","trader_id":"T' || user_id || '","sequence":' || event_id || ',"value":"' || CAST(value AS DECIMAL(12, 2)) || '"}'), 1, 16)"""
@@ -181,7 +182,7 @@ def _states(t):
         F.struct(F.lit("n_events").alias("metric"), F.col("n").alias("value")),
     )
     series = h.select("us", F.explode(pts).alias("p")).select("us", "p.*")
-    return al.evaluate_rules(series, al.rule_table(t.spark, RULES), [], "us", WEEK)
+    return al.evaluate_rules(series, al.rule_table(t.spark, RULES), [], "us", BLOCKS)
 
 
 @query("sec_09_alert_states", f"WITH {TICKS}, {SERIES}, {EV} SELECT rule, us, state FROM ev")
@@ -195,7 +196,7 @@ def _(t):
  SELECT rule, severity, min(us) AS start_us, max(us) AS end_us, count(*) AS n_points FROM i WHERE state = 'firing' GROUP BY rule, severity, g""",
 )
 def _(t):
-    return al.firing_intervals(_states(t).select("rule", "severity", "us", "state"), [], "us", WEEK)
+    return al.firing_intervals(_states(t).select("rule", "severity", "us", "state"), [], "us", BLOCKS)
 
 
 @query(

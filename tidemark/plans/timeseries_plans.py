@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import timeseries as ts
-from ..operators.blocks import running, settle, spread
+from ..operators.blocks import RowBlocks, running, settle, spread
 from .registry import DAILY, TICKS, query, rnd, rounded
 
 ORD = ["ts", "event_id"]
-DAY = "1 day"
+BLOCKS = RowBlocks()
 
 
 def _fmt(c):
@@ -30,7 +30,7 @@ _OHLC = "arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price)
 )
 def _(t):
     bars = ts.time_bars(t.ticks.where("price > 0"), ["symbol"], ORD, "1 hour")
-    r = running(bars, ["symbol"], ["bucket"], "1 week", {"prev": ("lag", F.col("close")), "seq": ("count", F.lit(1))})
+    r = running(bars, ["symbol"], ["bucket"], BLOCKS, {"prev": ("lag", F.col("close")), "seq": ("count", F.lit(1))})
     r = r.withColumn("log_ret", F.log(F.col("close") / F.col("prev")))
     h, w = spread(r, ["symbol"], "seq", 65536, back=19)
     f = w.rowsBetween(-19, 0)
@@ -145,7 +145,7 @@ def _(t):
  SELECT symbol, bar, {_OHLC} FROM s GROUP BY 1, 2""",
 )
 def _(t):
-    return ts.tick_bars(t.ticks, ["symbol"], ORD, 50, DAY)
+    return ts.tick_bars(t.ticks, ["symbol"], ORD, 50, BLOCKS)
 
 
 for _n, _m, _thr in (("volume", "volume", 1000.0), ("value", "price * volume", 50000.0)):
@@ -157,7 +157,7 @@ for _n, _m, _thr in (("volume", "volume", 1000.0), ("value", "price * volume", 5
  SELECT symbol, CAST((cum - m) // {int(_thr * 100)} AS BIGINT) AS bar, {_OHLC} FROM s GROUP BY 1, 2""",
     )
     def _(t, _m=_m, _thr=_thr):
-        return ts.threshold_bars(t.ticks, ["symbol"], ORD, F.round(F.expr(_m) * 100).cast("long"), _thr * 100, DAY)
+        return ts.threshold_bars(t.ticks, ["symbol"], ORD, F.round(F.expr(_m) * 100).cast("long"), _thr * 100, BLOCKS)
 
 
 @query(
@@ -198,6 +198,6 @@ def _(t):
 def _(t):
     left = t.ticks.where("symbol = 'purchase'").select("event_id", "trader", "ts")
     right = t.ticks.where("symbol = 'view'").select("trader", "ts", F.col("price").alias("view_price"), F.col("event_id").alias("view_id"))
-    return ts.asof_join(left, right, ["trader"], "ts", ["view_price", "view_id"], DAY).drop("ts")
+    return ts.asof_join(left, right, ["trader"], "ts", ["view_price", "view_id"], "1 day").drop("ts")
 
 

@@ -6,22 +6,23 @@ from pyspark.sql import functions as F
 
 from ..operators import timeseries as ts
 from ..operators import windows as win
+from ..operators.blocks import RowBlocks
 from .registry import DAILY, TICKS, query, rnd, rounded
 
 ORD = ["ts", "event_id"]
-DAY = "1 day"
-ROWS = 700  # small row blocks, so the halo logic works at test scale; production default is windows.ROWS
+BLOCKS = RowBlocks()
+ROWS = win.ROWS
 SYM = "(PARTITION BY symbol ORDER BY ts, event_id)"
 RET = f"r AS (SELECT *, row_number() OVER w AS seq, ln(price / lag(price) OVER w) AS ret FROM ticks WINDOW w AS {SYM})"
 
 
 def _ret(t):
-    return win.log_return(t.ticks, ["symbol"], ORD, "price", DAY)
+    return win.log_return(t.ticks, ["symbol"], ORD, "price", BLOCKS)
 
 
 @query("win_01_counter_rate", f"WITH {TICKS} SELECT event_id, volume - lag(volume) OVER (ORDER BY ts, event_id) AS delta FROM ticks")
 def _(t):
-    return win.counter_delta(t.ticks, [], ORD, "volume", DAY).select("event_id", "delta")
+    return win.counter_delta(t.ticks, [], ORD, "volume", BLOCKS).select("event_id", "delta")
 
 
 @query(
@@ -30,7 +31,7 @@ def _(t):
  SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, {rnd('avg(delta)')} AS rate FROM d GROUP BY 1""",
 )
 def _(t):
-    d = win.counter_delta(t.ticks, [], ORD, "volume", DAY)
+    d = win.counter_delta(t.ticks, [], ORD, "volume", BLOCKS)
     out = ts.sample_by(d, "ts", "1 hour", [rounded(F.avg("delta")).alias("rate")])
     return out.select(F.date_format("bucket", "yyyy-MM-dd HH").alias("hour"), "rate")
 
@@ -41,13 +42,13 @@ def _(t):
  SELECT event_id, delta, CASE WHEN delta < 0 THEN volume ELSE delta END AS reset_delta FROM d""",
 )
 def _(t):
-    d = win.counter_delta(t.ticks, ["symbol"], ORD, "volume", DAY)
-    return win.counter_delta(d, ["symbol"], ORD, "volume", DAY, "reset_delta", reset_aware=True).select("event_id", "delta", "reset_delta")
+    d = win.counter_delta(t.ticks, ["symbol"], ORD, "volume", BLOCKS)
+    return win.counter_delta(d, ["symbol"], ORD, "volume", BLOCKS, "reset_delta", reset_aware=True).select("event_id", "delta", "reset_delta")
 
 
 @query("win_03_moving_average_11", f"WITH {TICKS} SELECT event_id, {rnd('avg(price) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)')} AS ma FROM ticks")
 def _(t):
-    out = win.moving_average(t.ticks, ["symbol"], ORD, "price", DAY, rows=ROWS)
+    out = win.moving_average(t.ticks, ["symbol"], ORD, "price", BLOCKS, rows=ROWS)
     return out.select("event_id", rounded("ma").alias("ma"))
 
 
@@ -58,7 +59,7 @@ def _(t):
 
 @query("win_04_log_return_zero_first", f"WITH {TICKS}, {RET} SELECT event_id, {rnd('coalesce(ret, 0)', 8)} AS ret FROM r")
 def _(t):
-    out = win.log_return(t.ticks, ["symbol"], ORD, "price", DAY, first=0.0)
+    out = win.log_return(t.ticks, ["symbol"], ORD, "price", BLOCKS, first=0.0)
     return out.select("event_id", rounded("ret", 8).alias("ret"))
 
 
@@ -81,7 +82,7 @@ def _(t):
             rounded(win.std_sample(w, "ret", 12, 105120**0.5), 4).alias("vol12_5m"),
         )
 
-    return win.rolling(_ret(t), ["symbol"], ORD, DAY, 29, build, rows=ROWS).select("event_id", "vol20", "vol30_annual", "vol12_5m")
+    return win.rolling(_ret(t), ["symbol"], ORD, BLOCKS, 29, build, rows=ROWS).select("event_id", "vol20", "vol30_annual", "vol12_5m")
 
 
 @query(
@@ -89,8 +90,8 @@ def _(t):
     f"""WITH {TICKS}, {RET} SELECT event_id, {rnd(f'CASE WHEN count(*) OVER {_frame(20)} >= 20 THEN stddev_pop(coalesce(ret, 0)) OVER {_frame(20)} ELSE 0 END')} AS vol FROM r""",
 )
 def _(t):
-    r = win.log_return(t.ticks, ["symbol"], ORD, "price", DAY, first=0.0)
-    out = win.rolling(r, ["symbol"], ORD, DAY, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS)
+    r = win.log_return(t.ticks, ["symbol"], ORD, "price", BLOCKS, first=0.0)
+    out = win.rolling(r, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS)
     return out.select("event_id", rounded("vol").alias("vol"))
 
 
@@ -100,13 +101,13 @@ def _(t):
 )
 def _(t):
     src = win.with_key_rows(t.ticks, ["trader"])
-    out = win.rolling(src, ["trader"], ORD, "1 week", 59, lambda d, w: d.withColumn("m", win.mean_expanding(w, "price", 60, F.col("_key_rows"))), rows=ROWS)
+    out = win.rolling(src, ["trader"], ORD, BLOCKS, 59, lambda d, w: d.withColumn("m", win.mean_expanding(w, "price", 60, F.col("_key_rows"))), rows=ROWS)
     return out.select("event_id", rounded("m").alias("m"))
 
 
 @query("win_08_rolling_return", f"WITH {TICKS} SELECT event_id, {rnd(f'coalesce(price / lag(price, 20) OVER {SYM} - 1, 0)', 4)} AS r FROM ticks")
 def _(t):
-    out = win.rolling(t.ticks, ["symbol"], ORD, DAY, 20, lambda d, w: d.withColumn("r", win.rolling_return(w, "price", 20)), rows=ROWS)
+    out = win.rolling(t.ticks, ["symbol"], ORD, BLOCKS, 20, lambda d, w: d.withColumn("r", win.rolling_return(w, "price", 20)), rows=ROWS)
     return out.select("event_id", rounded("r", 4).alias("r"))
 
 
@@ -117,7 +118,7 @@ def _(t):
 )
 def _(t):
     src = win.with_key_rows(t.ticks, ["symbol"])
-    out = win.rolling(src, ["symbol"], ORD, DAY, 19, lambda d, w: d.withColumn("ratio", win.volume_ratio(w, "volume", 20, F.col("_key_rows"))), rows=ROWS)
+    out = win.rolling(src, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("ratio", win.volume_ratio(w, "volume", 20, F.col("_key_rows"))), rows=ROWS)
     return out.select("event_id", rounded("ratio").alias("ratio"))
 
 
@@ -172,7 +173,7 @@ PIV = """pv AS (SELECT *, count(*) OVER l = 2 AND count(*) OVER r = 2 AND high >
 
 @query("win_13_pivots", f"WITH {TICKS}, {BARS}, {PIV} SELECT symbol, strftime(bucket, '%Y-%m-%d %H') AS bucket, ph AS pivot_high, pl AS pivot_low FROM pv WHERE ph OR pl")
 def _(t):
-    out = win.pivots(hour_bars(t), ["symbol"], ["bucket"], "high", "low", "1 week", rows=100)
+    out = win.pivots(hour_bars(t), ["symbol"], ["bucket"], "high", "low", BLOCKS)
     return out.where("pivot_high or pivot_low").select("symbol", F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), "pivot_high", "pivot_low")
 
 
@@ -191,7 +192,7 @@ def _(t):
 )
 def _(t):
     b = hour_bars(t).withColumn("atr", F.col("high") - F.col("low"))
-    z = win.liquidation_zones(b, ["symbol"], ["bucket"], "1 week", rows=200)
+    z = win.liquidation_zones(b, ["symbol"], ["bucket"], BLOCKS)
     return z.select("symbol", "start_seq", "side", rounded("top").alias("top"), rounded("bottom").alias("bottom"), rounded("intensity").alias("intensity"), "end_seq", "status")
 
 
@@ -209,7 +210,7 @@ def _(t):
   {rnd('least(1.0, value / 20)')} AS strength FROM a""",
 )
 def _(t):
-    out = win.trend_counter(hour_bars(t), ["symbol"], ["bucket"], "1 week", rows=200)
+    out = win.trend_counter(hour_bars(t), ["symbol"], ["bucket"], BLOCKS)
     return out.select("symbol", "seq", "raw", "value", rounded("avg50").alias("avg50"), "trend", rounded("strength").alias("strength"))
 
 
@@ -220,7 +221,7 @@ def _(t):
  UNION ALL SELECT trader, 'time', ps, s, pus, us FROM g WHERE us - pus > 1800000000""",
 )
 def _(t):
-    return win.sequence_gaps(t.ticks, ["trader"], ORD, "event_id", "us", DAY)
+    return win.sequence_gaps(t.ticks, ["trader"], ORD, "event_id", "us", BLOCKS)
 
 
 @query(
@@ -233,7 +234,7 @@ def _(t):
   {rnd("CASE WHEN n = 50 AND len([i FOR i IN range(1, 50) IF (recent[i] - eq) * (recent[i + 1] - eq) < 0]) > 3.5 THEN amp END")} AS standing_wave FROM x""",
 )
 def _(t):
-    out = win.wave_features(t.ticks, ["trader"], ORD, "price", "1 week", rows=100)
+    out = win.wave_features(t.ticks, ["trader"], ORD, "price", BLOCKS)
     cols = ("equilibrium", "velocity", "acceleration", "displacement", "standing_wave")
     return out.select("event_id", *[rounded(c).alias(c) for c in cols])
 
@@ -245,4 +246,4 @@ def _(t):
  SELECT symbol, n, crossings, {rnd('CASE WHEN n >= 10 THEN crossings / n END')} AS nyquist, CASE WHEN n >= 10 AND crossings > 0 THEN 5 ELSE 1 END AS factor FROM a""",
 )
 def _(t):
-    return win.crossing_frequency(t.ticks, ["symbol"], ORD, "price", DAY).withColumn("nyquist", rounded("nyquist"))
+    return win.crossing_frequency(t.ticks, ["symbol"], ORD, "price", BLOCKS).withColumn("nyquist", rounded("nyquist"))

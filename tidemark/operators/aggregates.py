@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import running
+from .blocks import running, value_blocks
 
 
 def count_by(df: DataFrame, key: str, **flags: Column) -> DataFrame:
@@ -33,13 +33,13 @@ def counter_span(counter: str, name: str) -> Column:
 def exact_percentiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str, float], width: float) -> DataFrame:
     """Interpolated percentiles, exact, for groups of any size.
 
-    Equal values collapse to one counted row first (map-side), value bands of ``width`` are the blocks
-    of a running count, and each wanted order statistic is then a plain conditional maximum. No task
+    Equal values collapse to one counted row first (map-side), blocks of such rows
+    along the value carry a running count, and each wanted order statistic is then a plain conditional maximum. No task
     holds a group, unlike the built-in exact percentile.
     """
     v = F.col(col)
     freq = df.where(v.isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_c"))
-    cum = running(freq, keys, [col], F.floor(v / F.lit(width)), {"_cum": ("sum", F.col("_c"))})
+    cum = running(freq, keys, [col], value_blocks(v, width), {"_cum": ("sum", F.col("_c"))})
     if keys:
         n = df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
         cum = cum.join(n, list(keys))

@@ -63,6 +63,11 @@ class RowBlocks:
     along: Column | None = None
 
 
+def value_blocks(value: Column, width: float) -> RowBlocks:
+    """Row blocks along a value; ``width`` is a coarse band of it, cut into a thousand cells."""
+    return RowBlocks(along=value, grain=width / 1024)
+
+
 def with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str | int | Column | RowBlocks) -> DataFrame:
     """``block`` may also be a column expression that never decreases along the order.
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats_expr import norm_cdf, t_two_sided, z_value
 from ..session import checkpointed
-from .blocks import running
+from .blocks import running, value_blocks
 from .relational import hash_uniform
 from .windows import ROWS, cumulative_return, drawdown, rolling
 
@@ -243,7 +243,7 @@ def average_ranks(df: DataFrame, col: str, width: float, name: str) -> DataFrame
     joined back to its rows.
     """
     freq = df.groupBy(col).agg(F.count("*").alias("_c"))
-    cum = running(freq, [], [col], F.floor(F.col(col) / F.lit(width)), {"_cum": ("sum", F.col("_c"))})
+    cum = running(freq, [], [col], value_blocks(F.col(col), width), {"_cum": ("sum", F.col("_c"))})
     return df.join(cum.select(col, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(name)), col)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import micros, with_seq
+from .blocks import micros, value_blocks, with_seq
 
 
 def history(
@@ -105,9 +105,9 @@ def top_k(df: DataFrame, metric: str, k: int, tie: str, keys: Sequence[str] = ()
 
 
 def ranked(df: DataFrame, score: Column, tie: str, width: float, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Rank by descending score without one task seeing a whole group: score bands are the blocks."""
+    """Rank by descending score without one task seeing a whole group: blocks of rows along the score."""
     src = df.withColumn("_neg", -score)
-    out = with_seq(src, keys, ["_neg", tie], F.floor(F.col("_neg") / F.lit(width)), name)
+    out = with_seq(src, keys, ["_neg", tie], value_blocks(F.col("_neg"), width), name)
     return out.drop("_neg")
 
 
@@ -135,7 +135,7 @@ def prune_population(df: DataFrame, metric: str, tie: str, population: int, prot
     kept = df.join(elite, tie, "left_semi")
     rest = df.join(elite, tie, "left_anti")
     u = hash_uniform(F.lit(str(seed)), F.col(tie).cast("string"))
-    order = with_seq(rest.withColumn("_u", u), [], ["_u", tie], F.floor(F.col("_u") * 1000), "_r")
+    order = with_seq(rest.withColumn("_u", u), [], ["_u", tie], value_blocks(F.col("_u"), 0.001), "_r")
     total = df.agg(F.count("*").alias("n")).select("n").scalar()
     n_rest = rest.agg(F.count("*").alias("n")).select("n").scalar()
     excess = F.least(F.greatest(total - F.lit(population), F.lit(0)), n_rest)

@@ -238,7 +238,7 @@ class Trie:
 class Segmenter:
     """N-best segmentation of pre-tokens and of whole texts."""
 
-    def __init__(self, model: PieceModel, n: int, most: int = 300_000):
+    def __init__(self, model: PieceModel, n: int, most: int = 30_000):
         self.model, self.n, self.most = model, n, most
         self.best: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}

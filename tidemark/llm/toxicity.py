@@ -48,6 +48,7 @@ SUPPORT, Z2 = 4, 3.0
 EDGE_LEFT, EDGE_RIGHT = re.compile(r"^[^\w@$!|+(€£]+"), re.compile(r"[^\w]+$")
 LOOKALIKE = re.compile("[" + re.escape("".join(LOOKS)) + "]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"(.)\1")
 SPELT = re.compile(r"(?<!\S)(?:[\w@$!|+(€£*#][ .\-_*~,/]{1,2}){2,}[\w@$!|+(€£*#](?!\w)")
 
 
@@ -137,6 +138,10 @@ class Channel:
 
 def plain(token: str) -> str:
     """A lowered token without the marks around it."""
+    if token.isalnum():
+        return token
+    if token[:-1].isalnum() and token[-1] in ".,;:!?":
+        return token[:-1]
     return EDGE_RIGHT.sub("", EDGE_LEFT.sub("", token))
 
 
@@ -170,6 +175,9 @@ class Lexicon:
     coef: np.ndarray  # for log(1 + distinct hits), largest weight, intercept
     seen: dict[str, tuple[str, float] | None] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.heads = {f.removeprefix("^")[: PREFIXES[0]] for f in self.weight}
+
     def of(self, word: str) -> float:
         """Largest weight of the word's features, also with repeated letters squeezed; 0 when it has none."""
         got = max((self.weight.get(f, 0.0) for f in features(word)), default=0.0)
@@ -179,6 +187,9 @@ class Lexicon:
 
     def hit(self, token: str, channel: Channel) -> tuple[str, float] | None:
         """The reading of a token that weighs most and its weight, if any has one."""
+        word = plain(token)
+        if word.isalpha() and word[: PREFIXES[0]] not in self.heads and not DOUBLE.search(word):
+            return None  # no feature begins like it, and there is nothing to restore or to squeeze
         best = max(((self.of(w), w) for w in readings(token, channel)), default=(0.0, ""))
         return (best[1], best[0]) if best[0] else None
 

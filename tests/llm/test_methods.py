@@ -79,6 +79,24 @@ def test_wrapper_drops_template_text_without_names(spark):
     assert "My site" in got[9]  # one page shows no template
 
 
+def test_wrapper_drops_template_text_inside_an_article(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+
+    page = "<main><div>Top stories</div><div>Weather</div><article><p>{}</p><p>{}</p><p>Read also our weekly letter</p></article></main>"
+    own = [(words(20), words(12)) for _ in range(8)]
+    rows = [(i, "https://a.example.org/", page.format(*own[i])) for i in range(8)]
+    copied = [words(15) for _ in range(6)]
+    # near copies of one article, each with a paragraph of its own, are no template
+    near = [copied[:k] + [words(15)] + copied[k + 1 :] for k in range(6)]
+    rows += [(100 + k, "https://b.example.org/", "<article>" + "".join(f"<p>{x}</p>" for x in near[k]) + "</article>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(own[i]) for i in range(8))
+    assert all(got[100 + k] == "\n".join(near[k]) for k in range(6))
+
+
 def test_boilerplate_inside_an_article():
     page = """<header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><main><article><header><h2>T&eacute;st &amp; more</h2></header>
     <p>One<br>two <a href=x>three</a><span class="share">Share!</span> four<ul><li>a<li>b</ul><div class="comments"><article><p>nice</p></article></div>

@@ -13,9 +13,13 @@ Alignment is iterated page by page in each task, then over the tasks' wrappers o
 over the salts, so a host with a third of all pages is inferred by many tasks and only wrappers, never pages,
 meet in one. Each page is then matched with its host's wrapper.
 
+A repeated slot holds several texts, so its fixed texts are counted: a text that stands in one slot (path of labels)
+on at least FIXED pages and on half of the host's pages that have the slot is fixed there (``slot_texts``).
+
 A text block belongs to the article unless an element around it is boilerplate by its kind or name. If the page
-has an article or main element, only its blocks count. Otherwise blocks in fixed slots of the wrapper are the
-host's template and go, unless nothing else is left.
+has an article or main element, only its blocks count. Fixed texts go if enough of the page's other text is free;
+pages that share nearly all of their text are copies of an article, and show no template. Without an article or main
+element, blocks in fixed slots of the wrapper go as well, unless nothing else is left.
 """
 
 from __future__ import annotations
@@ -60,6 +64,8 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|d
 WORDS = re.compile(r"[^a-z0-9]+")
 #: Longest run of sibling nodes that is looked for as a repeated group; distinct pages that make a text fixed.
 GROUP, FIXED = 4, 3
+#: A fixed text goes if at least one character in so many of the page's other text is free: copies share more.
+FREE = 3
 
 
 class Node:
@@ -281,6 +287,55 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return merged.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(_combine, "host string, wrapper string")
 
 
+def _slots(node: Node, path: int = 0) -> Iterator[tuple[Node, int]]:
+    """The text blocks below ``node`` that no element sets apart, each with the slot it stands in."""
+    for c in node.children:
+        if c.apart:
+            continue
+        at = _long(f"{path}/{c.label}")
+        if c.label == "#":
+            yield c, at
+        else:
+            yield from _slots(c, at)
+
+
+def _long(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _slot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, html) in; (host, slot, text) out, once a page: text is the hash of a block, or null for the slot itself."""
+    for pdf in batches:
+        rows: list[tuple] = []
+        for host, page in zip(pdf["host"], pdf["html"]):
+            found = {(slot, _long(c.text)) for c, slot in _slots(stream_of(page))}
+            rows += [(host, slot, text) for slot, text in found] + [(host, slot, None) for slot in {slot for slot, _ in found}]
+        hosts, slots, texts = zip(*rows) if rows else ((), (), ())
+        yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "slot": pd.Series(slots, dtype="int64"), "text": pd.Series(texts, dtype="Int64")})
+
+
+def slot_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, fixed): [slot, text, pages] of every text that is fixed in a slot of the host; hosts without any are left out.
+
+    A slot has at most twice as many fixed texts as blocks a page, so a host's list does not grow with its pages.
+    """
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    counts = rows.mapInPandas(_slot_rows, "host string, slot long, text long")
+    # the aggregate t keeps the filters below from moving into the pages: one shuffle serves both sides of the join
+    counts = counts.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.max("text").alias("t")).where(F.col("n") >= FIXED)
+    slots = counts.where("t is null").select("host", "slot", F.col("n").alias("of"))
+    fixed = counts.where("t is not null").join(slots, ["host", "slot"]).where(2 * F.col("n") >= F.col("of"))
+    return fixed.groupBy("host").agg(F.collect_list(F.array("slot", "t", "n")).alias("fixed"))
+
+
+def _template(texts: list[Node], slots: dict[int, int], fixed: dict[tuple[int, int], int]) -> set[int]:
+    """Ids of the text nodes whose fixed text is the host's template and not an article that has copies."""
+    size = [(fixed.get((slots[id(t)], _long(t.text)), 0), len(t.text), id(t)) for t in texts]
+    total = sum(n for _, n, _ in size)
+    free = {pages: sum(n for other, n, _ in size if 2 * other <= pages) for pages in {p for p, _, _ in size if p}}
+    return {i for pages, n, i in size if pages and free[pages] and FREE * free[pages] >= total - n}
+
+
 def _fixed_texts(node: Node, nodes: list, found: set[int]) -> None:
     """Ids of the text nodes below ``node`` that stand in a fixed slot of the wrapper nodes."""
     flat = []
@@ -302,23 +357,19 @@ def _fixed_texts(node: Node, nodes: list, found: set[int]) -> None:
             _fixed_texts(child, w[3], found)
 
 
-def extract(page: str | None, wrapper: tuple[int, list] | None) -> list[str]:
-    """Article blocks of one page in page order."""
+def extract(page: str | None, wrapper: tuple[int, list] | None, fixed: dict[tuple[int, int], int] | None = None) -> list[str]:
+    """Article blocks of one page in page order; ``fixed`` has the pages of each fixed (slot, text)."""
     root = stream_of(page)
+    slots = {}
     texts: list[Node] = []
-
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if c.label == "#":
-                if not c.apart:
-                    texts.append(c)
-            elif not c.apart:
-                walk(c)
-
-    walk(root)
+    for c, slot in _slots(root):
+        texts.append(c)
+        slots[id(c)] = slot
     inside = [t for t in texts if t.main]
+    template = _template(inside or texts, slots, fixed) if fixed else set()
     if inside:
-        return [t.text for t in inside]
+        return [t.text for t in inside if id(t) not in template]
+    texts = [t for t in texts if id(t) not in template]
     if wrapper is not None and wrapper[0] >= FIXED:
         found: set[int] = set()
         _fixed_texts(root, wrapper[1], found)
@@ -334,23 +385,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty html has empty text. Pages with a null or unreadable url share the empty host. Rows that repeat
     a page have one row each; other columns are not read; an empty table gives an empty result.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col)
+    wrappers = infer_wrappers(pages, url_col, html_col).join(slot_texts(pages, url_col, html_col), "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read: dict[str, tuple[int, list]] = {}
+        read: dict[str, tuple] = {}
         for pdf in batches:
             blocks = []
-            for page, text in zip(pdf["html"], pdf["wrapper"]):
-                if text not in read:
+            for page, host, text, fixed in zip(pdf["html"], pdf["host"], pdf["wrapper"], pdf["fixed"]):
+                if host not in read:
                     if len(read) > 1000:
                         read.clear()
-                    read[text] = tuple(json.loads(text))
-                blocks.append(extract(page, read[text]))
+                    read[host] = tuple(json.loads(text)), {(int(s), int(t)): int(n) for s, t, n in fixed} if fixed is not None else {}
+                blocks.append(extract(page, *read[host]))
             joined = ["\n".join(b) for b in blocks]
             yield pd.DataFrame(
                 {"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": joined, "n_chars": [len(t) for t in joined], "n_blocks": [len(b) for b in blocks]}
             )
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    joined = rows.join(wrappers, "host").select("page_id", "url", "html", "wrapper")
+    joined = rows.join(wrappers, "host").select("page_id", "url", "html", "host", "wrapper", "fixed")
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long")

@@ -104,6 +104,18 @@ def test_boilerplate_inside_an_article():
     assert html_wrappers.extract(page, None) == ["Tést & more", "One two three", "four", "a", "b"]
 
 
+def test_article_text_is_not_swallowed():
+    def text(page):
+        return html_wrappers.extract(page, None)
+
+    assert text("<article><p>one</p><svg-icon></svg-icon><p>two</p><template-x>three</template-x>") == ["one", "two", "three"]
+    assert text("<article><p>one</p><svg a='b/c' /><p>two</p><svg><text>no</text></svg><p>three</p>") == ["one", "two", "three"]
+    for body in ('class="no-sidebar"', 'class="menu-closed"', 'class="sidebar" id="search"'):
+        assert text(f"<html><body {body}><main class='related'><p>one</p><div class='sidebar-left'>x</div><div class=comment-list>y</div></main>") == ["one"]
+    assert text('<article><section id="discussion"><h2 id="related">a</h2><p class="related-work">b</p></section><div id="comments">c</div></article>') == ["a", "b"]
+    assert text('<body><div class="overlay"><nav>m</nav><p>one</p></div>') == ["one"]
+
+
 def test_folding_and_alignment():
     def pattern(s):
         return html_wrappers.pattern_of(html_wrappers.stream_of(s))

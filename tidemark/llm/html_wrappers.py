@@ -49,13 +49,20 @@ NAMES = frozenset(
     "comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
     "sharing social related recommended recommendations widget toolbar pagination pager search complementary contentinfo".split()
 )
+#: Words that a name may be joined with and still be the element's name: sidebar-left, comment-list; not no-sidebar or related-work.
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons container content footer form group header icon icons inner item items left link links list main outer page panel primary right row secondary "
+    "section site slot text title top unit wrap wrapper".split()
+)
 MAIN = ("article", "main")
+#: Elements that hold the page or the article, which no name sets apart; elements whose id is an anchor in the text.
+WHOLE, ANCHORED = frozenset(("html", "body", "main", "article")), frozenset("section h1 h2 h3 h4 h5 h6 p".split())
 #: Opening one of these ends the open element of the listed names, as in HTML.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KEEPS_P = frozenset(("html", "head", "body", "br", "input", "label", "button"))
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?!(?<=svg)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.S | re.I,
 )
@@ -69,18 +76,18 @@ FREE = 3
 
 
 class Node:
-    """Element of a page's stream: label, children, and whether it is apart from or holds the article. Text has label #."""
+    """Element of a page's stream: label, children, and whether it is apart from (1 by name only, 2 by kind) or holds the article. Text has label #."""
 
     __slots__ = ("label", "name", "children", "text", "apart", "main")
 
-    def __init__(self, label: str, name: str, apart: bool, main: bool, text: str | None = None):
+    def __init__(self, label: str, name: str, apart: int, main: bool, text: str | None = None):
         self.label, self.name, self.apart, self.main, self.text = label, name, apart, main, text
         self.children: list[Node] = []
 
 
 def stream_of(page: str | None) -> Node:
     """Nested token stream of a page; unclosed and stray tags are taken as browsers do."""
-    root = Node("", "", False, False)
+    root = Node("", "", 0, False)
     stack, pieces, at, text = [root], [], 0, page or ""
 
     def flush() -> None:
@@ -107,7 +114,7 @@ def stream_of(page: str | None) -> Node:
         if name is None:
             continue
         name = name.lower()
-        if name in INLINE and (m.group("end") or not NAMES & _names(m.group("rest"))):
+        if name in INLINE and (m.group("end") or not _named_apart(name, m.group("rest"))):
             if m.group("end") and stack[-1].name == name:  # ends an inline element that was named as boilerplate
                 flush()
                 stack.pop()
@@ -130,7 +137,10 @@ def stream_of(page: str | None) -> Node:
         top = stack[-1]
         named = _names(rest)
         main = top.main or name in MAIN or "main" in named and "role" in rest.lower()
-        apart = top.apart or name in APART or (name == "header" and not top.main) or bool(named & NAMES) or bool(rest and HIDDEN.search(rest))
+        if name in APART or (name == "header" and not top.main) or (rest and HIDDEN.search(rest)):
+            apart = 2
+        else:
+            apart = max(top.apart, int(_named_apart(name, rest)))
         label = name + "".join("." + w for w in sorted(named)[:3])
         node = Node(label, name, apart, main)
         top.children.append(node)
@@ -142,6 +152,20 @@ def stream_of(page: str | None) -> Node:
     return root
 
 
+def _named_apart(name: str, rest: str) -> bool:
+    """Whether a whole class, id or role names the element as no part of an article."""
+    if not rest or "=" not in rest or name in WHOLE:
+        return False
+    for m in NAMED.finditer(rest):
+        if name in ANCHORED and m.group()[:2].lower() == "id":
+            continue
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = {w for w in WORDS.split(token) if w and not w.isdigit()}
+            if parts & NAMES and parts <= NAMES | LAYOUT:
+                return True
+    return False
+
+
 def _names(rest: str) -> set[str]:
     if not rest or "=" not in rest:
         return set()
@@ -287,16 +311,16 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return merged.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(_combine, "host string, wrapper string")
 
 
-def _slots(node: Node, path: int = 0) -> Iterator[tuple[Node, int]]:
-    """The text blocks below ``node`` that no element sets apart, each with the slot it stands in."""
+def _slots(node: Node, path: int = 0, apart: int = 0) -> Iterator[tuple[Node, int]]:
+    """The text blocks below ``node`` that no element sets apart (``apart`` 1: by kind), each with the slot it stands in."""
     for c in node.children:
-        if c.apart:
+        if c.apart > apart:
             continue
         at = _long(f"{path}/{c.label}")
         if c.label == "#":
             yield c, at
         else:
-            yield from _slots(c, at)
+            yield from _slots(c, at, apart)
 
 
 def _long(text: str) -> int:
@@ -362,7 +386,7 @@ def extract(page: str | None, wrapper: tuple[int, list] | None, fixed: dict[tupl
     root = stream_of(page)
     slots = {}
     texts: list[Node] = []
-    for c, slot in _slots(root):
+    for c, slot in list(_slots(root)) or _slots(root, apart=1):  # names that take the whole page say nothing
         texts.append(c)
         slots[id(c)] = slot
     inside = [t for t in texts if t.main]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
-from tidemark.llm import byte_cnn, exact_dedup, html_wrappers, mixing, projection_neighbours, simhash, toxicity
+from tidemark.llm import byte_cnn, exact_dedup, html_wrappers, license_join, mixing, projection_neighbours, simhash, toxicity
 from tidemark.llm.components import Forest, connected_components
 from tidemark.llm.pieces import PieceModel, Segmenter, SuffixTable, Trie
 from tidemark.llm.token_counts import MODEL, Splits, counts_of
@@ -38,6 +38,29 @@ def test_query_equals_sql(spark, name):
     assert compare(df.columns, rows, [d[0] for d in cur.description], cur.fetchall()) is None
 
 
+def test_notices_are_found_over_line_breaks_and_not_put_together(spark):
+    templates = license_join.TEMPLATES
+    rows, names = [], sorted(templates)
+    for i, name in enumerate(names):
+        words = templates[name].split()
+        rows += [(10 * i, "\n * ".join(" ".join(words[k : k + 3]) for k in range(0, len(words), 3))), (10 * i + 1, "x " * 300 + templates[name] + " y" * 300)]
+    # all the words of a notice far apart are none
+    rows.append((1000, " ".join(f"{w} " + "filler " * 40 for w in "released under the mit license".split())))
+    rng = random.Random(1)
+    vocabulary = license_join.words_of(" ".join(templates.values()))
+    rows += [(2000 + i, " ".join(rng.choices(license_join.words_of(templates[rng.choice(names)]) * 3 + vocabulary[:9], k=rng.randrange(1, 60)))) for i in range(60)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_join.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={"no such phrase": "none"}).collect()}
+    assert all(name in got[10 * i] and name in got[10 * i + 1] for i, name in enumerate(names))
+    assert got[1000] == [""]
+    for i, text in rows:  # every run of words against every template
+        words, want = license_join.words_of(text), set()
+        for name, t in templates.items():
+            n, s = license_join.RUN * len(license_join.words_of(t)), set(license_join.words_of(t))
+            if max(len(s & set(words[k : k + n])) for k in range(len(words))) >= license_join.needed(len(s), license_join.THRESHOLD):
+                want.add(name)
+        assert got[i] == (sorted(want) or [""])
+
+
 # components
 
 

@@ -1,16 +1,17 @@
 """License scan: fixed phrases in whole texts, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, its tokens are its distinct words. A block meets a template when it holds at least
-``threshold`` of the template's distinct words. The join is exact and uses three filters over tokens in one
-global order, rarest in the corpus first:
-
-* prefix: a template's first |T| - need + 1 tokens must hold one of the block's first |B| - need + 1 tokens;
-* length: a block with fewer than ``need`` template words cannot qualify;
-* position: with the first common token at positions i and j, 1 + min(|T| - i - 1, |B| - j - 1) must reach ``need``.
-
-Words outside the templates cannot add to an overlap and are removed from the blocks first, so a block has at
-most as many tokens as the template vocabulary. That vocabulary (a few hundred words, a parameter) is the only
-thing counted to the driver: its corpus frequencies make the global order. All work is DataFrame expressions.
+A block is a run of words of the whole text, line feeds or not, twice as long as the template: line wrapping and
+missing line breaks change nothing, and words far apart do not add up. Its tokens are its distinct words. A block
+meets a template when it holds at least ``threshold`` of the template's distinct words. The join is exact over all
+overlapping blocks and uses three filters over tokens in one global order, rarest in the corpus first:
+
+* prefix: a block that meets the template holds one of the template's first |T| - need + 1 tokens. Only the
+  surroundings of such words leave a text, so blocks without one are never formed;
+* length: surroundings with fewer than ``need`` template words cannot qualify;
+* position: a block that qualifies holds its first prefix token, so blocks are formed around that token alone.
+
+The template vocabulary (a few hundred words, a parameter) is the only thing counted to the driver: its corpus
+frequencies make the global order. All work is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import lower_ascii, whole
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Words of a block for each word of the template: a notice may have as many words put in as it has itself.
+RUN = 2
 #: Phrases and the labels they stand for.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices as their licences or stewards word them, by SPDX name.
@@ -94,39 +97,52 @@ def _key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")]
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, tokens): the lines of all texts that hold a word of the vocabulary, those words only, in the vocabulary's order."""
-    lines = docs.select(*_key(id_col, text_col), F.explode(F.split(lower_ascii(whole(F.col(text_col))), "\n")).alias("line"))
-    words = F.split(F.regexp_replace("line", GAP, " "), " ")
-    tokens = F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), words)
-    return lines.select("doc_id", "text_hash", tokens.alias("tokens")).where(F.size("tokens") > 0)
+def word_list(text: Column) -> Column:
+    """All words of a text in order, over line breaks."""
+    return F.split(F.trim(F.regexp_replace(lower_ascii(whole(text)), GAP, " ")), " ")
+
+
+def surroundings(docs: DataFrame, tokens: list[str], reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, token, before, after): every place of one of the tokens, with ``reach`` words on either side; equal places of a text once."""
+    rows = docs.select(*_key(id_col, text_col), word_list(F.col(text_col)).alias("words"))
+    wanted = F.array(*[F.lit(t) for t in tokens])
+    # texts without any of the tokens, nearly all of them, end here
+    rows = rows.where(F.arrays_overlap("words", wanted))
+    words = F.col("words")
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(wanted, w), i)), lambda i: i.isNotNull())
+    around = F.transform(
+        places,
+        lambda i: F.struct(
+            F.element_at(words, i + 1).alias("token"), F.slice(words, F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach))).alias("before"), F.slice(words, i + 2, F.lit(reach)).alias("after")
+        ),
+    )
+    return rows.select("doc_id", "text_hash", F.explode(F.array_distinct(around)).alias("p")).select("doc_id", "text_hash", "p.*")
 
 
 def block_matches(docs: DataFrame, templates: Mapping[str, str], threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, label, containment) of every block and template that meet the threshold."""
+    """(doc_id, text_hash, label, containment) of the best block around each prefix token that meets the threshold."""
     spark = docs.sparkSession
     sets = {label: sorted(set(words_of(t))) for label, t in templates.items()}
     vocabulary = sorted({w for s in sets.values() for w in s})
-    least = min(needed(len(s), threshold) for s in sets.values())
     # at most one row for each template word comes to the driver
-    seen = blocks(docs, vocabulary, id_col, text_col).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    frequency = {r["token"]: r["count"] for r in seen.collect()}
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    place = {w: i for i, w in enumerate(order)}
-    rows = []
+    held = F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), word_list(F.col(text_col)))
+    frequency = {r["token"]: r["count"] for r in docs.select(F.explode(held).alias("token")).groupBy("token").count().collect()}
+    place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
+    rows, lengths = [], {label: RUN * len(words_of(t)) for label, t in templates.items()}
     for label, s in sets.items():
         ordered, need = sorted(s, key=place.__getitem__), needed(len(s), threshold)
-        rows += [(label, ordered, need, i, ordered[i]) for i in range(len(ordered) - need + 1)]
-    prefixes = spark.createDataFrame(rows, "label string, wanted array<string>, need int, i int, token string")
-    b = blocks(docs, order, id_col, text_col).where(F.size("tokens") >= least)
-    # the shortest need gives the longest block prefix; the template's own need cuts it after the join
-    head = F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)
-    b = b.select("doc_id", "text_hash", "tokens", F.posexplode(head).alias("j", "token"))
-    met = b.join(F.broadcast(prefixes), "token")
-    block_left, template_left = F.size("tokens") - F.col("j") - 1, F.size("wanted") - F.col("i") - 1
-    met = met.where((F.size("tokens") >= F.col("need")) & (F.col("j") <= F.size("tokens") - F.col("need")) & (1 + F.least(block_left, template_left) >= F.col("need")))
-    shared = F.size(F.array_intersect("tokens", "wanted"))
-    return met.where(shared >= F.col("need")).select("doc_id", "text_hash", "label", (shared / F.size("wanted")).alias("containment"))
+        rows += [(label, ordered, need, lengths[label], ordered[i]) for i in range(len(ordered) - need + 1)]
+    prefixes = spark.createDataFrame(rows, "label string, wanted array<string>, need int, length int, token string")
+    near = surroundings(docs, sorted({r[4] for r in rows}), max(lengths.values()) - 1, id_col, text_col)
+    met = near.join(F.broadcast(prefixes), "token")
+    n = F.col("length") - 1
+    left = F.slice("before", F.greatest(F.lit(1), F.size("before") - n + 1), n)
+    met = met.select("doc_id", "text_hash", "label", "wanted", "need", "length", F.concat(left, F.array("token"), F.slice("after", F.lit(1), n)).alias("words"), F.size(left).alias("at"))
+    met = met.where(F.size(F.array_intersect("words", "wanted")) >= F.col("need"))
+    # every run of the template's length around the token: it starts at the token or before it
+    shared = F.array_max(F.transform(F.sequence(F.lit(0), F.col("at")), lambda k: F.size(F.array_intersect(F.slice("words", k + 1, F.col("length")), F.col("wanted")))))
+    met = met.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
+    return met.select("doc_id", "text_hash", "label", (F.col("shared") / F.size("wanted")).alias("containment"))
 
 
 def license_scan(

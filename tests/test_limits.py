@@ -95,3 +95,21 @@ def test_spectra_on_every_row(spark):
 def test_seeded_uniforms_have_52_bits(spark):
     u = [r["u"] for r in spark.range(2000).select(rel.hash_uniform(F.col("id").cast("string")).alias("u")).collect()]
     assert len(set(u)) == 2000 and 0.45 < np.mean(u) < 0.55 and any((x * 2**40) % 1 for x in u)
+
+
+def test_correlations_of_strategies_found_in_the_data(spark):
+    rng, names = np.random.default_rng(4), [f"{k}-S" for k in range(1, 7)]
+    x = rng.normal(size=(40, 6)) * 0.05
+    rows = [(d, s, float(x[d, k])) for d in range(40) for k, s in enumerate(names)]
+    df = spark.createDataFrame(rows, "day long, strategy string, ret double")
+    known = spark.createDataFrame([(s,) for s in [*names, "7-NONE", names[0]]], "strategy string")
+    got = {(r["a"], r["b"]): r["corr"] for r in rec.ema_correlations(df, "strategy", "day", "ret", known, 10).collect()}
+    x = np.hstack([x, np.zeros((40, 1))])
+    mean, cov = x[0].copy(), np.zeros((7, 7))
+    for row in x[1:]:
+        mean = 0.99 * mean + 0.01 * row
+        cov = 0.99 * cov + 0.01 * np.outer(row - mean, row - mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+    names.append("7-NONE")
+    want = {(names[i], names[j]): 1.0 if i == j else 0.9 * cov[i, j] / max(sd[i] * sd[j], 1e-6) for i in range(7) for j in range(i, 7)}
+    assert got == pytest.approx(want, abs=1e-9)

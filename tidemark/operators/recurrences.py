@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,32 +216,29 @@ def discounted_posteriors(df, arm: str, order, ret: str, block, decay: Column) -
 
 
 def ema_correlations(
-    df: DataFrame, strategy: str, step: str, ret: str, strategies: Sequence[str], block, decay: float = 0.99, shrink: float = 0.1, min_samples: int = 30, eps: float = 1e-6
+    df: DataFrame, strategy: str, step: str, ret: str, strategies: DataFrame, block, decay: float = 0.99, shrink: float = 0.1, min_samples: int = 30, eps: float = 1e-6
 ) -> DataFrame:
     """Latest shrunk EMA correlation of every strategy pair: (a, b, corr).
 
-    ``strategies`` is a short list (it becomes columns), missing returns are 0, deviations are taken
-    from the updated mean. All pair covariances are independent recurrences of one scan.
+    ``strategies`` holds all strategies in a column of the same name, those without any return too. Missing
+    returns are 0, deviations are taken from the updated mean. Means are one scan keyed by strategy, covariances
+    one keyed by pair; a pair has a row for each step, as its recurrence has.
     """
-    names = list(strategies)
-    wide = df.groupBy(step).agg(*[F.coalesce(F.sum(F.when(F.col(strategy) == s, F.col(ret))), F.lit(0.0)).alias(f"_x{i}") for i, s in enumerate(names)])
-    means = {f"_m{i}": _ema(F.col(f"_x{i}"), 1 - decay) for i in range(len(names))}
-    m = affine_scan(wide, [], [step], block, means)
-    dev = [F.col(f"_x{i}") - F.col(f"_m{i}") for i in range(len(names))]
-    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
-    cov = {f"_c{i}_{j}": (F.lit(decay), F.lit(1 - decay) * dev[i] * dev[j], F.lit(0.0)) for i, j in pairs}
-    c = affine_scan(checkpointed(m), [], [step], block, cov)
-    last = c.agg(F.count("*").alias("n"), F.max_by(F.struct(*cov), step).alias("_c")).select("n", "_c.*")
-
-    def corr(i: int, j: int) -> Column:
-        if i == j:
-            return F.lit(1.0)
-        sd = [F.sqrt(F.greatest(F.col(f"_c{k}_{k}"), F.lit(eps))) for k in (i, j)]
-        raw = F.col(f"_c{i}_{j}") / F.greatest(sd[0] * sd[1], F.lit(eps))
-        return F.when(F.col("n") < min_samples, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw * (1 - shrink))))
-
-    rows = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), corr(i, j).alias("corr")) for i, j in pairs])
-    return last.select(F.explode(rows).alias("_r")).select("_r.*")
+    names = strategies.agg(F.array_sort(F.collect_set(strategy))).scalar()
+    sums = df.groupBy(step, strategy).agg(F.sum(ret).alias("_x"))
+    steps = sums.groupBy(step).agg(F.map_from_entries(F.collect_list(F.when(F.col(strategy).isNotNull(), F.struct(strategy, "_x")))).alias("_xs"))
+    grid = steps.select(step, "_xs", F.explode(names).alias("_s")).select(step, "_s", F.coalesce(F.element_at("_xs", F.col("_s")), F.lit(0.0)).alias("_x"))
+    m = affine_scan(grid, ["_s"], [step], block, {"_m": _ema(F.col("_x"), 1 - decay)})
+    dev = checkpointed(m.select(step, "_s", (F.col("_x") - F.col("_m")).alias("_d")))
+    other = dev.select(step, F.col("_s").alias("b"), F.col("_d").alias("_e"))
+    pairs = dev.join(other, step).where(F.col("_s") <= F.col("b")).select(step, F.col("_s").alias("a"), "b", (F.lit(1 - decay) * F.col("_d") * F.col("_e")).alias("_p"))
+    c = affine_scan(pairs, ["a", "b"], [step], block, {"_c": (F.lit(decay), F.col("_p"), F.lit(0.0))})
+    last = checkpointed(c.groupBy("a", "b").agg(F.count("*").alias("n"), F.max_by("_c", step).alias("_c")))
+    own = last.where("a = b").select(F.col("a").alias("_k"), F.sqrt(F.greatest(F.col("_c"), F.lit(eps))).alias("_sd"))
+    out = last.join(own.toDF("a", "_sa"), "a").join(own.toDF("b", "_sb"), "b")
+    raw = F.col("_c") / F.greatest(F.col("_sa") * F.col("_sb"), F.lit(eps))
+    corr = F.when(F.col("n") < min_samples, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw * (1 - shrink))))
+    return out.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(corr).alias("corr"))
 
 
 def blended_weights(df, keys, order, target: str, block, rate: float = 0.1, low: float = 0.0, high: float = 1.0, start: float = 0.5, name: str = "weight") -> DataFrame:

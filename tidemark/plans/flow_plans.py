@@ -200,7 +200,7 @@ STRATEGIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
  FROM c JOIN c va ON va.a = c.a AND va.b = c.a JOIN c vb ON vb.a = c.b AND vb.b = c.b""",
 )
 def _(t):
-    out = rec.ema_correlations(daily_returns(t), "strategy", "day", "ret", STRATEGIES, "52 weeks")
+    out = rec.ema_correlations(daily_returns(t), "strategy", "day", "ret", t.daily.select("strategy"), "52 weeks")
     return out.withColumn("corr", rounded("corr"))
 
 

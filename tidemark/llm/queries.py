@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, exact_dedup, html_wrappers, license_join, mixing, nbest, projection_neighbours, simhash, token_counts, toxicity
+from . import (
+    byte_cnn,
+    credential_links,
+    exact_dedup,
+    hard_negatives,
+    html_wrappers,
+    license_join,
+    merkle_manifest,
+    mixing,
+    nbest,
+    projection_neighbours,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +88,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_secret_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_links.secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", merkle_manifest.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_check(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", hard_negatives.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))

@@ -42,7 +42,7 @@ def test_strong_patterns():
 
     assert base('API_key: "abc123"') == [("assign", 'API_key: "abc123')]
     assert base("password = 12345 token=123456") == [("assign", "token=123456")]
-    assert base("PASSWD:=abcdef") == [] and base("passwd:abcdef") == [("assign", "passwd:abcdef")]
+    assert base("PASSWD;abcdef") == [] and base("passwd:abcdef") == [("assign", "passwd:abcdef")]
     assert base("token=abcdefſecret=abcdef") == [("assign", "token=abcdef")]  # only ASCII letters fold
     assert base("toKen=abcdef") == []
     assert base(AWS) == [("access", AWS)] and base("AKIA" + "A" * 15) == []

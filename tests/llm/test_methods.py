@@ -365,3 +365,20 @@ def test_pipeline_is_its_stages(spark, docs):
     kept = {r["doc_id"] for r in mixing.mix(unique, mixing.tree(), mixing.target_weights(docs), epochs=1).select("doc_id").collect()}
     got = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in got.select("doc_id", "round_trip").where("round_trip").collect()} == kept
+
+
+def test_all_n_best_ids_come_out(spark, model):
+    from tidemark.llm import nbest
+
+    texts = ["the thing", "Mit Licht und Schatten", "", "a ☃ b", "▁ mark", "x" * 90]
+    got = {r["doc_id"]: r for r in nbest.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        r = got[i]
+        ways = [nbest.segmentation(list(r["ids"]), c) for c in r["n_best_changes"]]
+        assert ways[0] == list(r["ids"]) and [len(w) for w in ways] == list(r["n_best_sizes"])
+        assert len({tuple(w) for w in ways}) == len(ways)
+        assert r["round_trip"] == (model.decode(r["ids"]) == text) and r["round_trip"] == ("▁" not in text)
+        for way, score in zip(ways, r["n_best_scores"]):
+            assert model.decode(way) == model.decode(r["ids"])
+            if all(w in model.spell for w in way):
+                assert sum(model.pieces[model.spell[w]][1] for w in way) == pytest.approx(score)

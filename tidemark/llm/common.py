@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +48,36 @@ def smallest(df: DataFrame, n: int, order: Column) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in short pieces, so that only few rows are Python objects at a time."""
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as workers live on into the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def _bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's texts."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return sizes
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that only few rows and about ``size`` bytes of text are Python objects at a time;
+    a longer text is a piece of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        before = np.cumsum(_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            used = before[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(before, used + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+    give_back()
 
 
-__all__ = ["SPACE", "checkpointed", "held_out", "lower_ascii", "seeded_order", "slices", "smallest", "table", "whole"]
+__all__ = ["SPACE", "checkpointed", "give_back", "held_out", "lower_ascii", "seeded_order", "slices", "smallest", "table", "whole"]

@@ -201,7 +201,7 @@ class Lexicon:
                 seen[t] = self.hit(t, channel)
             if got := seen[t]:
                 hits[got[0]] = got[1]
-        if len(seen) > 100_000:
+        if len(seen) > 50_000:
             seen.clear()
         for word in spelt_words(low, channel):
             if weight := self.of(word):
@@ -279,8 +279,8 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
         cost, weight, coef = shared.value
         channel, lexicon = Channel(cost), Lexicon(weight, coef)
         for texts in batches:
-            parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
-            yield pa.array([lexicon.score(t, channel) for part in parts for t in part], pa.float64())
+            parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])])
+            yield pa.array([lexicon.score(t, channel) for part in parts for t in part.column(0).to_pylist()], pa.float64())
 
     def of(text: Column) -> Column:
         return score(text)

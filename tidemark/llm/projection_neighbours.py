@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import checkpointed
 from .components import Forest, connected_components
@@ -178,7 +179,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors with cosine >= ``threshold`` link; a pair exactly at the threshold is found with chance ``recall`` or
     more, nearer ones with higher chance, and no pair below it links. Vectors that are null, empty, zero or hold a
     null or non-finite component link with nothing, nor do vectors of different length. Rows that repeat an id with
-    an equal vector are one vector. A null id links and counts like any other but names no component. An empty
+    an equal vector are one vector; with different vectors they are vectors of their own. A null id links and counts like any other but names no component. An empty
     table gives an empty result; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).distinct()
@@ -187,11 +188,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     good = x.isNotNull() & (F.size(x) > 0) & ~broken & F.exists(x, lambda e: e != 0)
     good = F.coalesce(good, F.lit(False))
     kind = dict(vectors.select(vec_col).dtypes)[vec_col]
-    classes = rows.where(good).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    # a class of null ids alone gets a name that no id has, for the links only
-    classes = checkpointed(classes.withColumn("real", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", F.xxhash64("v"))))
+    classes = rows.where(good).groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size")).withColumn("hash", F.xxhash64("v"))
+    # a class is named by its vector, as an id may have several; vectors that share a hash are told apart by their order
+    turn = F.row_number().over(Window.partitionBy("hash").orderBy("v"))
+    classes = checkpointed(classes.withColumn("turn", turn).withColumn("rep", F.when(F.col("turn") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "turn"))).drop("hash", "turn"))
     depth, tables = plan_tables(classes.count(), threshold, recall)
-    points = checkpointed(classes.drop("real").mapInArrow(_keys(depth, tables), f"v {kind}, rep long, size long, keys array<long>"))
+    points = checkpointed(classes.select("v", "rep", "size").mapInArrow(_keys(depth, tables), f"v {kind}, rep long, size long, keys array<long>"))
     light = points.select("rep", F.posexplode("keys").alias("table", "key")).withColumn("salt", F.pmod(F.xxhash64("rep", "table"), F.lit(8)).cast("int"))
     sizes = light.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     placed = light.join(sizes, ["table", "key", "salt"]).withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
@@ -202,9 +204,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = checkpointed(dealt.mapInArrow(_blocks(threshold, needed_collisions(COUNTED, WINDOW, recall)), "rep long, other long, links long"))
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))).withColumnRenamed("id", "rep")
-    # a component is named by the smallest real id in it
+    # a component is named by the smallest id in it
     named = classes.join(counts, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = named.groupBy("component").agg(F.min(F.when(F.col("real"), F.col("rep"))).alias("least"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("least"))
     named = named.join(least, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("least").alias("component_id"))
     named = checkpointed(named)
     linked = rows.where(good).join(named, "v").select("vec_id", "n_links", "component_id")

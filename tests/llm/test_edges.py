@@ -119,5 +119,18 @@ def test_vectors(spark):
     assert projection_neighbours.near_vectors(df.limit(0)).collect() == []
 
 
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0])]
+    got = projection_neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == [(1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (None, 2, 1, False)]
+
+
+def test_level_values_with_slashes(spark):
+    rows = [(i, "w " * 10, *[("a", "b/c", "d"), ("a", "b", "c/d"), ("a/b", "c", "d"), ("∅", "%2F", "/"), (None, "/", "%2F")][i % 5]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string, y string, z string")
+    got = mixing.mix(docs, {c: F.col(c) for c in "xyz"}, fraction=1.0, epochs=1).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(50)) and {(r["x"], r["y"], r["z"]): r["budget"] for r in got} == {k[2:]: 100.0 for k in rows}
+
+
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "source_mixing", "sentencepiece"]

@@ -31,19 +31,30 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
 
 
+def path_of(columns: Sequence[Column]) -> Column:
+    """Level values joined by "/"; "/", "%" and "∅" inside a value are escaped as in a URL, null is "∅"."""
+    values = []
+    for c in columns:
+        text = c.cast("string")
+        for sign, code in (("%", "%25"), ("/", "%2F"), ("∅", "%E2%88%85")):
+            text = F.replace(text, F.lit(sign), F.lit(code))
+        values.append(F.coalesce(text, F.lit("∅")))
+    return F.concat_ws("/", *values)
+
+
 def budgets(leaves: DataFrame, weights: DataFrame | None, total: Column, epochs: int, levels: Sequence[str] = LEVELS) -> DataFrame:
     """Leaf budgets: ``levels``, tokens, budget (double).
 
     ``leaves`` has the levels and ``tokens`` of one epoch; ``weights`` may give (path, weight) for any node, path
-    being its level values joined by "/". A node without a weight has weight 1; weight 0 takes nothing. ``total``
+    being its level values joined by "/" (see ``path_of``). A node without a weight has weight 1; weight 0 takes nothing. ``total``
     is the budget of the root, an aggregate over leaves. Null level values are a node of their own.
     """
     nodes = leaves.select(*levels, "tokens", (F.col("tokens") * epochs).cast("double").alias("cap"))
     root = nodes.agg(F.least(total.cast("double"), F.sum("cap")).alias("share"))
     above = root.withColumn("_path", F.lit(""))
     for depth, level in enumerate(levels):
-        named = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in levels[: depth + 1]]
-        path, parent = F.concat_ws("/", *named), F.concat_ws("/", *named[:-1]) if depth else F.lit("")
+        named = [F.col(c) for c in levels[: depth + 1]]
+        path, parent = path_of(named), path_of(named[:-1]) if depth else F.lit("")
         family = nodes.groupBy(path.alias("path"), parent.alias("_path")).agg(F.sum("cap").alias("cap"))
         if weights is None:
             family = family.withColumn("weight", F.lit(1.0))
@@ -64,8 +75,7 @@ def budgets(leaves: DataFrame, weights: DataFrame | None, total: Column, epochs:
         )
         given = F.when(F.col("full"), F.col("usable")).otherwise((F.col("share") - F.col("taken")) * F.col("weight") / F.col("open"))
         above = kin.select(F.col("path").alias("_path"), F.least(given, F.col("usable")).alias("share"))
-    named = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in levels])
-    return nodes.withColumn("_path", named).join(above, "_path").select(*levels, "tokens", F.col("share").alias("budget"))
+    return nodes.withColumn("_path", path_of([F.col(c) for c in levels])).join(above, "_path").select(*levels, "tokens", F.col("share").alias("budget"))
 
 
 def mix(
@@ -85,7 +95,7 @@ def mix(
     count = n_words(F.col("text")) if tokens is None else tokens
     rows = docs.select(F.col(id_col).alias("doc_id"), count.alias("tokens"), *[c.alias(n) for n, c in levels.items()])
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
-    leaf = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in names])
+    leaf = path_of([F.col(c) for c in names])
     shares = budgets(leaves, weights, F.sum("tokens") * F.lit(fraction), epochs, names)
     # whole epochs are taken at once; the epoch in which the budget ends is cut
     shares = shares.withColumn("leaf", leaf).withColumn("whole", F.least(F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0), F.lit(epochs)))

@@ -119,6 +119,25 @@ def test_vectors(spark):
     assert projection_neighbours.near_vectors(df.limit(0)).collect() == []
 
 
+def test_deeply_nested_and_unclosed_tags(spark):
+    deep = "<div>" * 5_000 + "<p>inside</p>" + "</div>" * 5_000
+    rows = [(1, "http://a.org/1", deep), (2, "http://a.org/2", "<div><p>t" * 3_000), (3, "http://a.org/3", "<article>" + deep + "<nav>" + deep + "</nav></article>"), (4, "http://a.org/4", "<nav>" * 300 + "<p>menu</p>")]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[3] == "inside" and got[2].count("t") == 3_000 and got[4] == ""
+
+
+def test_wrapper_does_not_grow_with_pages():
+    def page(n):
+        return f'<div id="post-{n}" class="post post-{n} entry big wide {"odd" if n % 2 else "even"}"><h1>title {n}</h1><p>text {n}</p></div>'
+
+    now, size = None, []
+    for n in range(3_000):
+        own = (1, html_wrappers.pattern_of(html_wrappers.stream_of(page(n))))
+        now = own if now is None else html_wrappers._merge_wrappers(now, own)
+        size.append(len(str(now)))
+    assert size[-1] <= size[10] + 10
+
+
 def test_one_id_with_two_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0])]
     got = projection_neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

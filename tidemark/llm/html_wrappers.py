@@ -71,6 +71,8 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|d
 WORDS = re.compile(r"[^a-z0-9]+")
 #: Longest run of sibling nodes that is looked for as a repeated group; distinct pages that make a text fixed.
 GROUP, FIXED = 4, 3
+#: Deepest level of the structure: what is nested deeper stands side by side there, as in browsers; texts are all kept.
+DEPTH = 100
 #: A fixed text goes if at least one character in so many of the page's other text is free: copies share more.
 FREE = 3
 
@@ -78,11 +80,12 @@ FREE = 3
 class Node:
     """Element of a page's stream: label, children, and whether it is apart from (1 by name only, 2 by kind) or holds the article. Text has label #."""
 
-    __slots__ = ("label", "name", "children", "text", "apart", "main")
+    __slots__ = ("label", "name", "children", "text", "apart", "main", "home")
 
     def __init__(self, label: str, name: str, apart: int, main: bool, text: str | None = None):
         self.label, self.name, self.apart, self.main, self.text = label, name, apart, main, text
         self.children: list[Node] = []
+        self.home = self  # where the children go
 
 
 def stream_of(page: str | None) -> Node:
@@ -96,7 +99,7 @@ def stream_of(page: str | None) -> Node:
             pieces.clear()
             if block:
                 top = stack[-1]
-                top.children.append(Node("#", "#", top.apart, top.main, block))
+                top.home.children.append(Node("#", "#", top.apart, top.main, block))
 
     def close(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -141,9 +144,10 @@ def stream_of(page: str | None) -> Node:
             apart = 2
         else:
             apart = max(top.apart, int(_named_apart(name, rest)))
-        label = name + "".join("." + w for w in sorted(named)[:3])
-        node = Node(label, name, apart, main)
-        top.children.append(node)
+        node = Node(name + "".join("." + w for w in sorted(_class_words(rest))), name, apart, main)
+        top.home.children.append(node)
+        if len(stack) >= DEPTH:
+            node.home = top.home
         if name not in VOID and not rest.endswith("/"):
             stack.append(node)
     if len(text) > at:
@@ -176,6 +180,14 @@ def _names(rest: str) -> set[str]:
     return found
 
 
+def _class_words(rest: str) -> set[str]:
+    """Words of class and role that pages share: ids and words with digits (post-17) differ from page to page."""
+    if not rest or "=" not in rest:
+        return set()
+    found = (m for m in NAMED.finditer(rest) if m.group()[:2].lower() != "id")
+    return {w for m in found for w in WORDS.split((m[1] or m[2] or m[3] or "").lower()) if w and not any(map(str.isdigit, w))}
+
+
 # A wrapper node is [label, optional, many, content]: content is a list of nodes, or a text's hash (0: free slot).
 
 
@@ -361,7 +373,8 @@ def _template(texts: list[Node], slots: dict[int, int], fixed: dict[tuple[int, i
 
 
 def _fixed_texts(node: Node, nodes: list, found: set[int]) -> None:
-    """Ids of the text nodes below ``node`` that stand in a fixed slot of the wrapper nodes."""
+    """Ids of the text nodes below ``node`` that stand in a fixed slot of the wrapper nodes, optional ones left out: what
+    a single page adds is no template."""
     flat = []
     for w in nodes:
         flat.extend(w[3] if w[0] == "()" else [w])
@@ -374,6 +387,8 @@ def _fixed_texts(node: Node, nodes: list, found: set[int]) -> None:
                 continue
         w = flat[k]
         at = k if w[2] else k + 1
+        if w[1]:
+            continue
         if child.label == "#":
             if w[3] and not w[2] and w[3] == _fixed(child.text):
                 found.add(id(child))
@@ -407,7 +422,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Blocks are joined by one line feed; white space inside a block is one space; character references are decoded.
     Null and empty html has empty text. Pages with a null or unreadable url share the empty host. Rows that repeat
-    a page have one row each; other columns are not read; an empty table gives an empty result.
+    a page have one row each; other columns are not read; an empty table gives an empty result. Tags may be nested
+    to any depth; beyond ``DEPTH`` levels they count as neighbours.
     """
     wrappers = infer_wrappers(pages, url_col, html_col).join(slot_texts(pages, url_col, html_col), "host", "left")
 

@@ -12,73 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import running, with_seq
-from .grouped import Sweep, sequential
+from .changepoint import RunLength, _ChangeSweep, change_points  # noqa: F401 (part of this module's interface)
 from .windows import ROWS, rolling
 
 
-class RunLength:
-    """Run-length posterior of Bayesian online change-point detection (Normal-Inverse-Gamma model).
-
-    Arrays are indexed by run length. The Student-t shape of run length r depends on r only, so its
-    log-gamma terms are a table.
-    """
-
-    def __init__(self, hazard=0.004, mu0=0.0, kappa0=1.0, alpha0=1.0, beta0=1.0, max_run=500):
-        self.prior = (mu0, kappa0, alpha0, beta0)
-        self.hazard, self.max_run = hazard, max_run
-        self.mu, self.beta, self.p = np.array([mu0]), np.array([beta0]), np.array([1.0])
-        # alpha and kappa of a run length are known in advance, so everything built on them is a table
-        run = np.arange(max_run + 1)
-        self.alpha, self.kappa = alpha0 + 0.5 * run, kappa0 + run
-        self.ratio = (self.kappa + 1) / (self.alpha * self.kappa)
-        self.gain = 0.5 * self.kappa / (self.kappa + 1)
-        self.shape = np.array([math.lgamma(v + 0.5) - math.lgamma(v) for v in self.alpha]) - 0.5 * np.log(2 * self.alpha * np.pi)
-
-    def update(self, x: float) -> tuple[float, int, bool]:
-        """(P(run length 0), most likely run length, change point?)."""
-        n = len(self.p)
-        before = int(self.p.argmax())
-        a = self.alpha[:n]
-        delta = x - self.mu
-        square = delta * delta
-        scale2 = np.maximum(self.beta * self.ratio[:n], 1e-20)
-        logp = self.shape[:n] - 0.5 * np.log(scale2) - (a + 0.5) * np.log1p(square / scale2 / (2 * a))
-        joint = self.p * np.exp(np.clip(logp, -700, 0))
-        grown = np.concatenate([[joint.sum() * self.hazard], joint * (1 - self.hazard)])[: self.max_run + 1]
-        total = grown.sum()
-        self.p = grown / total if total > 1e-300 else np.full(len(grown), 1 / len(grown))
-        m0, _, _, b0 = self.prior
-        cut = self.max_run + 1
-        beta = np.maximum(self.beta + self.gain[:n] * square, 1e-10)
-        mu = self.mu + delta / (self.kappa[:n] + 1)
-        self.mu, self.beta = np.concatenate([[m0], mu])[:cut], np.concatenate([[b0], beta])[:cut]
-        now = int(self.p.argmax())
-        return float(self.p[0]), now, before - now > max(5, before * 0.5)
-
-
-class _ChangeSweep(Sweep):
-    def __init__(self, keep: Sequence[str], col: str, params: dict):
-        self.keep, self.col, self.state = list(keep), col, RunLength(**params)
-
-    def push(self, rows):
-        got = zip(*[self.state.update(float(x)) for x in rows[self.col]])
-        return {**{c: rows[c] for c in self.keep}, **dict(zip(("cp_prob", "run_length", "changepoint"), got))}
-
-
 def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in cols]
 
 
-def change_points(df, keys, order, col: str, keep: Sequence[str], **params) -> DataFrame:
-    """Change-point probability, run length and flag per row.
-
-    The state is a vector that does not compose, so a key is one streamed task (state: max_run doubles).
-    """
-    src = df.select(*dict.fromkeys([*keys, *order, *keep, col]))
-    schema = T.StructType([*_fields(src, keep), T.StructField("cp_prob", T.DoubleType()), T.StructField("run_length", T.LongType()), T.StructField("changepoint", T.BooleanType()), *_fields(src, keys)])
-    return sequential(src, keys, order, lambda: _ChangeSweep(keep, col, params), schema)
-
-
 def _hmm_fit(x: np.ndarray, k: int, iters: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Diagonal Gaussian HMM by EM on standardised rows: (log likelihood, means, posteriors)."""
     rng = np.random.default_rng(seed)

@@ -19,7 +19,21 @@ def _ret(t):
     return win.log_return(t.ticks, ["symbol"], ORD, "price", BLOCKS, "ret", first=0.0)
 
 
-@query("reg_01_change_points")
+#: The recursion row by row, all symbols at once; lists are indexed by run length + 1.
+CHANGE_POINTS = f"""WITH RECURSIVE {TICKS}, x AS (SELECT symbol, event_id, price AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS t FROM ticks),
+ s AS (SELECT symbol, 0::BIGINT AS t, NULL::BIGINT AS event_id, [1e0] AS p, [50e0] AS mu, [500e0] AS beta, 0::BIGINT AS before, 0::BIGINT AS run_length FROM (SELECT DISTINCT symbol FROM ticks)
+  UNION ALL
+  SELECT symbol, t, event_id, list_transform(grown, lambda v: v / list_sum(grown)), list_concat([50e0], new_mu)[1:501], list_concat([500e0], new_beta)[1:501], run_length, list_position(grown, list_max(grown)) - 1
+  FROM (SELECT *, list_concat([0.01e0 * list_sum(joint)], list_transform(joint, lambda v: v * 0.99e0))[1:501] AS grown FROM (
+   SELECT s.symbol, x.t, x.event_id, s.run_length,
+    list_transform(s.p, lambda v, r: v * exp(greatest(-700, least(0, lgamma(1 + r / 2e0) - lgamma((1 + r) / 2e0) - 0.5 * ln((1 + r) * pi()) - 0.5 * ln(s.beta[r] * (r + 1) / ((1 + r) / 2e0 * r))
+      - (1 + r / 2e0) * ln(1 + (x.x - s.mu[r]) ** 2 / (s.beta[r] * (r + 1) / ((1 + r) / 2e0 * r)) / (1 + r)))))) AS joint,
+    list_transform(s.mu, lambda m, r: m + (x.x - m) / (r + 1)) AS new_mu, list_transform(s.beta, lambda b, r: b + 0.5 * r / (r + 1) * (x.x - s.mu[r]) ** 2) AS new_beta
+   FROM s JOIN x ON x.symbol = s.symbol AND x.t = s.t + 1)))
+ SELECT event_id, symbol, {rnd("p[1]")} AS cp_prob, run_length, before - run_length > greatest(5, before * 0.5) AS changepoint FROM s WHERE t > 0"""
+
+
+@query("reg_01_change_points", CHANGE_POINTS)
 def _(t):
     out = reg.change_points(t.ticks, ["symbol"], ORD, "price", ["event_id"], hazard=0.01, mu0=50.0, beta0=500.0)
     return out.select("event_id", "symbol", rounded("cp_prob").alias("cp_prob"), "run_length", "changepoint")

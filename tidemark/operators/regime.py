@@ -9,95 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .blocks import running, with_seq
 from .changepoint import RunLength, _ChangeSweep, change_points  # noqa: F401 (part of this module's interface)
+from .hidden import REGIMES, hidden_regimes, name_states  # noqa: F401
 from .windows import ROWS, rolling
 
 
-def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[c] for c in cols]
-
-
-def _hmm_fit(x: np.ndarray, k: int, iters: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Diagonal Gaussian HMM by EM on standardised rows: (log likelihood, means, posteriors)."""
-    rng = np.random.default_rng(seed)
-    n, d = x.shape
-    cuts = np.array_split(np.argsort(x[:, -1]), k)
-    mean = np.array([x[c].mean(0) for c in cuts]) + rng.normal(0, 0.1, (k, d)) * (seed > 0)
-    var, start, trans = np.ones((k, d)), np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1))
-    np.fill_diagonal(trans, 0.9)
-    last, gamma = -np.inf, np.full((n, k), 1 / k)
-    for _ in range(iters):
-        logb = -0.5 * (((x[:, None, :] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
-        peak = logb.max(1, keepdims=True)
-        b = np.exp(logb - peak)
-        alpha, c, beta = np.empty((n, k)), np.empty(n), np.ones((n, k))
-        for i in range(n):
-            a = (start if i == 0 else alpha[i - 1] @ trans) * b[i]
-            c[i] = a.sum()
-            alpha[i] = a / c[i]
-        for i in range(n - 2, -1, -1):
-            beta[i] = trans @ (b[i + 1] * beta[i + 1]) / c[i + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        score = float(np.log(c).sum() + peak.sum())
-        xi = (alpha[:-1, :, None] * trans * (b[1:] * beta[1:])[:, None, :] / c[1:, None, None]).sum(0)
-        start, trans = gamma[0], (xi + 1e-6) / (xi + 1e-6).sum(1, keepdims=True)
-        w = gamma.sum(0)[:, None]
-        mean = gamma.T @ x / w
-        var = np.maximum(gamma.T @ (x * x) / w - mean**2, 1e-3)
-        if score - last < 1e-4:
-            break
-        last = score
-    return score, mean, gamma
-
-
-REGIMES = ("TRENDING_UP", "TRENDING_DOWN", "RANGING", "VOLATILE")
-
-
-def name_states(mean_ret: np.ndarray, mean_vol: np.ndarray) -> list[str]:
-    """The most volatile of three or more states is VOLATILE, others follow the sign of their return."""
-    top = int(np.argmax(mean_vol))
-    out = []
-    for i, r in enumerate(mean_ret):
-        if i == top and len(mean_ret) >= 3:
-            out.append("VOLATILE")
-        else:
-            out.append("TRENDING_UP" if r > 1e-4 else "TRENDING_DOWN" if r < -1e-4 else "RANGING")
-    return out
-
-
-def hidden_regimes(df, keys, order, ret: str, vol: str, keep: Sequence[str], block, states: int = 3, inits: int = 10, iters: int = 100, min_rows: int = 100, fit_rows: int = 5000) -> DataFrame:
-    """Regime label and its probability from a Gaussian HMM fitted per key and stretch of ``fit_rows``.
-
-    Fitting on bounded stretches (as a refitted model does) bounds the group and spreads a hot key.
-    Stretches shorter than ``min_rows`` are UNKNOWN.
-    """
-    src = with_seq(df.select(*dict.fromkeys([*keys, *order, *keep, ret, vol])), keys, order, block)
-    src = src.withColumn("_part", F.floor((F.col("seq") - 1) / fit_rows).cast("long"))
-    schema = T.StructType([*_fields(src, [*keys]), *_fields(src, [c for c in keep if c not in keys]), T.StructField("regime", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    out_cols = [f.name for f in schema.fields[:-2]]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = pdf[out_cols].copy()
-        raw = pdf[[ret, vol]].to_numpy(float)
-        if len(raw) < min_rows:
-            out["regime"], out["confidence"] = "UNKNOWN", 0.0
-            return out
-        mu, sd = raw.mean(0), raw.std(0)
-        sd[sd == 0] = 1.0
-        _, mean, gamma = max((_hmm_fit((raw - mu) / sd, states, iters, s) for s in range(inits)), key=lambda r: r[0])
-        names = np.array(name_states(mean[:, 0] * sd[0] + mu[0], mean[:, 1] * sd[1] + mu[1]))
-        best = gamma.argmax(1)
-        out["regime"], out["confidence"] = names[best], gamma.max(1)
-        return out
-
-    return src.groupBy(*keys, "_part").applyInPandas(fit, schema)
-
-
 def regime_weight(regime: Column, cluster: Column, confidence: Column) -> Column:
     """Base weight by regime x volatility adjustment x (0.5 + 0.5 confidence), within 0..1."""
     # Base weights and volatility adjustments.

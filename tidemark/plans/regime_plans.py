@@ -43,7 +43,7 @@ def _(t):
 def _(t):
     r = checkpointed(_ret(t))
     r = win.rolling(r, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS)
-    out = reg.hidden_regimes(r, ["symbol"], ORD, "ret", "vol", ["event_id"], BLOCKS, inits=2, iters=20, fit_rows=1000)
+    out = reg.hidden_regimes(r, ["symbol"], ORD, "ret", "vol", ["event_id"], BLOCKS)
     return out.select("symbol", "event_id", "regime", rounded("confidence", 4).alias("confidence"))
 
 

@@ -12,6 +12,7 @@ from ..streaming import jobs
 from ..streaming import stateful as st
 from .flow_plans import _VB, _VP, SER, ema_step, recur
 from .ingest_plans import AUDIT, LIQ, raw_messages
+from .regime_plans import CHANGE_POINTS
 from .registry import TICKS, query, rnd, rounded
 from .risk_plans import BRK, EQ, equity_curve
 
@@ -124,9 +125,9 @@ def _(t):
     return drain(t, out).select("strategy", F.col("day").cast("string").alias("day"), rounded("drawdown").alias("drawdown"), "state")
 
 
-@query("str_05_stateful_change_points")
+@query("str_05_stateful_change_points", CHANGE_POINTS)
 def _(t):
-    """The same state machine as the batch form; tests check both give the same rows."""
+    """The same state machine as the batch form."""
     src = replay(t, t.ticks.select("symbol", "event_id", "us", "price", "ts"), "ts")
     schema = st.schema_of(src, ["symbol"], ["event_id"], "cp_prob double, run_length long, changepoint boolean")
     params = dict(hazard=0.01, mu0=50.0, beta0=500.0)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .blocks import RowBlocks, with_seq
 from .grouped import Sweep, sequential
 
@@ -302,15 +302,15 @@ def hidden_regimes(
             rows = [(*_key_columns(pdf, keys, i), f, f, np.full(inits, -np.inf), np.zeros(inits)) for i, f in enumerate(flats)]
             yield _frame(rows, [*keys, "cur", "used", "last", "done"])
 
-    params = checkpointed(start.mapInPandas(first, _field(src, keys, "cur array<double>, used array<double>, last array<double>, done array<double>")))
+    params = stored(start.mapInPandas(first, _field(src, keys, "cur array<double>, used array<double>, last array<double>, done array<double>")), "regimes")
     number = F.floor((F.col("_seq") - 1) / rows).cast("long").alias("_b")
     packed = scaled.groupBy(*keys, number).agg(F.array_sort(F.collect_list(F.struct("_seq", "_x0", "_x1"))).alias("p"))
-    blocks = checkpointed(packed.select(*keys, "_b", F.col("p")[0]["_seq"].alias("_first"), F.flatten(F.transform("p", lambda s: F.array(s["_x0"], s["_x1"]))).alias("x")))
+    blocks = stored(packed.select(*keys, "_b", F.col("p")[0]["_seq"].alias("_first"), F.flatten(F.transform("p", lambda s: F.array(s["_x0"], s["_x1"]))).alias("x")), "regimes")
     fit = Fit(blocks, keys, k)
     open_ = F.exists("done", lambda d: d == 0)
     finished = []
     for _ in range(iters):
-        params = checkpointed(fit.round(params))
+        params = stored(fit.round(params), "regimes")
         finished.append(params.where(~open_))
         params = params.where(open_)
         if params.isEmpty():

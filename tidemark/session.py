@@ -67,3 +67,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder. Loops need this form: a checkpoint carries the size estimate of its
+    plan along, which the joins of a round square, until only multiplying the estimates takes all the time."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats_expr import norm_cdf, t_two_sided, z_value
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .blocks import running, value_blocks
 from .relational import hash_uniform
 from .windows import ROWS, cumulative_return, drawdown, rolling
@@ -275,28 +275,29 @@ def correlation_matrix(df: DataFrame, strategy: str, seq: str, ret: str) -> Data
 
 
 def select_ensemble(sharpes: DataFrame, corr: DataFrame, strategy: str = "strategy", n_select: int = 5, max_corr: float = 0.3, min_sharpe: float = 0.0) -> DataFrame:
-    """Greedy pick by Sharpe, skipping strategies too correlated with one already picked.
+    """Greedy pick by Sharpe (ties: the last name), skipping strategies too correlated with one already picked.
 
-    Works on one row per strategy and pair; the heavy part, the correlations, is aggregated before.
+    ``n_select`` rounds over the strategies that are still possible: the best is picked, its pairs raise the others'
+    largest correlation, and those above ``max_corr`` leave. A pair that ``corr`` does not hold has correlation 0.
     """
-    c = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "a", "b"), F.abs("corr"))))
-    cand = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("sharpe").alias("s"), F.col(strategy).alias("name")))))
-    base = sharpes.where(F.col("sharpe") >= min_sharpe).agg(cand.alias("_c")).withColumn("_m", corr.agg(c.alias("m")).select("m").scalar())
-
-    def rho(a: Column, b: Column) -> Column:
-        return F.coalesce(F.try_element_at("_m", F.concat_ws("|", a, b)), F.try_element_at("_m", F.concat_ws("|", b, a)), F.lit(0.0))
-
-    none_yet = F.array().cast("array<struct<s:double,name:string,max_corr:double>>")
-
-    def step(acc, x):
-        worst = F.aggregate(acc, F.lit(0.0), lambda m, y: F.greatest(m, rho(x["name"], y["name"])))
-        item = F.struct(x["s"].cast("double").alias("s"), x["name"].alias("name"), worst.alias("max_corr"))
-        return F.when((F.size(acc) < n_select) & (worst <= max_corr), F.concat(acc, F.array(item))).otherwise(acc)
-
-    picked = base.select("_m", F.aggregate("_c", none_yet, step).alias("_p"))
-    return picked.select(F.posexplode("_p").alias("rank", "_x"), F.size("_p").alias("_n")).select(
-        F.col("_x.name").alias(strategy), F.col("_x.s").alias("sharpe"), F.col("_x.max_corr").alias("max_corr"), (F.col("rank") + 1).alias("rank"), (1 / F.col("_n")).alias("weight")
-    )
+    pairs = corr.select("a", "b", F.abs("corr").alias("_rho"))
+    pairs = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "_rho")).where("a <> b"), "ensemble")
+    left = sharpes.where((F.col("sharpe") >= min_sharpe) & (F.lit(max_corr) >= 0)).select(F.col(strategy).alias("b"), F.col("sharpe").cast("double").alias("sharpe"), F.lit(0.0).alias("max_corr"))
+    left = stored(left, "ensemble")
+    picks = []
+    for rank in range(1, n_select + 1):
+        pick = stored(left.orderBy(F.desc("sharpe"), F.desc("b")).limit(1).withColumn("rank", F.lit(rank)), "ensemble")
+        if pick.isEmpty():
+            break
+        picks.append(pick)
+        near = pairs.join(pick.select(F.col("b").alias("a")), "a").groupBy("b").agg(F.max("_rho").alias("_rho"))
+        rest = left.join(pick.select("b"), "b", "left_anti").join(near, "b", "left")
+        rest = rest.select("b", "sharpe", F.greatest("max_corr", F.coalesce("_rho", F.lit(0.0))).alias("max_corr"))
+        left = stored(rest.where(F.col("max_corr") <= max_corr), "ensemble")
+    out = left.limit(0).withColumn("rank", F.lit(0))
+    for pick in picks:
+        out = out.unionByName(pick)
+    return out.select(F.col("b").alias(strategy), "sharpe", "max_corr", "rank", F.lit(1 / max(1, len(picks))).alias("weight"))
 
 
 def ensemble_summary(picked: DataFrame, corr: DataFrame, strategy: str = "strategy") -> DataFrame:

@@ -264,9 +264,20 @@ def _(t):
     return _corr(t).withColumn("corr", rounded("corr"))
 
 
-@query("stat_12_ensemble_selection")
+@query(
+    "stat_12_ensemble_selection",
+    f"""WITH RECURSIVE {_CORR}, c AS (SELECT strategy, avg(ret) / stddev_pop(ret) * sqrt(252) AS sharpe FROM x GROUP BY 1),
+ m AS (SELECT map_from_entries(list({{'k': a || '|' || b, 'v': rho}})) AS m FROM (SELECT a, b, abs(corr) AS rho FROM cr UNION SELECT b, a, abs(corr) FROM cr)),
+ r AS (SELECT 0 AS rank, []::VARCHAR[] AS names, NULL::VARCHAR AS strategy, NULL::DOUBLE AS sharpe, NULL::DOUBLE AS max_corr
+  UNION ALL
+  SELECT rank + 1, list_append(names, strategy), strategy, sharpe, worst FROM (
+   SELECT r.rank, r.names, c.strategy, c.sharpe, coalesce(list_max(list_transform(r.names, lambda n: coalesce(m.m[c.strategy || '|' || n], 0))), 0) AS worst
+   FROM r, c, m WHERE r.rank < 3 AND c.sharpe >= 0 AND NOT list_contains(r.names, c.strategy))
+  WHERE worst <= 0.02 QUALIFY row_number() OVER (ORDER BY sharpe DESC, strategy DESC) = 1)
+ SELECT strategy, {rnd('sharpe')} AS sharpe, {rnd('max_corr')} AS max_corr, rank, {rnd('1e0 / (SELECT max(rank) FROM r)')} AS weight FROM r WHERE rank > 0""",
+)
 def _(t):
-    """Greedy choice: no SQL form; tests compare it with brute force."""
+    """Greedy choice in rounds."""
     sh = daily_returns(t).groupBy("strategy").agg(perf.sharpe_agg("ret").alias("sharpe"))
     out = perf.select_ensemble(sh, _corr(t), n_select=3, max_corr=0.02)
     return out.withColumns({"sharpe": rounded("sharpe"), "max_corr": rounded("max_corr"), "weight": rounded("weight")})

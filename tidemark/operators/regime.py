@@ -6,14 +6,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import running, with_seq
+from .blocks import running
 from .changepoint import RunLength, _ChangeSweep, change_points  # noqa: F401 (part of this module's interface)
 from .hidden import REGIMES, hidden_regimes, name_states  # noqa: F401
-from .windows import ROWS, rolling
+from .frames import strided
+from .windows import ROWS
 
 
 def regime_weight(regime: Column, cluster: Column, confidence: Column) -> Column:
@@ -44,32 +44,11 @@ def volatility_clusters(df: DataFrame, vol: str, k: int = 3, seed: int = 42) ->
     return model.transform(df).withColumn("cluster", F.try_element_at(table, F.col("_c"))).drop("_v", "_c", "_p")
 
 
-def frames(df, keys, order, col: str, block, n: int, hop: int = 1, min_rows: int | None = None, rows: int = ROWS, name: str = "frame") -> DataFrame:
-    """The last ``n`` values as an array, on every row; null before ``min_rows`` values have been seen and between
-    the rows of a ``hop``, where it is not built at all."""
-    need = n if min_rows is None else min_rows
-
-    def build(d, w):
-        due = (F.col("seq") >= need) & (F.col("seq") % hop == 0)
-        return d.withColumn(name, F.when(due, F.collect_list(col).over(w.rowsBetween(-(n - 1), 0))))
-
-    return rolling(df, keys, order, block, n - 1, build, rows=rows, keep_seq=True)
-
-
 def held(df, keys, order, block, cols: Sequence[str], hop: int) -> DataFrame:
     """Values computed on every ``hop``-th row, held until the next one."""
     return df if hop == 1 else running(df, keys, order, block, {c: ("last", F.col(c)) for c in cols})
 
 
-def _by_length(series: pd.Series):
-    """(positions, matrix) per array length, so numpy works on whole batches."""
-    arrs = [() if a is None else np.asarray(a, dtype=float) for a in series]
-    sizes = np.array([len(a) for a in arrs], dtype=int)
-    for n in np.unique(sizes[sizes > 0]):
-        pos = np.flatnonzero(sizes == n)
-        yield pos, np.stack([arrs[i] for i in pos])
-
-
 def welch(x: np.ndarray, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
     """One-sided density of each row: Hann window, constant detrend, half overlap."""
     step = nperseg - nperseg // 2
@@ -87,25 +66,20 @@ def spectral_regime(df, keys, order, col: str, block, n: int = 256, min_rows: in
     Analysed anew every ``hop`` rows and held in between; unknown (and null) before ``min_rows`` values.
     """
 
-    @F.pandas_udf("alpha double, confidence double, dominant_period double")
-    def slope(frame: pd.Series) -> pd.DataFrame:
-        out = np.full((len(frame), 3), np.nan)
-        for pos, x in _by_length(frame):
-            f, psd = welch(x, min(x.shape[1], 64))
-            f, psd = f[1:], psd[:, 1:]
-            lf, lp = np.log10(f), np.log10(psd + 1e-10)
-            dx = lf - lf.mean()
-            b = (lp - lp.mean(1, keepdims=True)) @ dx / (dx @ dx)
-            fit = lp.mean(1, keepdims=True) + b[:, None] * dx
-            tot = ((lp - lp.mean(1, keepdims=True)) ** 2).sum(1)
-            r2 = np.where(tot > 0, 1 - ((lp - fit) ** 2).sum(1) / np.where(tot > 0, tot, 1), 0.0)
-            out[pos] = np.column_stack([-b, np.maximum(r2, 0), 1 / f[psd.argmax(1)]])
-        return pd.DataFrame(out, columns=["alpha", "confidence", "dominant_period"])
-
-    f = frames(df, keys, order, col, block, n, hop, min_rows, rows)
-    out = f.withColumn("_s", slope("frame")).drop("frame").select("*", "_s.*").drop("_s")
+    def slope(x: np.ndarray) -> list[np.ndarray]:
+        f, psd = welch(x, min(x.shape[1], 64))
+        f, psd = f[1:], psd[:, 1:]
+        lf, lp = np.log10(f), np.log10(psd + 1e-10)
+        dx = lf - lf.mean()
+        b = (lp - lp.mean(1, keepdims=True)) @ dx / (dx @ dx)
+        fit = lp.mean(1, keepdims=True) + b[:, None] * dx
+        tot = ((lp - lp.mean(1, keepdims=True)) ** 2).sum(1)
+        r2 = np.where(tot > 0, 1 - ((lp - fit) ** 2).sum(1) / np.where(tot > 0, tot, 1), 0.0)
+        return [-b, np.maximum(r2, 0), 1 / f[psd.argmax(1)]]
+
+    out = strided(df, keys, order, block, col, n, slope, "alpha double, confidence double, dominant_period double", min_rows, hop, rows)
     cols = ("alpha", "confidence", "dominant_period")
-    out = held(out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in cols}), keys, order, block, cols, hop)
+    out = held(out, keys, order, block, cols, hop)
     unknown = F.col("alpha").isNull()
     return out.withColumn("regime", F.when(unknown, "unknown").when(F.col("alpha") < 0.5, "mean_reverting").when(F.col("alpha") < 1.5, "normal").otherwise("trending"))
 
@@ -114,27 +88,20 @@ def dominant_cycles(df, keys, order, col: str, block, n: int = 256, min_period:
     """Strongest cycles of the last ``n`` values (array of period, amplitude, phase) and their coherence,
     on every row; analysed anew every ``hop`` rows and held in between, null before ``n`` values."""
 
-    @F.pandas_udf("modes array<struct<period:double,amplitude:double,phase:double>>, coherence double")
-    def cycles(frame: pd.Series) -> pd.DataFrame:
-        modes, coh = [None] * len(frame), np.full(len(frame), np.nan)
-        coh[[a is not None for a in frame]] = 0.0
-        for pos, x in _by_length(frame):
-            m = x.shape[1]
-            trend = x[:, :1] + (x[:, -1:] - x[:, :1]) * np.linspace(0, 1, m)
-            spec = np.fft.rfft((x - trend) * np.hanning(m))[:, 1:]
-            period = 1 / np.fft.rfftfreq(m)[1:]
-            ok = np.flatnonzero((period >= min_period) & (period <= max_period))
-            amp, ph = np.abs(spec[:, ok]) / m, np.angle(spec[:, ok])
-            best = np.argsort(-amp, axis=1, kind="stable")[:, :top]
-            for i, p in enumerate(pos):
-                modes[p] = [{"period": period[ok[j]], "amplitude": amp[i, j], "phase": ph[i, j]} for j in best[i]]
-                if best.shape[1] >= 2:
-                    coh[p] = abs(np.exp(1j * ph[i, best[i]]).mean())
-        return pd.DataFrame({"modes": modes, "coherence": coh})
-
-    f = frames(df, keys, order, col, block, n, hop, n, rows)
-    out = f.withColumn("_s", cycles("frame")).drop("frame").select("*", "_s.*").drop("_s")
-    out = held(out.withColumn("coherence", F.nanvl("coherence", F.lit(None).cast("double"))), keys, order, block, ("modes", "coherence"), hop)
+    def cycles(x: np.ndarray) -> list:
+        m = x.shape[1]
+        trend = x[:, :1] + (x[:, -1:] - x[:, :1]) * np.linspace(0, 1, m)
+        spec = np.fft.rfft((x - trend) * np.hanning(m))[:, 1:]
+        period = 1 / np.fft.rfftfreq(m)[1:]
+        ok = np.flatnonzero((period >= min_period) & (period <= max_period))
+        amp, ph = np.abs(spec[:, ok]) / m, np.angle(spec[:, ok])
+        best = np.argsort(-amp, axis=1, kind="stable")[:, :top]
+        modes = [[{"period": period[ok[j]], "amplitude": amp[i, j], "phase": ph[i, j]} for j in row] for i, row in enumerate(best)]
+        together = np.take_along_axis(ph, best, axis=1)
+        return [modes, np.abs(np.exp(1j * together).mean(1)) if best.shape[1] >= 2 else np.zeros(len(x))]
+
+    ddl = "modes array<struct<period:double,amplitude:double,phase:double>>, coherence double"
+    out = held(strided(df, keys, order, block, col, n, cycles, ddl, n, hop, rows), keys, order, block, ("modes", "coherence"), hop)
     return out.withColumn("resonance", F.col("coherence") > 0.7)
 
 
@@ -144,20 +111,16 @@ def rolling_entropy(df, keys, order, col: str, block, n: int = 100, bins: int =
     0 until ``bins`` values have been seen and for constant frames.
     """
 
-    @F.pandas_udf("double")
-    def entropy(frame: pd.Series) -> pd.Series:
-        out = np.zeros(len(frame))
-        for pos, x in _by_length(frame):
-            lo, width = x.min(1, keepdims=True), (x.max(1, keepdims=True) - x.min(1, keepdims=True)) / bins
-            live = (width > 0)[:, 0] & (x.shape[1] >= bins)
-            b = np.minimum(((x - lo) / np.where(width > 0, width, 1)).astype(int), bins - 1)
-            flat = b + bins * np.arange(len(x))[:, None]
-            cnt = np.bincount(flat.ravel(), minlength=bins * len(x)).reshape(len(x), bins) + smoothing
-            p = cnt / cnt.sum(1, keepdims=True)
-            out[pos] = np.where(live, -(p * np.log2(np.where(p > 0, p, 1))).sum(1), 0.0)
-        return pd.Series(out)
-
-    out = frames(df, keys, order, col, block, n, 1, 1, rows).withColumn("entropy", entropy("frame")).drop("frame")
+    def entropy(x: np.ndarray) -> list[np.ndarray]:
+        lo, width = x.min(1, keepdims=True), (x.max(1, keepdims=True) - x.min(1, keepdims=True)) / bins
+        live = (width > 0)[:, 0] & (x.shape[1] >= bins)
+        b = np.minimum(((x - lo) / np.where(width > 0, width, 1)).astype(int), bins - 1)
+        flat = b + bins * np.arange(len(x))[:, None]
+        cnt = np.bincount(flat.ravel(), minlength=bins * len(x)).reshape(len(x), bins) + smoothing
+        p = cnt / cnt.sum(1, keepdims=True)
+        return [np.where(live, -(p * np.log2(np.where(p > 0, p, 1))).sum(1), 0.0)]
+
+    out = strided(df, keys, order, block, col, n, entropy, "entropy double", rows=rows)
     norm = F.col("entropy") / math.log2(bins)
     mult = F.when(norm > high, F.greatest(F.lit(0.0), 1 - (norm - high) / (1 - high) * penalty)).otherwise(1.0)
     return out.withColumns({"normalized": norm, "risk_multiplier": mult})

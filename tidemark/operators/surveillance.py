@@ -186,32 +186,3 @@ def verify_checksums(events: DataFrame, stored: str, computed: Column) -> DataFr
     """Each row marked valid, invalid or missing."""
     s = F.col(stored)
     return events.withColumn("check", F.when(s.isNull() | (s == ""), "missing").when(s == computed, "valid").otherwise("invalid"))
-
-
-class _Bucket(Sweep):
-    def __init__(self, keep, capacity, rate):
-        self.keep, self.capacity, self.rate = list(keep), capacity, rate
-        self.tokens, self.last = capacity, None
-
-    def push(self, rows):
-        got = []
-        for us, want in zip(rows["_us"], rows["_want"]):
-            if self.last is not None:
-                self.tokens = min(self.capacity, self.tokens + (us - self.last) / 1e6 * self.rate)
-            self.last = us
-            ok = self.tokens >= want
-            if ok:
-                self.tokens -= want
-            got.append((ok, self.tokens))
-        return {**{c: rows[c] for c in self.keep}, **dict(zip(("allowed", "tokens"), zip(*got)))}
-
-
-def token_bucket_audit(requests: DataFrame, keys: Sequence[str], us: str, request_id: str, capacity: float, rate: float, cost: Column | None = None) -> DataFrame:
-    """Which requests a token bucket per identifier would have allowed.
-
-    A refused request leaves the tokens, so steps do not compose: one streamed task per identifier
-    with two numbers of state.
-    """
-    src = requests.select(*keys, request_id, F.col(us).alias("_us"), (F.lit(1.0) if cost is None else cost.cast("double")).alias("_want"))
-    schema = T.StructType([src.schema[request_id], T.StructField("allowed", T.BooleanType()), T.StructField("tokens", T.DoubleType()), *[src.schema[k] for k in keys]])
-    return sequential(src, keys, ["_us", request_id], lambda: _Bucket([request_id], capacity, rate), schema)

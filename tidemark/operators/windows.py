@@ -11,8 +11,9 @@ from pyspark.sql.window import WindowSpec
 
 from ..session import checkpointed
 from .blocks import running, settle, spread, with_seq
-from .grouped import Sweep, sequential
 from .scan import affine_scan
+from .zones import ROWS as ZONE_ROWS
+from .zones import sweep_zones
 
 ROWS = 100_000  # rows of one key handled by one task in bounded frames
 
@@ -148,13 +149,14 @@ def liquidation_zones(
     width: float = 0.25,
     max_zones: int = 500,
     rows: int = ROWS,
+    zone_rows: int = ZONE_ROWS,
 ) -> DataFrame:
     """Zones opened at confirmed pivots: one row per zone with its end and status.
 
     A pivot at row s is confirmed at row s+k, where the ATR and the volume history are taken. A zone is
     ``consumed`` by the first row from s+k on whose range strictly holds its midpoint, ``dropped`` when
     more than ``max_zones`` are active (oldest first), else ``open``. Pivots and intensities are
-    windows; only the last step, with at most ``max_zones`` zones of state, runs key by key.
+    windows; zones run in blocks of ``zone_rows`` bars (see ``zones``).
     """
 
     def build(d, w):
@@ -176,52 +178,7 @@ def liquidation_zones(
 
     base = rolling(df, keys, order, block, max_zones + 2 * k, build, ahead=k, rows=rows, keep_seq=True)
     feed = base.select(*keys, "seq", F.col(high).alias("_h"), F.col(low).alias("_l"), "_hi", "_lo", "_int", "_pad")
-    key_part = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in (df.schema[c] for c in keys))
-    schema = f"start_seq long, side string, top double, bottom double, intensity double, end_seq long, status string, {key_part}"
-    return sequential(feed, keys, ["seq"], lambda: ZoneSweep(k, max_zones), schema)
-
-
-class ZoneSweep(Sweep):
-    """Active zones of one key, oldest first."""
-
-    FIELDS = ["start_seq", "side", "top", "bottom", "intensity"]
-
-    def __init__(self, k: int, max_zones: int):
-        self.k, self.max_zones = k, max_zones
-        self.zones: list[tuple] = []
-        self.mids = np.empty(0)
-
-    def _close(self, mask: np.ndarray, seq: int | None, status: str, out: list) -> None:
-        keep = []
-        for zone, gone in zip(self.zones, mask):
-            if gone:
-                out.append((*zone, seq, status))
-            else:
-                keep.append(zone)
-        self.zones, self.mids = keep, self.mids[~mask]
-
-    def push(self, rows):
-        out: list = []
-        for seq, h, lo_, ph, pl, inten, pad in zip(*(rows[c] for c in ("seq", "_h", "_l", "_hi", "_lo", "_int", "_pad"))):
-            if not np.isnan(ph):
-                self.zones.append((int(seq) - self.k, "above", ph + pad, ph, inten))
-                self.mids = np.append(self.mids, (ph + pad + ph) / 2)
-            if not np.isnan(pl):
-                self.zones.append((int(seq) - self.k, "below", pl, pl - pad, inten))
-                self.mids = np.append(self.mids, (pl + pl - pad) / 2)
-            through = (self.mids < h) & (self.mids > lo_)
-            if through.any():
-                self._close(through, int(seq), "consumed", out)
-            surplus = len(self.zones) - self.max_zones
-            if surplus > 0:
-                self._close(np.arange(len(self.zones)) < surplus, int(seq), "dropped", out)
-        return self._columns(out)
-
-    def finish(self):
-        return self._columns([(*z, None, "open") for z in self.zones])
-
-    def _columns(self, out: list):
-        return dict(zip([*self.FIELDS, "end_seq", "status"], zip(*out))) if out else None
+    return sweep_zones(feed, list(keys), k, max_zones, zone_rows)
 
 
 def trend_counter(df, keys, order, block, high="high", low="low", length: int = 20, smooth: int = 5, rows: int = ROWS) -> DataFrame:

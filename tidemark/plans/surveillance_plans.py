@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts as al
 from ..operators import surveillance as sv
 from ..operators.blocks import RowBlocks
+from ..operators.bucket import token_bucket_audit
 from .flow_plans import recur
 from .registry import TICKS, query, rnd, rounded
 
@@ -154,7 +155,7 @@ def _(t):
  SELECT event_id, a = 1 AS allowed, {rnd('t')} AS tokens FROM s JOIN y USING (trader, seq)""",
 )
 def _(t):
-    out = sv.token_bucket_audit(t.ticks, ["trader"], "us", "event_id", 3.0, 0.00002)
+    out = token_bucket_audit(t.ticks, ["trader"], "us", "event_id", 3.0, 0.00002)
     return out.select("event_id", "allowed", rounded("tokens").alias("tokens"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.corpus import event_checksum
 from ..operators.regime import _ChangeSweep
 from ..session import scratch_path
-from ..streaming import jobs
+from ..streaming import daily, jobs
 from ..streaming import stateful as st
 from .flow_plans import _VB, _VP, SER, ema_step, recur
 from .ingest_plans import AUDIT, LIQ, raw_messages
@@ -147,6 +147,18 @@ def _(t):
     return drain(t, out).select("event_id", rounded("total_today", 4).alias("total_today"), "warned", "limited")
 
 
+@query(
+    "str_06_daily_reset",
+    f"""WITH {TICKS}, r AS (SELECT *, CAST(ts AS DATE) AS day, sum(price - 60) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, event_id) AS rt FROM ticks), x AS (SELECT *, rt + volume - 50 AS tt FROM r)
+ SELECT symbol, datediff('day', DATE '1970-01-01', day) AS day, count(*) AS n, {rnd('sum(price - 60)', 4)} AS total, {rnd('min(tt)', 4)} AS lowest, min(tt) <= -150 AS warned, min(tt) <= -300 AS limited FROM x GROUP BY symbol, day""",
+)
+def _(t):
+    """Days are closed by timers: the row that moves the watermark past the last day belongs to one symbol only."""
+    src = replay(t, t.ticks.select("symbol", "event_id", (F.col("price") - 60).alias("r"), (F.col("volume") - 50).alias("u"), "ts"), "ts", flush="2 days")
+    out = drain(t, daily.daily_loss_latch(src, ["symbol"], "ts", "event_id", "r", "u", 300.0, delay=LATE))
+    return out.where("kind = 'reset'").select("symbol", "day", "n", rounded("total_today", 4).alias("total"), rounded("lowest", 4).alias("lowest"), "warned", "limited")
+
+
 @query("str_07_jsonl_tail", f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, count(*) AS n, {rnd('sum(value)', 4)} AS total FROM events WHERE event_id % 19 <> 0 GROUP BY 1")
 def _(t):
     src, dst, ck = (scratch_path(t.spark, x) for x in ("tail", "cold", "cold-ck"))

@@ -5,7 +5,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -56,11 +58,36 @@ def test_notices_are_found_over_line_breaks_and_not_put_together(spark):
         words, want = license_join.words_of(text), set()
         for name, t in templates.items():
             n, s = license_join.RUN * len(license_join.words_of(t)), set(license_join.words_of(t))
-            if max(len(s & set(words[k : k + n])) for k in range(len(words))) >= license_join.needed(len(s), license_join.THRESHOLD):
-                want.add(name)
+            telling, barred = license_join.TELLING.get(name, ()), license_join.BARRED.get(name, ())
+            for k in range(len(words)):
+                run = set(itertools.takewhile(lambda w: w not in barred, words[k : k + n]))
+                if len(s & run) >= license_join.needed(len(s), license_join.THRESHOLD) and run.issuperset(telling):
+                    want.add(name)
         assert got[i] == (sorted(want) or [""])
 
 
+def test_alike_notices_are_told_apart(spark):
+    texts = {
+        "Released under the GNU license": "",
+        "Licensed under the Mozilla Public License, Version 2.0": "",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "",
+        "licensed under CC BY-SA 4.0": "",
+        "Licensed under CC BY-NC-SA 4.0": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "",
+        "released\nunder the\nMIT license": "MIT",
+        "Unlike the lesser one, this work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under the Apache License,\n# Version 2.0": "Apache-2.0",
+        "": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_join.license_scan(docs, phrases={"no such phrase": "none"}).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    # the SQL reads the same runs
+    cur = duckdb.connect()
+    cur.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": list(texts)}))
+    assert {r[0]: r[6] for r in cur.execute(license_join.sql({"no such phrase": "none"})).fetchall()} == got
+
+
 # components
 
 

@@ -343,7 +343,12 @@ def test_obfuscated_words_are_restored(spark, docs):
     channel = toxicity.Channel(toxicity.letter_model(docs))
     for seen, word in {"1d10t": "idiot", "l0ser": "loser", "stuuupid": "stupid", "tr@sh": "trash", "m0r0n": "moron", "s-c-u-m": "scum", "cl0wn": "clown"}.items():
         assert channel.restore(seen) == word
-    assert toxicity.spelt_words("you s t u p i d thing", channel) == ["stupid"]
+    for seen, word in {"5h17": "shit", "a$$": "ass", "a$$!": "ass", "shi+": "shit", "shi+.": "shit", "(idiot)": "idiot", "$tup1d!": "stupid"}.items():
+        assert word in toxicity.readings(seen, channel)
+    assert toxicity.readings("1234", channel) == ["1234"]
+    for run, words in {"you s t u p i d thing": ["stupid"], "you are a s c u m": ["scum"], "i i d i o t": ["idiot"], "y o u s c u m": ["you", "scum"], "s.t.u.p.i.d i.d.i.o.t": ["stupid", "idiot"]}.items():
+        assert set(words) <= set(toxicity.spelt_words(run, channel))
+    assert toxicity.spelt_words("rows 1 2 3 4 of", channel) == []
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     hidden = spark.createDataFrame([(i, f"The and {w} of thea") for i, w in enumerate(["i d i o t", "1d10t", "m.o.r.o.n", "l0$er", "plain"])], "doc_id long, text string")
     score = toxicity.toxicity_score(docs, labels)
@@ -351,6 +356,67 @@ def test_obfuscated_words_are_restored(spark, docs):
     assert got == [True, True, True, True, False]
 
 
+def _spellings(span, at=0):
+    """(cost of the channel, letters) of every way to read a span as one word, by enumeration."""
+    if at == len(span):
+        return [(0.0, "")]
+    c, rest = span[at], _spellings(span, at + 1)
+    alike = re.search(r"(.)\1\1", span[max(0, at - 2) : at + 2]) and at > 0 and span[at - 1] == c
+    options = [(0.0, c)] if c.isalpha() else []
+    options += [(toxicity.WILD_COST if c == "*" else toxicity.SWAP_COST, x) for x in toxicity.LOOKS.get(c, "")]
+    if c in toxicity.MARKS or alike:
+        options.append((toxicity.DROP_COST, ""))
+    elif not options:
+        options.append((2.0, ""))
+    return [(a + b, x + y) for a, x in options for b, y in rest]
+
+
+def _model(cost, word, before=0):
+    """Cost of a word's letters under the trigram model, after a word that ends in letter ``before``."""
+    path = [before, 0, *map(toxicity.fold, word), 0]
+    return sum(cost[tuple(path[i : i + 3])] for i in range(len(path) - 2))
+
+
+def test_lattices_against_enumeration():
+    rng = np.random.default_rng(5)
+    cost = -np.log(rng.dirichlet(np.ones(toxicity.LETTERS), (toxicity.LETTERS, toxicity.LETTERS)))
+    channel = toxicity.Channel(cost)
+    for _ in range(150):
+        span = "".join(rng.choice(list("aabs015!$*-|"), rng.integers(1, 7)))
+        best = min(_spellings(span), key=lambda r: r[0] + _model(cost, r[1]))
+        got = channel.restore(span)
+        want = best[0] + _model(cost, best[1])
+        assert min(c + _model(cost, w) for c, w in _spellings(span) if w == got) == pytest.approx(want)
+    for _ in range(60):
+        letters = rng.choice(list("abst01$!"), rng.integers(1, 6))
+        ways = []  # every choice of letters and of word ends
+        for read in itertools.product(*[[(0.0, c)] if c.isalpha() else [(toxicity.SWAP_COST, x) for x in toxicity.LOOKS[c]] for c in letters]):
+            for cuts in itertools.product([False, True], repeat=len(letters) - 1):
+                words, total = [read[0][1]], sum(r[0] for r in read)
+                for cut, (_, x) in zip(cuts, read[1:]):
+                    total += toxicity.BREAK_COST if cut else toxicity.DROP_COST
+                    words = [*words, x] if cut else [*words[:-1], words[-1] + x]
+                ends = [0, *(toxicity.fold(w[-1]) for w in words)]
+                ways.append((total + sum(_model(cost, w, b) for b, w in zip(ends, words)), words))
+        least = min(w[0] for w in ways)
+        near: dict[tuple[int, int], tuple[float, str]] = {}
+        for total, words in ways:
+            at = 0
+            for w in words:
+                near[at, at + len(w)] = min(near.get((at, at + len(w)), (np.inf, "")), (total, w))
+                at += len(w)
+        got = set(channel.words(" ".join(letters)))
+        assert {w for t, w in near.values() if t <= least + toxicity.MARGIN - 1e-9} <= got
+        assert got <= {w for t, words in ways if t <= least + toxicity.MARGIN + 1e-9 for w in words}
+
+
+def test_long_spans_take_time_in_proportion():
+    channel = toxicity.Channel(np.full((toxicity.LETTERS,) * 3, 3.0))
+    assert len(channel.restore("a1" * 60_000)) == 120_000
+    assert channel.words("a b c " * 3_000)
+    assert toxicity.readings("ab" + "!" * 50_000, channel)[0] == "ab"
+
+
 def test_scores_do_not_depend_on_batches():
     net = byte_cnn.fit(["good text here", "BAD!! BAD!!"] * 20, [1, 0] * 20, epochs=1)
     texts = ["", "a", "some words some words some words", "x" * 2000, "é" * 700, "some words some words"]

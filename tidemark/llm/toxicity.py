@@ -3,8 +3,11 @@
 The writer is taken to spell plain words through a channel that swaps letters for look-alikes, puts spaces or
 marks between letters and repeats letters. A suspicious stretch of text (look-alikes inside a word, a letter
 three times running, single characters in a row) becomes a lattice: every observed character may stand for one of
-its letters, or for nothing if it is a mark or a repetition, each at a cost. The cheapest way through the lattice
-under a character trigram model is the restored word; it is scored next to the words as they stand.
+its letters or for nothing if it is a mark or one of three alike in a row, each at a cost. The cheapest way through the
+lattice under a character trigram model is the restored word; it is scored next to the word as it stands. Look-alikes
+after a word may be letters or punctuation, so the forward pass is read off at each of them. Marks between single
+characters may also end a word; as letters alone cannot tell "a scum" from "ascum", all words on ways that cost little
+more than the cheapest one (by forward and backward costs) are scored.
 
 The character model counts the letters of all documents (one small count table per task, then one aggregate).
 The word weights come from a bounded, seeded sample of labelled rows: words and word beginnings whose share of
@@ -38,14 +41,19 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
 MARKS = frozenset(" .-_*~,'’/\\")
-SWAP_COST, WILD_COST, DROP_COST, REPEAT_COST = 1.0, 2.5, 0.3, 0.3
+SWAP_COST, WILD_COST, DROP_COST, REPEAT_COST, BREAK_COST = 1.0, 2.5, 0.3, 0.3, 1.0
+#: Longest span whose restored form is remembered.
+KEPT = 64
+#: In a run of single characters: most characters of one word, and how much dearer than the cheapest way a word's way may be.
+LONGEST, MARGIN = 24, 6.0
 #: Letters of the model: 0 is a word's edge, 1..26 are a..z, 27 any other letter.
 LETTERS = 28
 PREFIXES = (4, 5, 6, 7, 8)
 #: Least support and the normal quantile of the lower bound on a feature's toxic share.
 SUPPORT, Z2 = 4, 3.0
 
-EDGE_LEFT, EDGE_RIGHT = re.compile(r"^[^\w@$!|+(€£]+"), re.compile(r"[^\w]+$")
+OUTER = r"[^\w@$!|+(€£*#]"
+EDGES, OUTER_EDGES = re.compile(r"^\W+|\W+$"), re.compile(f"^{OUTER}+|{OUTER}+$")
 LOOKALIKE = re.compile("[" + re.escape("".join(LOOKS)) + "]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 DOUBLE = re.compile(r"(.)\1")
@@ -93,47 +101,121 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(p3)
 
 
+#: Cost so far and the restored characters as a chain (the last one and the chain before it).
+Path = tuple[float, "tuple | None"]
+
+
+def spelled(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        c, chain = chain
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def ways_of(c: str, repeated: bool) -> tuple[list[tuple[str, float, int]], float | None]:
+    """What a character may stand for: letters with costs and numbers, and the cost of nothing if it may."""
+    ways = [(c, 0.0, fold(c))] if c.isalpha() else []
+    ways += [(x, WILD_COST if c == "*" else SWAP_COST, fold(x)) for x in LOOKS.get(c, "")]
+    return ways, DROP_COST if c in MARKS else REPEAT_COST if repeated else None if ways else 2.0
+
+
 @dataclass
 class Channel:
     cost: np.ndarray
-    known: dict[str, str] = field(default_factory=dict)
+    known: dict[str, list[str]] = field(default_factory=dict)
+    rows: dict[tuple[int, int], list[float]] = field(default_factory=dict)  # rows of the table as they are met, at most 28 ** 2
 
     def restore(self, span: str) -> str:
         """Cheapest plain word for a span; ties go to the first reading."""
+        return self.endings(span)[-1]
+
+    def endings(self, span: str) -> list[str]:
+        """Cheapest plain word for a span without, with some and with all of the marks that it ends in, different ones once."""
         got = self.known.get(span)
-        if got is not None:
-            return got
-        table = self.cost
-        # state: last two letter numbers and the letter written last -> (cost, word so far)
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        before = ""
-        for c in span:
-            ways: list[tuple[str, float]] = []
-            if c.isalpha():
-                ways.append((c, 0.0))
-            for x in LOOKS.get(c, ""):
-                ways.append((x, WILD_COST if c == "*" else SWAP_COST))
-            drop = DROP_COST if c in MARKS else REPEAT_COST if c == before else None
-            if not ways and drop is None:
-                drop = 2.0
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for (a, b, last), (total, word) in states.items():
-                if drop is not None:
-                    old = after.get((a, b, last))
-                    if old is None or total + drop < old[0]:
-                        after[a, b, last] = (total + drop, word)
-                for x, swap in ways:
-                    n = fold(x)
-                    now = total + swap + float(table[a, b, n])
-                    old = after.get((b, n, x))
-                    if old is None or now < old[0]:
-                        after[b, n, x] = (now, word + x)
-            states, before = after, c
-        best = min(((total + float(table[a, b, 0]), word) for (a, b, _), (total, word) in states.items()), default=(0.0, ""), key=lambda x: x[0])
-        if len(self.known) > 20_000:
-            self.known.clear()
-        self.known[span] = best[1]
-        return best[1]
+        if got is None:
+            core = len(span)
+            while core and not span[core - 1].isalnum():
+                core -= 1
+            ends = {core or len(span), len(span)}
+            ends |= {i for i in range(core + 1, len(span)) if span[i] != span[i - 1]}
+            got = list(dict.fromkeys(self._decode(span, ends)))
+            if len(span) <= KEPT:
+                if len(self.known) > 20_000:
+                    self.known.clear()
+                self.known[span] = got
+        return got
+
+    def _row(self, a: int, b: int) -> list[float]:
+        row = self.rows.get((a, b))
+        if row is None:
+            row = self.rows[a, b] = self.cost[a, b].tolist()
+        return row
+
+    def _step(self, states: dict[tuple[int, int, str], Path], ways: list[tuple[str, float, int]], drop: float | None) -> dict[tuple[int, int, str], Path]:
+        """States (last two letter numbers, last letter) after one more character; ties go to the first way."""
+        after: dict[tuple[int, int, str], Path] = {}
+        for (a, b, last), (total, chain) in states.items():
+            row = self._row(a, b)
+            if drop is not None:
+                old = after.get((a, b, last))
+                if old is None or total + drop < old[0]:
+                    after[a, b, last] = (total + drop, chain)
+            for x, swap, n in ways:
+                now = total + swap + row[n]
+                old = after.get((b, n, x))
+                if old is None or now < old[0]:
+                    after[b, n, x] = (now, (x, chain))
+        return after
+
+    def _decode(self, span: str, ends: set[int]) -> list[str]:
+        """Cheapest words for the beginnings of a span that end at ``ends``, in order of length."""
+        states: dict[tuple[int, int, str], Path] = {(0, 0, ""): (0.0, None)}
+        found = []
+        for i, c in enumerate(span):
+            alike = i > 0 and span[i - 1] == c and (span[i - 2 : i - 1] == c or span[i + 1 : i + 2] == c)
+            states = self._step(states, *ways_of(c, alike))
+            if i + 1 in ends:
+                found.append(spelled(min(((t + self._row(a, b)[0], chain) for (a, b, _), (t, chain) in states.items()), key=lambda x: x[0])[1]))
+        return found or [""]
+
+    def words(self, run: str) -> list[str]:
+        """All words on ways through a run of single characters, each mark of which may end a word, within ``MARGIN`` of the cheapest."""
+        letters = [ways for c in run if (ways := ways_of(c, False)[0])]
+        n = len(letters)
+
+        def ends(i: int, b: int) -> Iterator[tuple[int, int, float, tuple | None]]:
+            """Words from letter i after a word that ends in letter b: where they end, last letter, cost, characters."""
+            states: dict[tuple[int, int, str], Path] = {(b, 0, ""): (0.0, None)}
+            for j in range(i, min(n, i + LONGEST)):
+                states = self._step(states, letters[j], None)
+                best: dict[int, Path] = {}
+                for (x, y, _), (total, chain) in states.items():
+                    now = total + self._row(x, y)[0] + (BREAK_COST if j + 1 < n else 0.0)
+                    if y not in best or now < best[y][0]:
+                        best[y] = (now, chain)
+                for y, (now, chain) in best.items():
+                    yield j + 1, y, now, chain
+                states = {k: (total + DROP_COST, chain) for k, (total, chain) in states.items()}
+
+        # forward[i][b]: cheapest way to a word that starts at letter i after letter b; backward[i][b]: from there to the end
+        forward: list[dict[int, float]] = [{0: 0.0}, *({} for _ in range(n))]
+        for i in range(n):
+            for b, cost in forward[i].items():
+                for j, y, more, _ in ends(i, b):
+                    if cost + more < forward[j].get(y, math.inf):
+                        forward[j][y] = cost + more
+        limit = min(forward[n].values(), default=0.0) + MARGIN
+        backward: list[dict[int, float]] = [{} for _ in range(n)] + [dict.fromkeys(forward[n], 0.0)]
+        found: dict[str, None] = {}
+        for i in reversed(range(n)):
+            for b, cost in forward[i].items():
+                for j, y, more, chain in ends(i, b):
+                    rest = more + backward[j][y]
+                    backward[i][b] = min(backward[i].get(b, math.inf), rest)
+                    if cost + rest <= limit:
+                        found[spelled(chain)] = None
+        return sorted(found)
 
 
 def plain(token: str) -> str:
@@ -142,12 +224,15 @@ def plain(token: str) -> str:
         return token
     if token[:-1].isalnum() and token[-1] in ".,;:!?":
         return token[:-1]
-    return EDGE_RIGHT.sub("", EDGE_LEFT.sub("", token))
+    return EDGES.sub("", token)
 
 
 def suspicious(word: str) -> bool:
-    letters = sum(map(str.isalpha, word))
-    return letters >= 2 and (TRIPLE.search(word) is not None or (LOOKALIKE.search(word) is not None and not word.isalpha()))
+    """Two letters or look-alikes at least, one of them a letter, and a look-alike or a letter three times running."""
+    if not (letters := sum(map(str.isalpha, word))):
+        return False
+    looks = len(LOOKALIKE.findall(word))
+    return letters + looks >= 2 and (looks > 0 or TRIPLE.search(word) is not None)
 
 
 def squeezed(word: str) -> str:
@@ -160,13 +245,17 @@ def features(word: str) -> list[str]:
 
 def readings(token: str, channel: Channel) -> list[str]:
     """A lowered token as it stands and, if it looks suspicious, restored."""
-    word = plain(token)
-    return [word, channel.restore(word)] if suspicious(word) else [word] if word else []
+    word, kept = plain(token), token if token.isalnum() else OUTER_EDGES.sub("", token)
+    found = [word] if word else []
+    for span in (word, kept) if kept != word else (word,):
+        if suspicious(span):
+            found += channel.endings(span)
+    return list(dict.fromkeys(found))
 
 
 def spelt_words(low: str, channel: Channel) -> list[str]:
-    """Restored words of all runs of single characters in a lowered text."""
-    return [channel.restore(m.group()) for m in SPELT.finditer(low)]
+    """Restored words of all runs of single characters, one of them a letter, in a lowered text."""
+    return [word for m in SPELT.finditer(low) if any(map(str.isalpha, m.group())) for word in channel.words(m.group())]
 
 
 @dataclass
@@ -187,9 +276,9 @@ class Lexicon:
 
     def hit(self, token: str, channel: Channel) -> tuple[str, float] | None:
         """The reading of a token that weighs most and its weight, if any has one."""
-        word = plain(token)
-        if word.isalpha() and word[: PREFIXES[0]] not in self.heads and not DOUBLE.search(word):
-            return None  # no feature begins like it, and there is nothing to restore or to squeeze
+        head = token[: PREFIXES[0]]
+        if head.isalpha() and head not in self.heads and (len(head) == PREFIXES[0] or head == token) and not DOUBLE.search(token):
+            return None  # no feature begins like it, and neither restoring nor squeezing changes the beginning
         best = max(((self.of(w), w) for w in readings(token, channel)), default=(0.0, ""))
         return (best[1], best[0]) if best[0] else None
 
@@ -197,9 +286,10 @@ class Lexicon:
         low, seen, hits = (text or "").lower(), self.seen, {}
         tokens = set(low.split())
         for t in tokens:
-            if t not in seen:
-                seen[t] = self.hit(t, channel)
-            if got := seen[t]:
+            got = seen[t] if t in seen else self.hit(t, channel)
+            if len(t) <= KEPT:
+                seen[t] = got
+            if got:
                 hits[got[0]] = got[1]
         if len(seen) > 50_000:
             seen.clear()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
+from ..operators import sketches as sk
+from ..session import stored
 from .registry import TICKS, query, rnd, rounded
 
 
@@ -55,6 +57,39 @@ def _(t):
     return g.agg(*[F.percentile_approx("price", q, 100000).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
+_QS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _trade_hours(t):
+    """One stored sketch row per hour and symbol: distinct traders and order ids, price quantiles."""
+    ticks = t.ticks.withColumn("hour", F.date_trunc("hour", "ts"))
+    return stored(sk.sketch(ticks, ["hour", "symbol"], ["trader", "event_id"], ["price"]), "hourly-sketches")
+
+
+@query("agg_04_distinct_from_sketches")
+def _(t):
+    """Distinct traders and events per symbol, answered from the hourly rows alone."""
+    return sk.answers(sk.merge(_trade_hours(t).drop("kll_price"), ["symbol"]))
+
+
+@query("agg_06_daily_percentiles_from_sketches")
+def _(t):
+    """Price percentiles per day, answered from the hourly rows alone."""
+    hours = _trade_hours(t).drop("hll_trader", "hll_event_id").withColumn("day", F.date_format("hour", "yyyy-MM-dd"))
+    return sk.answers(sk.merge(hours, ["day"]), _QS)
+
+
+@query(
+    "agg_06_sketch_error_bounds",
+    f"""WITH {TICKS} SELECT symbol, count(*) AS n, count(DISTINCT trader) AS exact_trader, count(DISTINCT event_id) AS exact_event_id, true AS distinct_ok, true AS quantiles_ok
+ FROM ticks GROUP BY 1""",
+)
+def _(t):
+    """The answers from the hourly rows held against the rows themselves: all within the sketches' error bounds."""
+    found = sk.answers(sk.merge(_trade_hours(t), ["symbol"]), _QS)
+    return sk.within_bounds(t.ticks, found, ["symbol"], ["trader", "event_id"], ["price"], _QS)
+
+
 @query("agg_07_counter_span", f"WITH {TICKS} SELECT trader, max(us) - min(us) AS span_us, max(event_id) - min(event_id) AS messages FROM ticks GROUP BY 1")
 def _(t):
     return t.ticks.groupBy("trader").agg(agg.counter_span("us", "span_us"), agg.counter_span("event_id", "messages"))

@@ -22,6 +22,7 @@ from tidemark.operators import regime as reg
 from tidemark.operators import risk
 from tidemark.operators import surveillance as sv
 from tidemark.operators import windows as win
+from tidemark.streaming.stateful import BreakerSweep
 
 
 def frame(spark, values, col="p", key="k"):
@@ -236,6 +237,14 @@ def test_breaker_below_zero(spark, auto):
     assert column(risk.circuit_breaker(eq, ["k"], ["t"], "e", 2), "drawdown")[:5] == [0.0] * 5
 
 
+@pytest.mark.parametrize("auto", [True, False])
+def test_streamed_breaker_below_zero(auto):
+    rows, (want, states) = {"e": np.array(BELOW_ZERO)}, quotients(auto)
+    live = BreakerSweep([], "e", auto_recovery=auto, signed=True).push(rows)
+    assert live["drawdown"] == pytest.approx(want, nan_ok=True) and live["state"] == states
+    assert BreakerSweep([], "e").push(rows)["drawdown"][:5] == [0.0] * 5
+
+
 @pytest.mark.parametrize("width", ["1 hour", "30 seconds"])
 def test_wash_pairs_against_brute_force(spark, width):
     rnd = random.Random(6)

@@ -121,7 +121,7 @@ def _(t):
 def _(t):
     src = replay(t, equity_curve(t), "day")
     schema = st.schema_of(src, ["strategy"], ["day"], "drawdown double, state string, multiplier double")
-    out = st.run_stateful(src, ["strategy"], ["day"], lambda: st.BreakerSweep(["day"], "e"), schema)
+    out = st.run_stateful(src, ["strategy"], ["day"], lambda: st.BreakerSweep(["day"], "e", signed=True), schema)
     return drain(t, out).select("strategy", F.col("day").cast("string").alias("day"), rounded("drawdown").alias("drawdown"), "state")
 
 

@@ -1,6 +1,7 @@
 """Inputs beyond limits that operators must not have: long chains, many contenders, tiny noise, large levels."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -84,6 +85,50 @@ def test_every_split_is_scored(spark):
     assert min(r["accuracy"] for r in got) > 0.75
 
 
+def plain_forest(x, y, at, trees, depth, seed):
+    """Node by node, with the draws of a level in the order of its nodes."""
+    rng, n, d = np.random.default_rng(seed), *x.shape
+    nodes, total = [(b, np.arange(len(at))) for b in rng.integers(0, n, (trees, n))], np.zeros(len(at))
+    for left in range(depth, -1, -1):
+        after, order = [], rng.random((len(nodes), d)).argsort(axis=1) if left else [[]] * len(nodes)
+        for (here, there), features in zip(nodes, order):
+            found = []
+            for f in sorted(features[: int(d**0.5)]):
+                values = np.unique(x[here, f]) if len(there) and 0 < y[here].sum() < len(here) else []
+                for a, b in zip(values, values[1:]):
+                    sides = [y[here][x[here, f] <= a], y[here][x[here, f] > a]]
+                    found.append((sum(s.sum() * (len(s) - s.sum()) / len(s) for s in sides), f, (a + b) / 2))
+            if not found:
+                total[there] += y[here].mean()
+                continue
+            _, f, cut = min(found, key=lambda t: t[0])
+            after += [(here[x[here, f] <= cut], there[at[there, f] <= cut]), (here[x[here, f] > cut], there[at[there, f] > cut])]
+        nodes = after
+        if not nodes:
+            break
+    return total / trees
+
+
+@pytest.mark.parametrize("seed, digits", [(1, 1), (2, 6)])
+def test_forest_grown_by_levels(seed, digits):
+    rng = np.random.default_rng(seed)
+    x, at = rng.normal(size=(60, 5)).round(digits), rng.normal(size=(9, 5))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    assert labels.forest_votes(x, y, at, 12, 4, seed) == pytest.approx(plain_forest(x, y, at, 12, 4, seed), abs=1e-12)
+    assert (labels.forest_votes(x, y * 0 + 1, at, 5, 4, seed) == 1).all()
+
+
+def test_forest_of_a_split_is_quick():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(252, 6))
+    y, took = (x[:, 0] + rng.normal(size=252) > 0).astype(int), []
+    for _ in range(5):
+        began = time.process_time()
+        labels.forest_votes(x, y, x[:63], 100, 5, 42)
+        took.append(time.process_time() - began)
+    assert min(took) < 0.12  # node by node: 0.22 s
+
+
 def test_spectra_on_every_row(spark):
     df = spark.createDataFrame([("k", i, float(np.sin(i / 2.5))) for i in range(150)], "k string, t long, x double")
     one = reg.spectral_regime(df, ["k"], ["t"], "x", 40, n=64, min_rows=64, rows=60).orderBy("t").collect()

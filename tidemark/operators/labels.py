@@ -225,31 +225,62 @@ def score_splits(roles: DataFrame, keys: Sequence[str], features: Sequence[str],
 
 
 def forest_votes(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
-    """Mean class-1 share over bootstrapped Gini trees, the square root of the features tried at each node."""
+    """Mean class-1 share over bootstrapped Gini trees, the square root of the features tried at each node.
+
+    All trees grow together, level by level: a bootstrap is a weight for each row, and the nodes of a level that try a
+    feature are searched in one sort. Nodes that hold no row of ``at`` are not grown on.
+    """
     rng = np.random.default_rng(seed)
-    some = max(1, int(math.sqrt(x.shape[1])))
-    total = np.zeros(len(at))
-    for _ in range(trees):
-        rows = rng.integers(0, len(x), len(x))
-        stack = [(rows, np.arange(len(at)), depth)]
-        while stack:
-            here, there, left = stack.pop()
-            if not len(there):
-                continue
-            ones, best = y[here].sum(), None
-            if left and 0 < ones < len(here):
-                for f in rng.permutation(x.shape[1])[:some]:
-                    order = np.argsort(x[here, f], kind="stable")
-                    v, c = x[here, f][order], np.cumsum(y[here][order])[:-1]
-                    n = np.arange(1, len(v))
-                    impurity = np.where(v[1:] > v[:-1], c * (n - c) / n + (ones - c) * (len(v) - n - ones + c) / (len(v) - n), np.inf)
-                    k = int(impurity.argmin()) if len(n) else 0
-                    if len(n) and impurity[k] < np.inf and (best is None or impurity[k] < best[0]):
-                        best = (impurity[k], f, (v[k] + v[k + 1]) / 2)
-            if best is None:
-                total[there] += ones / len(here)
-                continue
-            _, f, cut = best
-            stack.append((here[x[here, f] <= cut], there[at[there, f] <= cut], left - 1))
-            stack.append((here[x[here, f] > cut], there[at[there, f] > cut], left - 1))
+    n, d = x.shape
+    some = max(1, int(math.sqrt(d)))
+    rank = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0)
+    drawn = rng.integers(0, n, (trees, n)) + n * np.arange(trees)[:, None]
+    weight = np.bincount(drawn.ravel(), minlength=trees * n)
+    node, row = np.divmod(np.flatnonzero(weight), n)
+    weight = weight[weight > 0]
+    ones = weight * y[row]
+    there, point = np.divmod(np.arange(trees * len(at)), len(at))
+    total, nodes = np.zeros(len(at)), trees
+    for left in range(depth, -1, -1):
+        size, hits = (np.bincount(node, c, nodes).astype(np.int64) for c in (weight, ones))
+        mixed = (hits > 0) & (hits < size) & (np.bincount(there, minlength=nodes) > 0)
+        best, by, cut = np.full(nodes, np.inf), np.full(nodes, -1), np.zeros(nodes)
+        if left:
+            tried = np.zeros((nodes, d), dtype=bool)
+            np.put_along_axis(tried, rng.random((nodes, d)).argsort(axis=1)[:, :some], True, axis=1)
+            tried &= mixed[:, None]
+            for f in range(d):
+                e = np.flatnonzero(tried[node, f])
+                e = e[np.argsort(node[e] * n + rank[row[e], f])]
+                g, v = node[e], x[row[e], f]
+                between = np.flatnonzero((g[1:] == g[:-1]) & (v[1:] > v[:-1]))
+                if not len(between):
+                    continue
+                k, c = np.cumsum(weight[e]), np.cumsum(ones[e])
+                new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+                before = np.zeros((2, nodes), dtype=np.int64)
+                before[:, g[new]] = k[new] - weight[e[new]], c[new] - ones[e[new]]
+                g = g[between]
+                k, c = k[between] - before[0, g], c[between] - before[1, g]
+                rest, more = size[g] - k, hits[g] - c
+                impurity = c * (k - c) / k + more * (rest - more) / rest
+                new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+                least = np.minimum.reduceat(impurity, new)
+                lowest = np.flatnonzero(impurity == np.repeat(least, np.diff(np.r_[new, len(g)])))
+                lowest = lowest[np.r_[True, g[lowest[1:]] != g[lowest[:-1]]]]
+                won = least < best[g[new]]
+                lowest, won = lowest[won], g[new][won]
+                best[won], by[won], cut[won] = impurity[lowest], f, (v[between[lowest]] + v[between[lowest] + 1]) / 2
+        ended = by[there] < 0
+        total += np.bincount(point[ended], (hits / np.maximum(size, 1))[there[ended]], len(at))
+        grows = by >= 0
+        number = np.cumsum(grows) - 1
+        stay, go = grows[node], ~ended
+        node, row, weight, ones = node[stay], row[stay], weight[stay], ones[stay]
+        there, point = there[go], point[go]
+        node = 2 * number[node] + (x[row, by[node]] > cut[node])
+        there = 2 * number[there] + (at[point, by[there]] > cut[there])
+        nodes = 2 * int(grows.sum())
+        if not nodes:
+            break
     return total / trees

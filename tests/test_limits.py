@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, labels, orderflow
@@ -12,6 +13,7 @@ from tidemark.operators import performance as perf
 from tidemark.operators import recurrences as rec
 from tidemark.operators import regime as reg
 from tidemark.operators import relational as rel
+from tidemark.operators.grouped import Sweep, sequential
 
 
 def test_lineage_of_a_long_chain(spark):
@@ -158,3 +160,20 @@ def test_correlations_of_strategies_found_in_the_data(spark):
     names.append("7-NONE")
     want = {(names[i], names[j]): 1.0 if i == j else 0.9 * cov[i, j] / max(sd[i] * sd[j], 1e-6) for i in range(7) for j in range(i, 7)}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+class Partition(Sweep):
+    """Where a key is worked on."""
+
+    def push(self, rows):
+        return {"p": [TaskContext.get().partitionId()]}
+
+
+def test_python_work_keeps_its_partitions(spark):
+    df = spark.range(100).withColumn("k", F.col("id") % 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = sequential(df, ["k"], ["id"], Partition, "p int, k long")
+        assert len({r["p"] for r in got.collect()}) > 4 and got.rdd.getNumPartitions() == 11
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

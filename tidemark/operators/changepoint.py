@@ -17,7 +17,7 @@ the prior as well, or numbers that overflow. Where a row could come to that, its
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +31,10 @@ from .grouped import Sweep, sequential
 ROWS = 20_000
 #: Rows between two looks at whether all entering run lengths agree, and how near that is.
 LOOK, AGREE = 64, 1e-14
+#: Rows whose densities are taken at once.
+BATCH = 64
+#: The least density, exp(-700).
+LEAST = math.exp(-700)
 
 
 class RunLength:
@@ -49,6 +53,7 @@ class RunLength:
         self.alpha, self.kappa = alpha0 + 0.5 * run, kappa0 + run
         self.ratio = (self.kappa + 1) / (self.alpha * self.kappa)
         self.gain = 0.5 * self.kappa / (self.kappa + 1)
+        self.freedom, self.power, self.kappa1 = 2 * self.alpha, self.alpha + 0.5, self.kappa + 1
         self.shape = np.array([math.lgamma(v + 0.5) - math.lgamma(v) for v in self.alpha]) - 0.5 * np.log(2 * self.alpha * np.pi)
 
     def update(self, x: float) -> tuple[float, int, bool]:
@@ -61,29 +66,81 @@ class RunLength:
 
     def likelihood(self, x: float) -> np.ndarray:
         """Predictive density of ``x`` for each run length."""
-        n = len(self.mu)
-        a = self.alpha[:n]
-        delta = x - self.mu
-        scale2 = np.maximum(self.beta * self.ratio[:n], 1e-20)
-        logp = self.shape[:n] - 0.5 * np.log(scale2) - (a + 0.5) * np.log1p(delta * delta / scale2 / (2 * a))
-        return np.exp(np.clip(logp, -700, 0))
+        return self._density(x, self.mu, self.beta)
+
+    def _density(self, x, mu: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        n = mu.shape[-1]
+        scale2 = beta * self.ratio[:n]
+        np.maximum(scale2, 1e-20, out=scale2)
+        d = x - mu
+        d *= d
+        d /= scale2
+        d /= self.freedom[:n]
+        np.log1p(d, out=d)
+        d *= self.power[:n]
+        np.subtract(self.shape[:n], d, out=d)
+        np.exp(d, out=d)
+        d /= np.sqrt(scale2, out=scale2)
+        return np.maximum(np.minimum(d, 1.0, out=d), LEAST, out=d)
+
+    def ahead(self, xs: np.ndarray) -> Iterator[np.ndarray]:
+        """Densities of row after row, each before the row is seen; once run lengths are full, of ``BATCH`` rows at once."""
+        at = 0
+        while at < len(xs):
+            if len(self.mu) <= self.max_run:
+                yield self.likelihood(xs[at])
+                self.see(xs[at])
+                at += 1
+                continue
+            batch = xs[at : at + BATCH]
+            mu, beta = np.empty((len(batch) + 1, len(self.mu))), np.empty((len(batch) + 1, len(self.mu)))
+            mu[0], beta[0] = self.mu, self.beta
+            for i, x in enumerate(batch.tolist()):
+                self._step(x, mu[i], beta[i], mu[i + 1], beta[i + 1])
+            yield from self._density(batch[:, None], mu[:-1], beta[:-1])
+            self.mu, self.beta = mu[-1].copy(), beta[-1].copy()
+            at += len(batch)
+
+    def updates(self, xs: np.ndarray) -> list[tuple[float, int, bool]]:
+        """``update`` for row after row."""
+        out, before = [], int(self.p.argmax())
+        for density in self.ahead(xs):
+            self.mix(density)
+            now = int(self.p.argmax())
+            out.append((float(self.p[0]), now, before - now > max(5, before * 0.5)))
+            before = now
+        return out
 
     def mix(self, likelihood: np.ndarray) -> None:
         """The posterior after a row; where nothing is likely it starts anew, uniform."""
         joint = self.p * likelihood
-        grown = np.concatenate([[joint.sum() * self.hazard], joint * (1 - self.hazard)])[: self.max_run + 1]
+        grown = np.empty(min(len(joint), self.max_run) + 1)
+        grown[0] = joint.sum() * self.hazard
+        np.multiply(joint[: len(grown) - 1], 1 - self.hazard, out=grown[1:])
         total = grown.sum()
-        self.p = grown / total if total > 1e-300 else np.full(len(grown), 1 / len(grown))
+        if total > 1e-300:
+            grown /= total
+        else:
+            grown[:] = 1 / len(grown)
+        self.p = grown
 
     def see(self, x: float) -> None:
         """The statistics of every run length after a row; they depend on the last ``max_run`` rows only."""
-        n = len(self.mu)
-        delta = x - self.mu
-        m0, _, _, b0 = self.prior
-        cut = self.max_run + 1
-        beta = np.maximum(self.beta + self.gain[:n] * (delta * delta), 1e-10)
-        mu = self.mu + delta / (self.kappa[:n] + 1)
-        self.mu, self.beta = np.concatenate([[m0], mu])[:cut], np.concatenate([[b0], beta])[:cut]
+        n = min(len(self.mu), self.max_run) + 1
+        mu, beta = np.empty(n), np.empty(n)
+        self._step(x, self.mu, self.beta, mu, beta)
+        self.mu, self.beta = mu, beta
+
+    def _step(self, x: float, mu: np.ndarray, beta: np.ndarray, new_mu: np.ndarray, new_beta: np.ndarray) -> None:
+        n = len(new_mu) - 1
+        old, new_mu[0], new_beta[0] = mu[:n], self.prior[0], self.prior[3]
+        delta = x - old
+        grown = np.divide(delta, self.kappa1[:n], out=new_mu[1:])
+        grown += old
+        delta *= delta
+        grown = np.multiply(self.gain[:n], delta, out=new_beta[1:])
+        grown += beta[:n]
+        np.maximum(grown, 1e-10, out=grown)
 
 
 class _ChangeSweep(Sweep):
@@ -91,7 +148,7 @@ class _ChangeSweep(Sweep):
         self.keep, self.col, self.state = list(keep), col, RunLength(**params)
 
     def push(self, rows):
-        got = zip(*[self.state.update(float(x)) for x in rows[self.col]])
+        got = zip(*self.state.updates(np.asarray(rows[self.col], dtype=float)))
         return {**{c: rows[c] for c in self.keep}, **dict(zip(("cp_prob", "run_length", "changepoint"), got))}
 
 
@@ -109,12 +166,11 @@ class _Fold(Sweep):
         self.now = None
 
     def push(self, rows):
-        s = self.state
-        halo = rows["_home"] != rows["_rb"]
-        for at, (x, before) in enumerate(zip(rows[self.col].astype(float), halo)):
-            if not before:
-                self._apply(s.likelihood(x), at)
-            s.see(x)
+        xs, halo = rows[self.col].astype(float), int((rows["_home"] != rows["_rb"]).sum())
+        for x in xs[:halo]:  # they come first
+            self.state.see(x)
+        for at, density in enumerate(self.state.ahead(xs[halo:]), halo):
+            self._apply(density, at)
         return None
 
     def _apply(self, density: np.ndarray, at: int) -> None:
@@ -179,15 +235,14 @@ class _Replay(Sweep):
         self.keep, self.col, self.state = list(keep), col, RunLength(**params)
 
     def push(self, rows):
-        home, got = [], []
-        for i, (seq, x) in enumerate(zip(rows["_seq"], rows[self.col].astype(float))):
-            if seq < 0:
-                self.state.p = np.asarray(rows["entering"][i], dtype=float)
-            elif rows["_home"][i] == rows["_rb"][i]:
-                home.append(i)
-                got.append(self.state.update(x))
-            else:
-                self.state.see(x)
+        # the entering vector, then the rows of the halo, then the block's own
+        xs, own = rows[self.col].astype(float), (rows["_home"] == rows["_rb"]) & (rows["_seq"] >= 0)
+        if rows["_seq"][0] < 0:
+            self.state.p = np.asarray(rows["entering"][0], dtype=float)
+        for x in xs[~own & (rows["_seq"] >= 0)]:
+            self.state.see(x)
+        home = np.flatnonzero(own)
+        got = self.state.updates(xs[home])
         if not got:
             return None
         return {**{c: rows[c][home] for c in self.keep}, **dict(zip(("cp_prob", "run_length", "changepoint"), zip(*got)))}

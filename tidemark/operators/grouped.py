@@ -28,6 +28,15 @@ class Sweep:
         return None
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by key in a given number of partitions, for work that takes longer than its bytes tell.
+
+    Adaptive execution would merge partitions by their bytes and leave cores idle; it keeps a number that is asked for.
+    """
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], Sweep], schema: str | T.StructType) -> DataFrame:
     """Stream each key in order through a fresh ``Sweep``; key columns are added to its output."""
     keys = list(keys)
@@ -71,5 +80,5 @@ def sequential(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: C
                 size = len(next(iter(last.values())))
                 yield pd.DataFrame({**last, **{k: [v] * size for k, v in zip(keys, current)}})
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = dealt(df, keys).sortWithinPartitions(*keys, *order)
     return ordered.mapInPandas(run, schema)

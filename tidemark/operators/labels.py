@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .grouped import dealt
 from .windows import ROWS, full, log_return, mean_expanding, rolling, rolling_return, std_population, volume_ratio, with_key_rows
 
 
@@ -221,7 +222,7 @@ def score_splits(roles: DataFrame, keys: Sequence[str], features: Sequence[str],
             hit = float(((p >= 0.5).astype(int) == test[label].to_numpy(int)).mean())
         return pd.DataFrame([(*key, len(test), hit)], columns=schema.names)
 
-    return src.groupBy(*keys, "split").applyInPandas(fit, schema)
+    return dealt(src, [*keys, "split"]).groupBy(*keys, "split").applyInPandas(fit, schema)
 
 
 def forest_votes(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:

@@ -63,3 +63,30 @@ def test_blocks_equal_one_pass(spark, rows):
         assert [r["regime"] for r in mine] == names.tolist()
         assert np.abs(np.array([r["confidence"] for r in mine]) - sure).max() < 1e-6
     assert {(r["regime"], r["confidence"]) for r in got if r["k"] == "short"} == {("UNKNOWN", 0.0)}
+
+
+@pytest.mark.parametrize("n, first", [(1, True), (2, False), (17, True), (100, False)])
+def test_a_block_against_row_by_row(n, first):
+    rng = np.random.default_rng(n)
+    x, params = rng.normal(size=(n, 2)), hd.Params.first(np.array([[0, -1.0], [0, 0], [0, 1.0]]), 4)
+    params.var = rng.uniform(0.1, 2, params.var.shape)
+    entering, leaving = rng.dirichlet(np.ones(3), 4), rng.dirichlet(np.ones(3), 4)
+    block = hd.Block(x.ravel(), params, first)
+    gamma, xi = block.posterior(entering, leaving)
+    rows, sums = block.by_row(gamma), block.sums(gamma)
+    for s in range(4):
+        b = np.exp(-0.5 * ((x[:, None] - params.mean[s]) ** 2 / params.var[s] + np.log(2 * np.pi * params.var[s])).sum(2))
+        ops = params.trans[s] * b[:, None]
+        if first:
+            ops[0] = np.diag(b[0])
+        heads, tails = [entering[s]], [leaving[s]]
+        for op in ops:
+            heads.append(heads[-1] @ op)
+        for op in ops[::-1]:
+            tails.append(op @ tails[-1])
+        tails = tails[::-1]
+        want = np.array(heads[1:]) * np.array(tails[1:])
+        want /= want.sum(1, keepdims=True)
+        pairs = [h[:, None] * op * t for h, op, t in zip(heads, ops, tails[1:])]
+        assert np.allclose(rows[:, s], want) and np.allclose(xi[s], sum(p / p.sum() for p in pairs[int(first) :]) if n > first else 0)
+        assert np.allclose(sums[s], want.T @ np.concatenate([np.ones((n, 1)), x, x * x], axis=1))

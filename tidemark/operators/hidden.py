@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpointed, stored
 from .blocks import RowBlocks, with_seq
-from .grouped import Sweep, sequential
+from .grouped import Sweep, dealt, sequential
 
 #: Rows of a block: 16 KB for each 1,000 rows.
 ROWS = 16_384
@@ -73,32 +73,59 @@ class Params:
 
 
 class Block:
-    """A block's rows under the parameters of all starts, in pieces side by side."""
+    """A block's rows under the parameters of all starts, in pieces side by side.
+
+    Arrays end with (states, starts, pieces), so that a step works on long runs of numbers; the last piece may be short.
+    """
 
     def __init__(self, flat, params: Params, first: bool):
         x = np.asarray(flat, dtype=float).reshape(-1, DIMS)
         self.x, self.params, self.first, n = x, params, first, len(x)
-        logb = -0.5 * ((x[:, None, None, :] - params.mean) ** 2 / params.var + np.log(2 * np.pi * params.var)).sum(3)
+        self.trans = np.ascontiguousarray(params.trans.transpose(1, 2, 0))[..., None]
+        starts, k = params.start.shape
+        # the log density is a square form of the row
+        self.powers = np.concatenate([np.ones((n, 1)), x, x * x], axis=1)
+        const = -0.5 * (params.mean**2 / params.var + np.log(2 * np.pi * params.var)).sum(2)
+        form = np.concatenate([const[None], (params.mean / params.var).transpose(2, 0, 1), (-0.5 / params.var).transpose(2, 0, 1)])
+        logb = (self.powers @ form.reshape(len(form), -1)).reshape(n, starts, k)
         peak = logb.max(2, keepdims=True)
-        self.peak, b = peak.sum(axis=(0, 2)), np.exp(logb - peak)
-        ops = params.trans[None] * b[:, :, None, :]
-        k = ops.shape[-1]
-        if first:  # the key's first row has no transition before it
-            ops[0] = np.eye(k) * b[0][:, None, :]
+        self.peak = peak.sum(axis=(0, 2))
         self.steps = max(1, int(np.ceil(np.sqrt(n))))
-        pieces = -(-n // self.steps)
-        padded = np.broadcast_to(np.eye(k), (pieces * self.steps, *ops.shape[1:])).copy()
-        padded[:n] = ops
-        self.ops = padded.reshape(pieces, self.steps, *ops.shape[1:])
+        self.pieces = -(-n // self.steps)
+        logb -= peak
+        self.b = self._dealt(np.exp(logb, out=logb))
+
+    def _dealt(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, starts, states) as (steps, states, starts, pieces)."""
+        padded = np.zeros((self.pieces * self.steps, *rows.shape[1:]))
+        padded[: len(rows)] = rows
+        return np.ascontiguousarray(padded.reshape(self.pieces, self.steps, *rows.shape[1:]).transpose(1, 3, 2, 0))
+
+    def _live(self, t: int) -> int:
+        """Pieces that have a row at step ``t``."""
+        return self.pieces - (len(self.x) <= (self.pieces - 1) * self.steps + t)
+
+    def _moved(self, v: np.ndarray, t: int) -> np.ndarray:
+        """Vectors (states, starts, pieces) or matrices (from, states, starts, pieces) after the rows of step ``t``."""
+        out = (v[..., :, None, :, :] * self.trans).sum(-4)
+        if t == 0 and self.first:  # the key's first row has no transition before it
+            out[..., 0] = v[..., 0]
+        out *= self.b[t][..., : v.shape[-1]]
+        return out
 
     def products(self) -> tuple[np.ndarray, np.ndarray]:
         """(products, log scales) of the pieces."""
-        now, log = self.ops[:, 0].copy(), 0.0
-        for t in range(1, self.steps):
-            now = now @ self.ops[:, t]
-            size = now.sum(axis=(2, 3), keepdims=True)
-            now, log = now / size, log + np.log(size[:, :, 0, 0])
-        return now, log + np.zeros(now.shape[:2])
+        k, starts = self.b.shape[1:3]
+        now, log = np.zeros((k, k, starts, self.pieces)), np.zeros((starts, self.pieces))
+        now[np.arange(k), np.arange(k)] = 1.0
+        for t in range(self.steps):
+            m = self._live(t)
+            new = self._moved(now[..., :m], t)
+            size = new.sum(axis=(0, 1))
+            new /= size
+            now[..., :m] = new
+            log[:, :m] += np.log(size)
+        return now.transpose(3, 2, 0, 1), log.T
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """The block's product and its log scale."""
@@ -111,7 +138,7 @@ class Block:
         return now, log + self.peak
 
     def posterior(self, entering: np.ndarray, leaving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state probabilities of each row, expected transitions summed) given the vectors around the block."""
+        """(state probabilities (steps, states, starts, pieces), expected transitions summed) given the vectors around the block."""
         pieces, _ = self.products()
         heads, tails = [entering], [leaving]
         for p in pieces[:-1]:
@@ -120,25 +147,41 @@ class Block:
         for p in pieces[:0:-1]:
             v = np.einsum("sij,sj->si", p, tails[-1])
             tails.append(v / v.sum(1, keepdims=True))
-        alpha, beta = np.array(heads), np.array(tails[::-1])
-        forward, backward = [], [beta]
+        alpha, beta = (np.ascontiguousarray(np.array(a).transpose(2, 1, 0)) for a in (heads, tails[::-1]))
+        forward = np.empty((self.steps + 1, *alpha.shape))
+        forward[0] = alpha
         for t in range(self.steps):
-            forward.append(alpha)
-            alpha = (alpha[:, :, None, :] @ self.ops[:, t])[:, :, 0]
-            alpha = alpha / alpha.sum(2, keepdims=True)
-        forward.append(alpha)
-        for t in range(self.steps - 1, 0, -1):
-            beta = (self.ops[:, t] @ beta[:, :, :, None])[..., 0]
-            beta = beta / beta.sum(2, keepdims=True)
-            backward.append(beta)
-        before, after, behind = np.stack(forward[:-1], 1), np.stack(forward[1:], 1), np.stack(backward[::-1], 1)
-        n = len(self.x)
-        before, after, behind, ops = (a.reshape(-1, *a.shape[2:])[:n] for a in (before, after, behind, self.ops))
-        gamma = after * behind
-        gamma /= gamma.sum(2, keepdims=True)
-        xi = before[..., None] * ops * behind[:, :, None, :]
-        xi /= xi.sum(axis=(2, 3), keepdims=True)
-        return gamma, xi[1:].sum(0) if self.first else xi.sum(0)
+            m = self._live(t)
+            new = self._moved(forward[t][..., :m], t)
+            new /= new.sum(0)
+            forward[t + 1] = forward[t]
+            forward[t + 1][..., :m] = new
+        gamma, xi = np.zeros_like(self.b), np.zeros((*self.trans.shape[:2], alpha.shape[1]))
+        for t in range(self.steps - 1, -1, -1):
+            m = self._live(t)
+            after, behind = forward[t + 1][..., :m], beta[..., :m]
+            both = after * behind
+            both /= both.sum(0)
+            gamma[t][..., :m] = both
+            fed = self.b[t][..., :m] * behind
+            before = (self.trans * fed).sum(1)
+            pairs = forward[t][:, None, :, :m] * (fed / (forward[t][..., :m] * before).sum(0))
+            # the key's first row comes from nowhere
+            xi += pairs[..., 1:].sum(-1) if t == 0 and self.first else pairs.sum(-1)
+            before /= before.sum(0)
+            beta[..., :m] = before
+        return gamma, (xi * self.trans[..., 0]).transpose(2, 0, 1)
+
+    def sums(self, gamma: np.ndarray) -> np.ndarray:
+        """(starts, states, 1 + 2 * DIMS): probabilities of the states summed with 1, the values and their squares."""
+        steps, k, starts, pieces = gamma.shape
+        powers = self._dealt(self.powers[:, None, :])[:, :, 0].transpose(0, 2, 1)
+        total = (gamma.reshape(steps, k * starts, pieces) @ powers).sum(0)
+        return total.reshape(k, starts, -1).transpose(1, 0, 2)
+
+    def by_row(self, gamma: np.ndarray) -> np.ndarray:
+        """State probabilities as (rows, starts, states)."""
+        return gamma.transpose(3, 0, 2, 1).reshape(-1, gamma.shape[2], gamma.shape[1])[: len(self.x)]
 
 
 def _key_columns(pdf: pd.DataFrame, keys: Sequence[str], i: int) -> tuple:
@@ -205,13 +248,14 @@ class Fit:
 
         ops = fed.select(*keys, "_b", "x", "cur").mapInPandas(operators, _field(self.blocks, [*keys, "_b"], "op array<double>, log array<double>, cur array<double>"))
         schema = T.StructType([*_field(self.blocks, ["_b"], "entering array<double>, leaving array<double>, score array<double>").fields, *[self.blocks.schema[c] for c in keys]])
-        return fed.join(sequential(ops, keys, ["_b"], lambda: _Around(k), schema), [*keys, "_b"])
+        around = sequential(ops, keys, ["_b"], lambda: _Around(k), schema)
+        return dealt(fed, [*keys, "_b"]).join(dealt(around, [*keys, "_b"]), [*keys, "_b"])
 
     def round(self, params: DataFrame) -> DataFrame:
         """One round: (keys, cur, used, last, done); ``used`` are the parameters of the last posterior, finished starts stay."""
         keys, k = self.keys, self.k
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[tuple, list] = {}
 
             def out() -> pd.DataFrame:
@@ -224,9 +268,9 @@ class Fit:
                     first = pdf["_b"].iat[i] == 0
                     block = Block(pdf["x"].iat[i], Params.of(pdf["cur"].iat[i], k), first)
                     gamma, xi = block.posterior(*(np.asarray(pdf[c].iat[i], dtype=float).reshape(-1, k) for c in ("entering", "leaving")))
-                    x, n = block.x, gamma.shape[1]
-                    parts = (gamma[0] * first, xi, np.einsum("tsk,td->skd", gamma, x), np.einsum("tsk,td->skd", gamma, x * x), gamma.sum(0), np.asarray(pdf["score"].iat[i], dtype=float))
-                    total = np.concatenate([np.reshape(p, (n, -1)) for p in parts], axis=1)
+                    sums = block.sums(gamma)
+                    parts = (gamma[0, :, :, 0].T * first, xi, sums[:, :, 1 : 1 + DIMS], sums[:, :, 1 + DIMS :], sums[:, :, 0], np.asarray(pdf["score"].iat[i], dtype=float))
+                    total = np.concatenate([np.reshape(p, (len(sums), -1)) for p in parts], axis=1)
                     key = _key_columns(pdf, keys, i)
                     if key in held:
                         held[key][0] = held[key][0] + total
@@ -252,7 +296,7 @@ class Fit:
             return _frame([(*_key_columns(pdf, keys, 0), cur.ravel(), used.ravel(), score, ended.astype(float))], [*keys, "cur", "used", "last", "done"])
 
         ddl = "cur array<double>, used array<double>, last array<double>, done array<double>"
-        partial = self.around(params).mapInPandas(sums, _field(self.blocks, keys, "total array<double>, " + ddl))
+        partial = self.around(params).mapInPandas(counts, _field(self.blocks, keys, "total array<double>, " + ddl))
         return partial.groupBy(*keys).applyInPandas(improve, _field(self.blocks, keys, ddl))
 
     def states(self, best: DataFrame) -> DataFrame:
@@ -264,7 +308,7 @@ class Fit:
                 for i in range(len(pdf)):
                     block = Block(pdf["x"].iat[i], Params.of(pdf["cur"].iat[i], k), pdf["_b"].iat[i] == 0)
                     gamma, _ = block.posterior(*(np.asarray(pdf[c].iat[i], dtype=float).reshape(-1, k) for c in ("entering", "leaving")))
-                    gamma = gamma[:, 0]
+                    gamma = block.by_row(gamma)[:, 0]
                     out = {key: [v] * len(gamma) for key, v in zip(keys, _key_columns(pdf, keys, i))}
                     names = np.asarray(pdf["names"].iat[i])[gamma.argmax(1)]
                     yield pd.DataFrame({**out, "_seq": pdf["_first"].iat[i] + np.arange(len(gamma)), "regime": names, "confidence": gamma.max(1)})
@@ -305,7 +349,7 @@ def hidden_regimes(
     params = stored(start.mapInPandas(first, _field(src, keys, "cur array<double>, used array<double>, last array<double>, done array<double>")), "regimes")
     number = F.floor((F.col("_seq") - 1) / rows).cast("long").alias("_b")
     packed = scaled.groupBy(*keys, number).agg(F.array_sort(F.collect_list(F.struct("_seq", "_x0", "_x1"))).alias("p"))
-    blocks = stored(packed.select(*keys, "_b", F.col("p")[0]["_seq"].alias("_first"), F.flatten(F.transform("p", lambda s: F.array(s["_x0"], s["_x1"]))).alias("x")), "regimes")
+    blocks = stored(dealt(packed, [*keys, "_b"]).select(*keys, "_b", F.col("p")[0]["_seq"].alias("_first"), F.flatten(F.transform("p", lambda s: F.array(s["_x0"], s["_x1"]))).alias("x")), "regimes")
     fit = Fit(blocks, keys, k)
     open_ = F.exists("done", lambda d: d == 0)
     finished = []

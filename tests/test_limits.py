@@ -14,6 +14,8 @@ from tidemark.operators import recurrences as rec
 from tidemark.operators import regime as reg
 from tidemark.operators import relational as rel
 from tidemark.operators.grouped import Sweep, sequential
+from tidemark.plans import join_plans
+from tidemark.plans.registry import Tables
 
 
 def test_lineage_of_a_long_chain(spark):
@@ -177,3 +179,10 @@ def test_python_work_keeps_its_partitions(spark):
         assert len({r["p"] for r in got.collect()}) > 4 and got.rdd.getNumPartitions() == 11
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_pairs_are_told_apart_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(join_plans, "PAIRS", 500)
+    t = Tables(spark, sf_dir)
+    dealt = join_plans._uses(t, "l_partkey", "l_orderkey")
+    assert dealt.rdd.getNumPartitions() == t.lineitem.count() // 500 + 1

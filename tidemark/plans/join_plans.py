@@ -83,6 +83,17 @@ def _edges(t):
     return t.lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 
+#: Rows whose pairs one task tells apart.
+PAIRS = 1_000_000
+
+
+def _uses(t, key, *others):
+    """Columns of lineitem dealt by ``key`` before pairs are told apart: nearly all pairs differ, so counting them first
+    where they are read would only hold them in memory. The number of tasks follows from the rows."""
+    rows = t.lineitem.select(key, *others)
+    return rows.repartition(max(t.spark.sparkContext.defaultParallelism, rows.count() // PAIRS + 1), key)
+
+
 @query(
     "join_06_strategy_formulas",
     """SELECT s_suppkey AS strategy_id, s_name AS name, p_name AS formula, max(n_name) AS source_paper, count(DISTINCT l_partkey) AS uses
@@ -90,15 +101,11 @@ def _edges(t):
 )
 def _(t):
     """One row per distinct formula of a strategy (kept long: a hot strategy's list never forms one row)."""
-    uses = t.lineitem.select("l_suppkey", "l_partkey").distinct()
-    j = (
-        t.supplier.join(uses, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-        .join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
-        .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    )
-    return j.groupBy(F.col("s_suppkey").alias("strategy_id"), F.col("s_name").alias("name"), F.col("p_name").alias("formula")).agg(
-        F.max("n_name").alias("source_paper"), F.count("l_partkey").alias("uses")
-    )
+    uses = _uses(t, "l_partkey", "l_suppkey").distinct().join(t.part.select("p_partkey", "p_name").distinct(), F.col("l_partkey") == F.col("p_partkey"), "left")
+    named = uses.groupBy("l_suppkey", F.col("p_name").alias("formula")).agg(F.count("l_partkey").alias("uses"))
+    origin = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("s_suppkey", "s_name").agg(F.max("n_name").alias("source_paper"))
+    j = origin.join(named, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return j.select(F.col("s_suppkey").alias("strategy_id"), F.col("s_name").alias("name"), "formula", "source_paper", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 @query(
@@ -106,8 +113,9 @@ def _(t):
     """SELECT p_partkey AS formula_id, count(DISTINCT l_orderkey) AS papers, count(DISTINCT l_suppkey) AS strategies FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1""",
 )
 def _(t):
-    j = t.part.select("p_partkey").join(t.lineitem.select("l_partkey", "l_orderkey", "l_suppkey"), F.col("p_partkey") == F.col("l_partkey"), "left")
-    return j.groupBy(F.col("p_partkey").alias("formula_id")).agg(F.countDistinct("l_orderkey").alias("papers"), F.countDistinct("l_suppkey").alias("strategies"))
+    uses = _uses(t, "l_partkey", "l_orderkey", "l_suppkey").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("papers"), F.countDistinct("l_suppkey").alias("strategies"))
+    j = t.part.select("p_partkey").distinct().join(uses, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return j.select(F.col("p_partkey").alias("formula_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("papers", "strategies")])
 
 
 @query(

@@ -67,3 +67,30 @@ def test_a_slot_must_divide_a_day(spark, tmp_path):
     (tmp_path / "src").mkdir()
     with pytest.raises(ValueError):
         daily.daily_loss_latch(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "src")), ["k"], "ts", "id", "r", "u", 1.0, slot="7 hours")
+
+
+def test_rows_come_out_in_pieces(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    n, latch = 60_000, daily.DailyLatch(["k"], "id", "bigint", daily.micros("1 day"), 10.0, 0.5)
+
+    class Held:
+        def __init__(self, rows):
+            self.rows = rows
+
+        exists = lambda self: True
+        get = lambda self: self.rows
+        clear = update = lambda self, *a: None
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 86_400_000)
+
+    latch.waiting, latch.today = Held((n - i, i // 2, 1.0, 0.0) for i in range(n)), Held((0, 0, 0.0, 0.0, False, False))
+    tracemalloc.start()
+    sizes, ids = [], []
+    for pdf in latch.handleExpiredTimer(("a",), Now, None):
+        sizes.append(len(pdf))
+        ids += pdf["id"].tolist()[:2]
+    assert sum(sizes) == n + 1 and max(sizes) <= 10_000 and ids[:2] == [n - 1, n]
+    assert tracemalloc.get_traced_memory()[1] < n * 250  # tuples: over 600 bytes a row
+    tracemalloc.stop()

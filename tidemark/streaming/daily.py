@@ -10,8 +10,11 @@ key's waiting rows are those of one slot and the watermark's delay.
 
 from __future__ import annotations
 
+import itertools
+from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +25,25 @@ from ..operators.blocks import micros
 from .stateful import STATE_STORE
 
 DAY_US = micros("1 day")
+#: Rows that come out at once.
+PIECE = 10_000
 WAITING = "us long, realized double, unrealized double"
 TODAY = "day long, n long, total double, lowest double, warned boolean, limited boolean"
 OUT = "kind string, us long, day long, n long, total_today double, lowest double, warned boolean, limited boolean"
 
 
+def _in_order(us: array, ids: list) -> Iterator[int]:
+    """Places of rows by time, ties by id."""
+    times = np.asarray(us)
+    order = np.argsort(times, kind="stable")
+    borders = np.flatnonzero(np.diff(times[order])) + 1
+    first = 0
+    for end in itertools.chain(map(int, borders), [len(order)]):
+        places = order[first:end].tolist()
+        yield from sorted(places, key=ids.__getitem__) if end - first > 1 else places
+        first = end
+
+
 class DailyLatch(StatefulProcessor):
     def __init__(self, keys: Sequence[str], row_id: str, id_type: str, slot: int, limit: float, warning: float):
         self.keys, self.row_id, self.id_type = list(keys), row_id, id_type
@@ -54,25 +71,36 @@ class DailyLatch(StatefulProcessor):
         # rows of all slots that the watermark has passed are settled at once
         now = timerValues.getCurrentWatermarkInMs() * 1000
         upto = now // self.slot * self.slot
-        settled, later = [], []
+        # numbers wait in arrays, and rows come out in pieces: a row as a tuple takes many times its bytes
+        ids, us, realized, unrealized, later = [], array("q"), array("d"), array("d"), []
         if self.waiting.exists():
             for row in self.waiting.get():
-                (settled if row[1] < upto else later).append(tuple(row))
+                if row[1] < upto:
+                    for held, value in zip((ids, us, realized, unrealized), row):
+                        held.append(value)
+                else:
+                    later.append(tuple(row))
         today = tuple(self.today.get()) if self.today.exists() else None
         out: list[tuple] = []
-        for row in sorted(settled, key=lambda r: (r[1], r[0])):
-            if today is not None and row[1] // DAY_US != today[0]:
+        for i in _in_order(us, ids):
+            if today is not None and us[i] // DAY_US != today[0]:
                 out.append(self._closed(today))
                 today = None
-            today = self._apply(row, today, out)
+            today = self._apply((ids[i], us[i], realized[i], unrealized[i]), today, out)
+            if len(out) >= PIECE:
+                yield self._frame(key, out)
+                out = []
         if today is not None and (today[0] + 1) * DAY_US <= now:
             out.append(self._closed(today))
             today = None
-        self._keep(settled, later, today)
+        self._keep(len(ids) > 0, later, today)
         if out:
-            ids, *rest = zip(*out)
-            names = [f.split()[0] for f in OUT.split(", ")]
-            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key)}, self.row_id: pd.Series(ids, dtype=object), **dict(zip(names, rest))})
+            yield self._frame(key, out)
+
+    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        ids, *rest = zip(*out)
+        names = [f.split()[0] for f in OUT.split(", ")]
+        return pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key)}, self.row_id: pd.Series(ids, dtype=object), **dict(zip(names, rest))})
 
     def _apply(self, row: tuple, today: tuple | None, out: list) -> tuple:
         row_id, us, realized, unrealized = row
@@ -88,7 +116,7 @@ class DailyLatch(StatefulProcessor):
         day, n, total, lowest, warned, limited = today
         return None, "reset", (day + 1) * DAY_US, day, n, total, lowest, warned, limited
 
-    def _keep(self, settled: list, later: list, today: tuple | None) -> None:
+    def _keep(self, settled: bool, later: list, today: tuple | None) -> None:
         if settled and later:
             self.waiting.put(later)
         elif settled:

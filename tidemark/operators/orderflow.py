@@ -12,7 +12,7 @@ from .blocks import running, settle, spread
 from .relational import band
 from .scan import affine_scan
 from .timeseries import sample_by
-from .windows import ROWS, rolling
+from .windows import ROWS, mean_by_panes, rolling
 
 BUY, SELL, UNKNOWN = "BUY", "SELL", "UNKNOWN"
 #: Cumulative volumes: 24 digits before the point, 12 after.
@@ -79,7 +79,10 @@ def vpin(buckets: DataFrame, keys: Sequence[str], n_buckets: int = 50, rows: int
 
 
 def flow_state(df, keys, order, block, bid="bid", ask="ask", bid_size="bid_size", ask_size="ask_size", price="price", volume="volume", n: int = 20, viscosity: float = 0.1, rows: int = ROWS) -> DataFrame:
-    """Pressure, flow rate, resistance, turbulence and their Reynolds-like regime."""
+    """Pressure, flow rate, resistance, turbulence and their Reynolds-like regime.
+
+    Pressures are summed in a stated order, as a regime's border can be met exactly; whole-number volumes need none.
+    """
     size = F.col(bid_size) + F.col(ask_size)
     mid = (F.col(bid) + F.col(ask)) / 2
     src = df.withColumns(
@@ -92,10 +95,10 @@ def flow_state(df, keys, order, block, bid="bid", ask="ask", bid_size="bid_size"
     def build(d, w):
         f, fr = w.rowsBetween(-(n - 1), 0), w.rowsBetween(-(n - 2), 0)
         d = d.withColumn("_r", F.col(price) / F.nullif(F.lag(price).over(w), F.lit(0.0)) - 1)
+        d = mean_by_panes(d, w, "_imb", n, "pressure", F.col("seq"))
         mean_v = F.avg(volume).over(f)
         return d.withColumns(
             {
-                "pressure": F.avg("_imb").over(f),
                 "flow_rate": F.when(mean_v > 0, F.col(volume) / mean_v).otherwise(1.0),
                 "turbulence": F.coalesce(F.stddev_pop("_r").over(fr), F.lit(0.0)),
             }

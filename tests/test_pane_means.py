@@ -65,3 +65,9 @@ def test_flow_state_on_its_borders(spark, tmp_path):
     # a volume of 65 in a frame of 1,040 lies exactly on the border 0.5, one of 45 in a frame of 1,200 on 1.5
     events(tmp_path, 6000, [15, 20, 45, 65, 70, 90], 3)
     assert same_as_sql(spark, tmp_path, "of_06_flow_state") is None
+
+
+def test_vpin_on_its_borders(spark, tmp_path):
+    # buckets are out of balance by whole tenths, so means of 50 meet 0.3 and 0.7 exactly
+    events(tmp_path, 8000, [100, 200, 300, 400], 5)
+    assert same_as_sql(spark, tmp_path, "of_05_vpin") is None

@@ -69,13 +69,16 @@ def volume_buckets(df, keys, order, volume: str, side: str, block, bucket_size:
 
 
 def vpin(buckets: DataFrame, keys: Sequence[str], n_buckets: int = 50, rows: int = ROWS) -> DataFrame:
-    """Mean |buy - sell| / (buy + sell) of the last n complete buckets (0 before), with its level."""
+    """Mean |buy - sell| / (buy + sell) of the last n complete buckets (0 before), with its level.
+
+    Summed in a stated order, as a level's border can be met exactly; a key's buckets are numbered from 0 without gaps.
+    """
     total = F.col("buy") + F.col("sell")
     done = buckets.where("complete").withColumn("oi", F.when(total > 0, F.abs(F.col("buy") - F.col("sell")) / total).otherwise(0.0))
     h, w = spread(done, keys, "bucket", rows, back=n_buckets - 1)
-    f = w.rowsBetween(-(n_buckets - 1), 0)
-    v = F.when(F.count("*").over(f) >= n_buckets, F.avg("oi").over(f)).otherwise(0.0)
-    return settle(h.withColumn("vpin", v)).withColumn("toxicity", band(F.col("vpin"), 0.3, 0.7))
+    h = mean_by_panes(h, w, "oi", n_buckets, "_mean", F.col("bucket") + 1)
+    v = F.when(F.count("*").over(w.rowsBetween(-(n_buckets - 1), 0)) >= n_buckets, F.col("_mean")).otherwise(0.0)
+    return settle(h.withColumn("vpin", v).drop("_mean")).withColumn("toxicity", band(F.col("vpin"), 0.3, 0.7))
 
 
 def flow_state(df, keys, order, block, bid="bid", ask="ask", bid_size="bid_size", ask_size="ask_size", price="price", volume="volume", n: int = 20, viscosity: float = 0.1, rows: int = ROWS) -> DataFrame:

@@ -90,3 +90,19 @@ def test_a_block_against_row_by_row(n, first):
         pairs = [h[:, None] * op * t for h, op, t in zip(heads, ops, tails[1:])]
         assert np.allclose(rows[:, s], want) and np.allclose(xi[s], sum(p / p.sum() for p in pairs[int(first) :]) if n > first else 0)
         assert np.allclose(sums[s], want.T @ np.concatenate([np.ones((n, 1)), x, x * x], axis=1))
+
+
+@pytest.mark.parametrize("halo, ways", [(512, 1), (8, 5)])
+def test_rows_around_a_block_stand_for_its_key(spark, monkeypatch, halo, ways):
+    """Vectors around blocks are gathered by key for the last posterior only, unless the rows around a block are too few."""
+    monkeypatch.setattr(hd, "HALO", halo)
+    data, asked, around = {"a": series(5, 1500), "b": series(6, 830)}, [], hd.Fit.around  # the last block of b has 30 rows
+    monkeypatch.setattr(hd.Fit, "around", lambda self, params: asked.append(1) or around(self, params))
+    df = spark.createDataFrame([(k, t, *x) for k, xs in data.items() for t, x in enumerate(xs)], "k string, t long, r double, v double")
+    got = hd.hidden_regimes(df, ["k"], ["t"], "r", "v", ["t"], 1000, inits=2, iters=4, rows=400).orderBy("k", "t").collect()
+    assert len(asked) == ways
+    for key, xs in data.items():
+        names, sure = plain(xs, 3, 2, 4)
+        mine = [r for r in got if r["k"] == key]
+        assert [r["regime"] for r in mine] == names.tolist()
+        assert np.abs(np.array([r["confidence"] for r in mine]) - sure).max() < 1e-6

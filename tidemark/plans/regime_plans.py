@@ -41,8 +41,8 @@ def _(t):
 
 @query("reg_02_hidden_regimes")
 def _(t):
-    r = checkpointed(_ret(t))
-    r = win.rolling(r, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS)
+    r = checkpointed(win.log_return(t.ticks.select("symbol", *ORD, "price"), ["symbol"], ORD, "price", BLOCKS, "ret", first=0.0))
+    r = win.rolling(r, ["symbol"], ORD, BLOCKS, 19, lambda d, w: d.withColumn("vol", win.std_population(w, "ret", 20)), rows=ROWS, keep_seq=True)
     out = reg.hidden_regimes(r, ["symbol"], ORD, "ret", "vol", ["event_id"], BLOCKS)
     return out.select("symbol", "event_id", "regime", rounded("confidence", 4).alias("confidence"))
 

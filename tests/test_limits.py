@@ -89,6 +89,24 @@ def test_every_split_is_scored(spark):
     assert min(r["accuracy"] for r in got) > 0.75
 
 
+@pytest.mark.parametrize("together", [1, 4, 32])
+def test_splits_that_share_a_group(spark, together):
+    rng = np.random.default_rng(9)
+    rows = [(k, i, n, float(rng.normal()), float(rng.normal()) if i % 37 else None, int(rng.random() < 0.4)) for k, n in (("a", 523), ("b", 331), ("c", 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, pos long, n long, f double, g double, y int").repartition(3)
+    want = labels.score_splits(labels.split_roles(df, "pos", "n", purge=10), ["symbol"], ["f", "g"], "y", "pos", trees=12).collect()
+    got = labels.score_walk_forward(df, ["symbol"], "pos", "n", ["f", "g"], "y", purge=10, trees=12, together=together)
+    assert sorted(got.collect()) == sorted(want) and len(want) == 17
+    assert got.schema == labels.score_splits(labels.split_roles(df, "pos", "n"), ["symbol"], ["f"], "y", "pos").schema
+
+
+def test_rows_are_not_copied_for_every_split(spark):
+    df = spark.range(20_000).selectExpr("id AS pos", "20000L AS n")
+    groups = labels.split_groups(df, "pos", "n", 320, 21, F.lit((20_000 - 258) // 21), 32)
+    assert 20_000 <= groups.count() < 1.6 * 20_000  # a row for each of its splits: 15 times
+    assert groups.groupBy("_group").count().agg(F.max("count")).first()[0] == 31 * 21 + 320
+
+
 def plain_forest(x, y, at, trees, depth, seed):
     """Node by node, with the draws of a level in the order of its nodes."""
     rng, n, d = np.random.default_rng(seed), *x.shape

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -216,72 +217,148 @@ def score_splits(roles: DataFrame, keys: Sequence[str], features: Sequence[str],
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order], kind="stable")
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        hit = None
-        if len(train) and len(test):
-            p = forest_votes(train[features].to_numpy(float), train[label].to_numpy(int), test[features].to_numpy(float), trees, depth, seed)
-            hit = float(((p >= 0.5).astype(int) == test[label].to_numpy(int)).mean())
-        return pd.DataFrame([(*key, len(test), hit)], columns=schema.names)
+        x, y = (p[features].to_numpy(float) for p in (train, test)), (p[label].to_numpy(int) for p in (train, test))
+        return pd.DataFrame([(*key, len(test), _accuracy(*x, *y, trees, depth, seed))], columns=schema.names)
 
     return dealt(src, [*keys, "split"]).groupBy(*keys, "split").applyInPandas(fit, schema)
 
 
+def _accuracy(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, trees: int, depth: int, seed: int) -> float | None:
+    """Share of the test rows ``at`` whose class ``there`` a forest fitted to ``x`` and ``y`` tells."""
+    if not len(x) or not len(at):
+        return None
+    return float(((forest_votes(x, y, at, trees, depth, seed) >= 0.5).astype(int) == there).mean())
+
+
+def split_groups(df: DataFrame, seq: str, n: str, span: int, step: int, last: Column, together: int) -> DataFrame:
+    """Every row once per ``_group`` it reaches into: group g has the rows of the splits g * together and on, ``span`` rows each."""
+    s, wide = F.col(seq), together * step
+    first = F.greatest(F.lit(0), F.ceil((s - F.lit(span - 1 + wide - step)) / F.lit(wide))).cast("long")
+    final = F.least(F.floor(last / F.lit(together)), F.floor(s / F.lit(wide))).cast("long")
+    return df.where(F.col(n) >= span).withColumn("_group", F.explode(F.when(final >= first, F.sequence(first, final))))
+
+
+def score_walk_forward(
+    df: DataFrame, keys: Sequence[str], seq: str, n: str, features: Sequence[str], label: str, train: int = 252, test: int = 63, step: int = 21, embargo: int = 5,
+    purge: int = 0, trees: int = 100, depth: int = 5, seed: int = 42, together: int = 32,
+) -> DataFrame:
+    """``score_splits`` of ``split_roles``: (keys, split, n, accuracy) of every walk-forward split, one row number in a key once.
+
+    ``together`` splits that follow each other share a group, so a row is copied for the groups it reaches into (about 1.5)
+    and not for each of its splits (15). A group holds ``together * step`` rows and those of one split more, whatever the
+    table's size.
+    """
+    keys, features = list(keys), list(features)
+    span, kept = train + embargo + test, train - max(0, purge - embargo)
+    src = df.select(*keys, seq, n, label, *features).na.drop(subset=[label, *features])
+    src = split_groups(src, seq, n, span, step, F.floor((F.col(n) - F.lit(train + embargo + 1)) / F.lit(step)), together)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("split", T.LongType()), T.StructField("n", T.LongType()), T.StructField("accuracy", T.DoubleType())])
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([seq], kind="stable")
+        at, x, y = pdf[seq].to_numpy(), pdf[features].to_numpy(float), pdf[label].to_numpy(int)
+        begin, rows = int(key[-1]) * together, []
+        for split in range(begin, min(begin + together, (int(pdf[n].iat[0]) - train - embargo - 1) // step + 1)):
+            a = split * step
+            a, b, c, e = np.searchsorted(at, (a, a + kept, a + train + embargo, a + span))
+            if a < b or c < e:
+                rows.append((*key[:-1], split, e - c, _accuracy(x[a:b], x[c:e], y[a:b], y[c:e], trees, depth, seed)))
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return dealt(src, [*keys, "_group"]).groupBy(*keys, "_group").applyInPandas(fit, schema)
+
+
+@lru_cache(maxsize=16)
+def _bootstraps(n: int, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """(tree, row, times drawn) of the rows that bootstraps of ``n`` rows hold, and the state that the generator is left in."""
+    rng = np.random.default_rng(seed)
+    drawn = rng.integers(0, n, (trees, n)) + n * np.arange(trees)[:, None]
+    weight = np.bincount(drawn.ravel(), minlength=trees * n)
+    tree, row = np.divmod(np.flatnonzero(weight), n)
+    return tree, row, weight[weight > 0], rng.bit_generator.state
+
+
+def _gini(packed: np.ndarray, n: int) -> np.ndarray:
+    """Size times Gini impurity, halved, of nodes given as size * (n + 1) + ones."""
+    k, c = np.divmod(packed, n + 1)
+    return c * (k - c) / np.maximum(k, 1)
+
+
+@lru_cache(maxsize=16)
+def _gini_table(n: int) -> np.ndarray:
+    return _gini(np.arange((n + 1) ** 2), n)
+
+
 def forest_votes(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
     """Mean class-1 share over bootstrapped Gini trees, the square root of the features tried at each node.
 
-    All trees grow together, level by level: a bootstrap is a weight for each row, and the nodes of a level that try a
-    feature are searched in one sort. Nodes that hold no row of ``at`` are not grown on.
+    All trees grow together, level by level: a bootstrap is a weight for each row, and a level is searched in one sort of
+    whole numbers that hold node, feature, rank of the value, weight and class of a row, in that order. Rows and ones are
+    counted together, as rows * (n + 1) + ones. Nodes that hold no row of ``at`` are not grown on.
     """
-    rng = np.random.default_rng(seed)
     n, d = x.shape
     some = max(1, int(math.sqrt(d)))
-    rank = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0)
-    drawn = rng.integers(0, n, (trees, n)) + n * np.arange(trees)[:, None]
-    weight = np.bincount(drawn.ravel(), minlength=trees * n)
-    node, row = np.divmod(np.flatnonzero(weight), n)
-    weight = weight[weight > 0]
-    ones = weight * y[row]
-    there, point = np.divmod(np.arange(trees * len(at)), len(at))
-    total, nodes = np.zeros(len(at)), trees
+    node, row, weight, state = _bootstraps(n, trees, seed)
+    rng = np.random.default_rng(seed)
+    rng.bit_generator.state = state
+    gini = _gini_table(n).take if n <= 512 else partial(_gini, n=n)
+    ranks, values = np.empty((d, n), dtype=np.int64), np.empty((d, n))
+    for f in range(d):
+        distinct, ranks[f] = np.unique(x[:, f], return_inverse=True)
+        values[f, : len(distinct)] = distinct
+    x, at, ranks, values = x.T.ravel(), at.ravel(), ranks.ravel(), values.ravel()
+    of_rank, of_weight = n.bit_length(), n.bit_length() + 1
+    kind = np.int32 if (some * (trees << depth)).bit_length() + of_rank + of_weight < 32 else np.int64
+    ranks = (ranks << of_weight).astype(kind)
+    held = (weight * 2 + y[row]).astype(kind)
+    counted = np.repeat(np.arange(n + 1), 2) * np.tile([n + 1, n + 2], n + 1)  # what a weight and class count for
+    count = counted[held].astype(float)
+    points = len(at) // d
+    there, point = np.divmod(np.arange(trees * points), points)
+    total, nodes = np.zeros(points), trees
     for left in range(depth, -1, -1):
-        size, hits = (np.bincount(node, c, nodes).astype(np.int64) for c in (weight, ones))
-        mixed = (hits > 0) & (hits < size) & (np.bincount(there, minlength=nodes) > 0)
-        best, by, cut = np.full(nodes, np.inf), np.full(nodes, -1), np.zeros(nodes)
+        whole = np.bincount(node, count, nodes).astype(np.int64)
+        size, hits = np.divmod(whole, n + 1)
+        by, cut = np.full(nodes, -1), np.zeros(nodes)
         if left:
-            tried = np.zeros((nodes, d), dtype=bool)
-            np.put_along_axis(tried, rng.random((nodes, d)).argsort(axis=1)[:, :some], True, axis=1)
-            tried &= mixed[:, None]
-            for f in range(d):
-                e = np.flatnonzero(tried[node, f])
-                e = e[np.argsort(node[e] * n + rank[row[e], f])]
-                g, v = node[e], x[row[e], f]
-                between = np.flatnonzero((g[1:] == g[:-1]) & (v[1:] > v[:-1]))
-                if not len(between):
-                    continue
-                k, c = np.cumsum(weight[e]), np.cumsum(ones[e])
-                new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                before = np.zeros((2, nodes), dtype=np.int64)
-                before[:, g[new]] = k[new] - weight[e[new]], c[new] - ones[e[new]]
-                g = g[between]
-                k, c = k[between] - before[0, g], c[between] - before[1, g]
-                rest, more = size[g] - k, hits[g] - c
-                impurity = c * (k - c) / k + more * (rest - more) / rest
-                new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            mixed = np.flatnonzero((hits > 0) & (hits < size) & (np.bincount(there, minlength=nodes) > 0))
+            tried = np.sort(rng.random((nodes, d))[mixed].argsort(axis=1)[:, :some], axis=1)
+            number = np.full(nodes, -1)
+            number[mixed] = np.arange(len(mixed))
+            small = number[node]
+            e = np.flatnonzero(small >= 0)
+            small, here, payload = small[e], row[e], held[e]
+            keys = np.empty((some, len(e)), dtype=kind)
+            for j in range(some):
+                np.add(ranks[(tried[:, j] * n)[small] + here], payload, out=keys[j])
+                keys[j] += (small * some + j << (of_rank + of_weight)).astype(kind)
+            keys = np.sort(keys, axis=None)
+            place = keys >> of_weight
+            group = place >> of_rank
+            ends = np.flatnonzero((place[1:] != place[:-1]) & (group[1:] == group[:-1]))
+            if len(ends):
+                group = group[ends].astype(np.intp)
+                every = np.repeat(whole[mixed], some)
+                below = np.cumsum(counted[keys & ((1 << of_weight) - 1)])[ends] - (np.cumsum(every) - every)[group]
+                impurity = gini(below) + gini(every[group] - below)
+                owner = group // some
+                new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 least = np.minimum.reduceat(impurity, new)
-                lowest = np.flatnonzero(impurity == np.repeat(least, np.diff(np.r_[new, len(g)])))
-                lowest = lowest[np.r_[True, g[lowest[1:]] != g[lowest[:-1]]]]
-                won = least < best[g[new]]
-                lowest, won = lowest[won], g[new][won]
-                best[won], by[won], cut[won] = impurity[lowest], f, (v[between[lowest]] + v[between[lowest] + 1]) / 2
-        ended = by[there] < 0
-        total += np.bincount(point[ended], (hits / np.maximum(size, 1))[there[ended]], len(at))
+                lowest = np.flatnonzero(impurity == np.repeat(least, np.diff(np.r_[new, len(owner)])))
+                lowest = lowest[np.r_[True, owner[lowest[1:]] != owner[lowest[:-1]]]]
+                found, f, ends = mixed[owner[lowest]], tried.ravel()[group[lowest]], ends[lowest]
+                low, high = (place[p] & ((1 << of_rank) - 1) for p in (ends, ends + 1))
+                by[found], cut[found] = f, (values[f * n + low] + values[f * n + high]) / 2
         grows = by >= 0
-        number = np.cumsum(grows) - 1
-        stay, go = grows[node], ~ended
-        node, row, weight, ones = node[stay], row[stay], weight[stay], ones[stay]
-        there, point = there[go], point[go]
-        node = 2 * number[node] + (x[row, by[node]] > cut[node])
-        there = 2 * number[there] + (at[point, by[there]] > cut[there])
+        go = grows[there]
+        total += np.bincount(point[~go], (hits / np.maximum(size, 1))[there[~go]], points)
         nodes = 2 * int(grows.sum())
         if not nodes:
             break
+        number = 2 * (np.cumsum(grows) - 1)
+        stay = np.flatnonzero(grows[node])
+        node, row, held, count = node[stay], row[stay], held[stay], count[stay]
+        there, point = there[go], point[go]
+        node = number[node] + (x[(by * n)[node] + row] > cut[node])
+        there = number[there] + (at[point * d + by[there]] > cut[there])
     return total / trees

@@ -181,5 +181,4 @@ def _(t):
 
     rows = checkpointed(with_seq(_meta_rows(t), ["symbol"], ORD, BLOCKS).withColumn("pos", F.col("seq") - 1))
     rows = rows.join(rows.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
-    roles = ml.split_roles(rows.select("symbol", "pos", "n", "meta", *FEATURES), "pos", "n", purge=10)
-    return ml.score_splits(roles, ["symbol"], FEATURES, "meta", "pos").withColumn("accuracy", rounded("accuracy"))
+    return ml.score_walk_forward(rows, ["symbol"], "pos", "n", FEATURES, "meta", purge=10).withColumn("accuracy", rounded("accuracy"))

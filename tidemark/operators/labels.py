@@ -302,11 +302,15 @@ def forest_votes(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int, depth
     rng = np.random.default_rng(seed)
     rng.bit_generator.state = state
     gini = _gini_table(n).take if n <= 512 else partial(_gini, n=n)
-    ranks, values = np.empty((d, n), dtype=np.int64), np.empty((d, n))
-    for f in range(d):
-        distinct, ranks[f] = np.unique(x[:, f], return_inverse=True)
-        values[f, : len(distinct)] = distinct
-    x, at, ranks, values = x.T.ravel(), at.ravel(), ranks.ravel(), values.ravel()
+    order = np.argsort(x, axis=0)
+    values = np.take_along_axis(x, order, axis=0)
+    rises = values[1:] > values[:-1]
+    dense = np.zeros((n, d), dtype=np.int64)
+    np.cumsum(rises, axis=0, out=dense[1:])
+    ranks = np.empty_like(dense)
+    np.put_along_axis(ranks, order, dense, axis=0)
+    np.put_along_axis(values, dense, values.copy(), axis=0)
+    x, at, ranks, values = x.T.ravel(), at.ravel(), ranks.T.ravel(), values.T.ravel()
     of_rank, of_weight = n.bit_length(), n.bit_length() + 1
     kind = np.int32 if (some * (trees << depth)).bit_length() + of_rank + of_weight < 32 else np.int64
     ranks = (ranks << of_weight).astype(kind)
@@ -322,30 +326,38 @@ def forest_votes(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int, depth
         by, cut = np.full(nodes, -1), np.zeros(nodes)
         if left:
             mixed = np.flatnonzero((hits > 0) & (hits < size) & (np.bincount(there, minlength=nodes) > 0))
-            tried = np.sort(rng.random((nodes, d))[mixed].argsort(axis=1)[:, :some], axis=1)
+            drawn, tried = rng.random((nodes, d))[mixed], np.empty((len(mixed), some), dtype=np.int64)
+            for j in range(some):  # the features with the smallest numbers
+                tried[:, j] = drawn.argmin(axis=1)
+                np.put_along_axis(drawn, tried[:, j : j + 1], 1.0, axis=1)
+            tried.sort(axis=1)
             number = np.full(nodes, -1)
             number[mixed] = np.arange(len(mixed))
             small = number[node]
             e = np.flatnonzero(small >= 0)
             small, here, payload = small[e], row[e], held[e]
-            keys = np.empty((some, len(e)), dtype=kind)
+            keys, groups = np.empty((some, len(e)), dtype=kind), np.arange(tried.size, dtype=kind).reshape(-1, some) << (of_rank + of_weight)
             for j in range(some):
                 np.add(ranks[(tried[:, j] * n)[small] + here], payload, out=keys[j])
-                keys[j] += (small * some + j << (of_rank + of_weight)).astype(kind)
+                keys[j] += groups[:, j].copy()[small]
             keys = np.sort(keys, axis=None)
             place = keys >> of_weight
             group = place >> of_rank
-            ends = np.flatnonzero((place[1:] != place[:-1]) & (group[1:] == group[:-1]))
+            # a cut is never best between two rows of one class, as impurity is concave there, unless one shares its value
+            tied, apart = place[1:] == place[:-1], (keys[1:] ^ keys[:-1]) & 1 == 1
+            apart[1:] |= tied[:-1]
+            apart[:-1] |= tied[1:]
+            ends = np.flatnonzero(apart & ~tied & (group[1:] == group[:-1]))
             if len(ends):
                 group = group[ends].astype(np.intp)
                 every = np.repeat(whole[mixed], some)
                 below = np.cumsum(counted[keys & ((1 << of_weight) - 1)])[ends] - (np.cumsum(every) - every)[group]
                 impurity = gini(below) + gini(every[group] - below)
                 owner = group // some
-                new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                new = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
                 least = np.minimum.reduceat(impurity, new)
-                lowest = np.flatnonzero(impurity == np.repeat(least, np.diff(np.r_[new, len(owner)])))
-                lowest = lowest[np.r_[True, owner[lowest[1:]] != owner[lowest[:-1]]]]
+                lowest = np.flatnonzero(impurity == np.repeat(least, np.diff(new, append=len(owner))))
+                lowest = lowest[np.searchsorted(lowest, new)]
                 found, f, ends = mixed[owner[lowest]], tried.ravel()[group[lowest]], ends[lowest]
                 low, high = (place[p] & ((1 << of_rank) - 1) for p in (ends, ends + 1))
                 by[found], cut[found] = f, (values[f * n + low] + values[f * n + high]) / 2
